@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm import bpe, decontaminate, fingerprint, pii
+from spanwright.llm import bpe, decontaminate, fingerprint, pii, score
 from spanwright.llm.common import table
 
 
@@ -26,10 +26,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
     "op7_pii": op7_pii,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_score": op10_lm_score,
 }
 SQL: dict[str, str] = {}
