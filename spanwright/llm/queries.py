@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm import bpe, decontaminate, fingerprint, pii, score
+from spanwright.llm import bpe, decontaminate, fingerprint, minhash, pii, score
 from spanwright.llm.common import table
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
     "op7_pii": op7_pii,
