@@ -4,14 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from spanwright.llm import bpe, decontaminate, minhash, pii, toxicity
+from spanwright.llm.common import table
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network does not reject; it learns from the labels of the given tables."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.deduplicated(docs)
+
+
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of ten words with a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts masked."""
+    return pii.redact(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the digest of the text that they decode to."""
+    return bpe.digests(bpe.encode_documents(docs), "ids")
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", not_in_benchmark),
+    ("personal_data", masked),
+    ("bpe", encoded),
+]
 #: No SQL twin: a trained network and a tokenizer are among the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

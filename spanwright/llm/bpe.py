@@ -175,8 +175,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     return rows.mapInArrow(work, "doc_id long, ids binary, n_tokens long, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """The token count and digests of encoded documents."""
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """The token count and digests of encoded documents, and further columns of theirs."""
+    return encoded.select("doc_id", *more, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

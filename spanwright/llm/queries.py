@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm import bpe, decontaminate, fingerprint, minhash, pii, score
+from spanwright.llm import bpe, decontaminate, fingerprint, minhash, pii, score, toxicity
 from spanwright.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep")
 
@@ -35,6 +39,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_near_duplicates": op2_near_duplicates,
     "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
