@@ -1,0 +1 @@
+"""No operator here: every step of the work that this library covers is a batch."""
