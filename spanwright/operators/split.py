@@ -76,7 +76,7 @@ def assign_buckets(footprint: DataFrame, names: list[str], shares: list[float],
         return pd.DataFrame(out, columns=["component", "bucket"])
 
     kind = dict(footprint.dtypes)["component"]
-    placed = types.join(large, "component").withColumn("mark", mark).groupBy(F.lit(1)).applyInPandas(place, f"component {kind}, bucket string")
+    placed = types.join(large, "component").withColumns({"mark": mark, "one": F.lit("all")}).groupBy("one").applyInPandas(place, f"component {kind}, bucket string")
     u = F.conv(F.substring(mark, 1, 8), 16, 10).cast("double") / float(2**32)
     ends = np.cumsum(shares)
     bucket = F.lit(names[-1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from spanwright.functions import expr as E
 
 
-def boundary_features(rows: DataFrame, k: int = 4, slots: int = 1024) -> DataFrame:
+def boundary_features(rows: DataFrame, k: int = 4, slots: int = 256) -> DataFrame:
     """``features`` of each row: k-mers with their place in the oriented window, type and side.
 
     ``rows`` has ``rec_type, side, seq``; short windows have no k-mers.
@@ -28,11 +29,12 @@ def boundary_features(rows: DataFrame, k: int = 4, slots: int = 1024) -> DataFra
     return Pipeline(stages=stages).fit(df).transform(df)
 
 
-def fit_predict(rows: DataFrame, rounds: int = 10) -> DataFrame:
+def fit_predict(rows: DataFrame, rounds: int = 5) -> DataFrame:
     """Fit on the train split, watching the val split, and predict the test split, to four decimals.
 
     ``rows`` has ``features, label, split``.
     """
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # each round of boosting reads them
     fitting = rows.where(F.col("split").isin("train", "val")).withColumn("watch", F.col("split") == "val")
     model = GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=3, seed=7, validationIndicatorCol="watch").fit(fitting)
     return model.transform(rows.where(F.col("split") == "test")).withColumn("prediction", F.round("prediction", 4))
