@@ -9,8 +9,8 @@ similarity.
 
 Texts whose signatures agree in a band of components are candidates. Candidates are compared by
 the exact multiset overlap. Within a band's bucket, texts are first compared with one centre;
-texts that are then still apart are compared with further centres and at last with each other, so
-a link that joins two groups is never lost, and groups of alike texts never make all their pairs.
+texts that are then still apart are compared with a further centre and at last with each other in
+blocks, so a link that joins two groups is never lost, and groups of texts never make all their pairs.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,8 @@ WORDS = 5
 BANDS, ROWS = 21, 6
 COMPONENTS = BANDS * ROWS
 SIMILARITY = 0.8
-#: Rounds of comparisons with centres before the rest is compared pair by pair.
-ROUNDS = 3
+#: Rounds of comparisons with centres before the rest is compared in blocks of this size.
+ROUNDS, BLOCK = 2, 256
 #: Sketch bits that may differ: at a similarity of 0.8 one bit in ten does, and six deviations more are allowed.
 BITS_APART = 33
 #: Word hashes that a worker keeps.
@@ -186,26 +187,68 @@ def _alike(x: str, y: str) -> Column:
     return (apart <= BITS_APART) & sizes
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of a centre and each other member of its bucket that is not yet joined to it.
-
-    ``members`` has ``bucket, bag, label, runs, s1, s2``. The centre is the least bag of the
-    bucket, in every second bucket the greatest. Joined by bucket, with one row on the centres' side.
-    """
+def _centres(members: DataFrame) -> DataFrame:
+    """A member of each bucket: the least bag, in every second bucket the greatest."""
     me = F.struct("bag", "label", "runs", "s1", "s2")
     ends = members.groupBy("bucket").agg(F.min_by(me, "bag").alias("low"), F.max_by(me, "bag").alias("high"), F.count("*").alias("n"))
     centres = ends.where(F.col("n") > 1).select("bucket", F.when(F.col("bucket") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("c"))
-    centres = centres.select("bucket", "c.*")
+    return centres.select("bucket", "c.*")
+
+
+def _stars(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs of a centre and each other member of its bucket that is not yet joined to it.
+
+    ``members`` has ``bucket, bag, label, runs, s1, s2``. One row stands on the centres' side.
+    """
     x, y = centres.alias("x"), members.alias("y")
     met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & _alike("x", "y"))
     return met.select(F.least("x.bag", "y.bag").alias("a"), F.greatest("x.bag", "y.bag").alias("b")).distinct()
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members that are not joined yet."""
-    x, y = members.alias("x"), members.alias("y")
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.bag") < F.col("y.bag")) & _alike("x", "y"))
-    return met.select(F.col("x.bag").alias("a"), F.col("y.bag").alias("b")).distinct()
+def _within(members: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` that join groups of a bucket's members that are still apart.
+
+    A bucket is cut into blocks of about BLOCK members, and every two of its blocks meet in a task's
+    group of bounded size. All members of different groups are compared there; of the links found
+    only those are returned that join groups not yet joined by others.
+    """
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(h, np.uint32) for h in rows["held"]]
+        sizes = np.array([len(x) for x in sets], float)
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, column, shared = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = shared[column] > 1  # what one member has alone is in no intersection
+        columns, column = np.unique(column[keep], return_inverse=True)
+        owner = owner[keep]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, len(columns), 4096):
+            part = (column >= at) & (column < at + 4096)
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[owner[part], column[part] - at] = 1
+            both += m @ m.T
+        alike = both >= similarity * (sizes[:, None] + sizes[None, :] - both.astype(float)) - 1e-6
+        group = {label: label for label in rows["label"]}
+
+        def top(x: bytes) -> bytes:
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        bags, labels, links = rows["bag"].tolist(), rows["label"].tolist(), []
+        for i, j in np.argwhere(np.triu(alike, 1)):
+            x, y = top(labels[i]), top(labels[j])
+            if x != y:
+                group[x] = y
+                links.append((bags[i], bags[j]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.select("bucket", "bag", "label").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", "bag", "label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(held, "bag")
+    return rows.groupBy("bucket", "p", "q").applyInPandas(work, "a binary, b binary").distinct()
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -235,19 +278,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.join(shared, "bucket", "left_semi").withColumn("label", F.col("bag")).checkpoint()
     candidates = members.select("bag").distinct().join(reps.select("bag", "row"), "bag")
     held = occurrences(docs.join(candidates, "row")).dropDuplicates(["bag"]).checkpoint()
-    links, seen = None, None
-    labelled = members
+    links, seen, labelled = None, None, members
     for step in range(ROUNDS + 1):
-        pairs = _stars(labelled) if step < ROUNDS else _across(labelled)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        found = _verified(pairs, held, similarity).checkpoint()
+        if step < ROUNDS:
+            centres = _centres(labelled).checkpoint()
+            pairs = _stars(labelled, centres)
+            pairs = (pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")).checkpoint()
+            seen = pairs if seen is None else seen.unionByName(pairs)
+            found = _verified(pairs, held, similarity).checkpoint()
+        else:
+            found = _within(labelled, held, similarity).checkpoint()
         links = found if links is None else links.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
         labels = connected_components(links, "a", "b")
         if step == ROUNDS:
             break
+        # A centre was compared with all that were apart from it, so its bucket needs it no more
+        members = members.join(centres.select("bucket", "bag"), ["bucket", "bag"], "left_anti")
         named = members.drop("label").join(labels.select(F.col("id").alias("bag"), "component"), "bag", "left")
         labelled = _open_buckets(named.withColumn("label", F.coalesce("component", "bag")).drop("component")).checkpoint()
         if labelled.isEmpty():
