@@ -1,0 +1,305 @@
+"""Operators against plain versions, the tokenizers library, round trips and edge rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+
+from spanwright.llm import bpe, decontaminate, fingerprint, html, lattice, licences, minhash, pii, score, toxicity, urls
+
+ODD = [(1, "plain text here"), (2, None), (3, ""), (3, ""), (None, "no id, but words"), (4, "x" * 60_000 + " end"), (5, "\u0130É\x1c\x85 the\u00a0End")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    return rows.unionByName(spark.createDataFrame(ODD, "doc_id long, text string")).withColumn("row", rows["doc_id"] * 0).withColumn("key", rows["doc_id"] * 0)
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+def by_text(rows):
+    return sorted(rows, key=lambda r: tuple(map(repr, r)))
+
+
+def test_bpe_is_the_library_s(docs, plain):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    got = by_text(map(tuple, bpe.digests(bpe.encode_documents(docs)).collect()))
+    want = []
+    for doc_id, text in plain:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        want.append((doc_id, len(ids), digest, brute.sha(t.decode(ids, skip_special_tokens=False))))
+    assert got == by_text(want)
+
+
+def test_tree_concatenation_is_exact_for_unsplit_text():
+    from tokenizers import Tokenizer
+
+    t, mine, rng = Tokenizer.from_file(bpe.default_vocabulary()), bpe.WordBpe(bpe.default_vocabulary()), random.Random(5)
+    for alphabet in ("ab", "thenadoist", "abcdefghijklmnopqrstuvwxyz", "日本語漢字", "=-_/"):
+        for n in (47, 48, 49, 96, 97, 500, 3000):
+            text = "".join(rng.choice(alphabet) for _ in range(n)) + "<|endoftext|>" + alphabet
+            assert np.frombuffer(mine.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_personal_data_equals_plain_regular_expressions(spark, docs, plain):
+    rng = random.Random(3)
+    alphabets = ["0123456789 -", "01.25 ", "a1@.b-+", "+1 (2)-3.", "1234567890123456 ", "é@ü.a1"]
+    made = [(i, "".join(rng.choice(alphabets[i % 6]) for _ in range(rng.choice([3, 20, 60, 300])))) for i in range(10_000, 10_300)]
+    made += [(20_000, "a@b.c_d@e.f.@g.h 4111 1111 1111 1111 é 4111111111111111")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    got = by_text(tuple(r)[:6] for r in pii.digests(pii.find(df)).collect())
+    assert got == by_text(brute.pii(plain + made))
+
+
+def test_added_kinds_need_their_checks_and_context(spark):
+    rows = [(1, "iban DE89370400440532013000 ok"), (2, "iban DE89370400440532013001"), (3, "ssn 123-45-6789"), (4, "code 123-45-6789")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: "iban:5:27", 2: "", 3: "ssn:4:15", 4: ""}
+
+
+def test_masking_keeps_rows_and_columns(spark):
+    rows = [(1, "mail a@b.cd now", "en", "s", 15), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: tuple(r) for r in pii.redact(df).collect()}
+    assert got == {1: (1, "mail <EMAIL> now", "en", "s", 16), 2: rows[1]}
+
+
+def test_contamination_equals_all_windows(spark, docs, plain):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
+    extra = [(9001, "THE OF"), (9002, ""), (9003, None), (9004, "plain TEXT here"), (9005, "of " * 13)]
+    items = items.unionByName(spark.createDataFrame(extra, "item_id long, text string"))
+    got = by_text(map(tuple, decontaminate.digests(decontaminate.contamination(docs, items)).collect()))
+    assert got == by_text(brute.contamination(plain, [tuple(r) for r in items.collect()]))
+
+
+def test_an_empty_benchmark_leaves_all_clean(spark, docs):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contamination(docs, none).where("contaminated").count() == 0
+
+
+def test_fingerprints_follow_the_edit(docs):
+    df = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprint.with_edits(df).collect()}
+    assert len(got) == len(rows)
+    for i, (doc_id, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        sets = [fingerprint.chunk_sets([t.encode()])[0] for t in (text, edited, after)]
+        r = got[doc_id]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), brute.sha(edited))
+        assert r["fingerprint"] == fingerprint.as_text(sets[0]) and r["edited_fingerprint"] == fingerprint.as_text(sets[1])
+        assert r["near_edited"] == pytest.approx(fingerprint.containment(sets[0], sets[1]))
+        assert r["near_next"] == pytest.approx(fingerprint.containment(sets[0], sets[2]))
+
+
+def test_chunks_survive_a_shift():
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(800)).encode()
+    a, b = fingerprint.chunk_sets([text, b"something put before " + text])
+    assert fingerprint.containment(a, b) > 0.95
+    assert sum(a.values()) == len(text)
+
+
+def test_signatures_estimate_weighted_similarity():
+    rng, errors = random.Random(2), []
+    for _ in range(40):
+        base = [rng.choice("abcdefg") for _ in range(rng.choice([30, 200, 500]))]
+        texts = [" ".join(base), " ".join(w if rng.random() > 0.02 else "zz" for w in base)]
+        bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(len(base) - 4)) for t in texts]
+        true = sum((bags[0] & bags[1]).values()) / sum((bags[0] | bags[1]).values())
+        sig = minhash.signatures(2, *minhash.bags(texts))
+        errors.append((sig[0] == sig[1]).mean() - true)
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
+
+
+def test_near_duplicates_equal_all_pairs(spark, docs):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    near = []
+    for i in range(80):  # one group of alike texts, some of them too far from all others
+        words = list(base)
+        for _ in range(rng.randrange(0, 14)):
+            words[rng.randrange(300)] = f"new{i}-{rng.random()}"
+        near.append((5000 + i, " ".join(words)))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    words = [(t or "").encode().translate(minhash.TABLE).split() for _, t in rows]
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else Counter([tuple(w)] if w else []) for w in words]
+    group = list(range(len(rows)))
+    where: dict = {}
+    for i, b in enumerate(bags):
+        for s in b:
+            where.setdefault(s, []).append(i)
+    pairs = {(x, y) for ids in where.values() for n, x in enumerate(ids) for y in ids[n + 1 :]}
+    for x, y in pairs:
+        if sum((bags[x] & bags[y]).values()) >= 0.8 * sum((bags[x] | bags[y]).values()) - 1e-9 and group[x] != group[y]:
+            old, new = group[y], group[x]
+            group = [new if g == old else g for g in group]
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    got = minhash.near_duplicates(df).select("doc_id", "group_id").collect()
+    assert by_text(map(tuple, got)) == by_text((rows[i][0], least[group[i]]) for i in range(len(rows)))
+    kept = minhash.deduplicated(df.withColumn("n_chars", df["doc_id"]))
+    assert kept.count() == len(set(group)) - 1  # the two empty rows are one row repeated
+
+
+def test_no_documents_have_no_duplicates(spark):
+    assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_urls_follow_rules_and_models(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    extra = [(9001, None), (9002, "no scheme"), (9003, "HTTP://A.Example.NET/en/x?y"), (9004, "x://net"), (9005, "http://org/fr/a#b"), (9005, "http://org/fr/a#b"), (9006, "http://b.example.com/de/"), (9007, "http://aexample.net/q")]
+    got = urls.judged(pages.unionByName(spark.createDataFrame(extra, "page_id long, url string"))).collect()
+    assert len(got) == pages.count() + len(extra)
+    by = {r["page_id"]: tuple(r)[1:5] for r in got}
+    assert by[9001][:3] == ("", "", None) and by[9002][:3] == ("", "", None)
+    assert by[9003] == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert by[9004][:3] == ("net", "", None) and by[9005] == ("org", "/fr/a", "org/fr/", "allow")
+    assert by[9006] == ("b.example.com", "/de/", "example.com/de/", "block") and by[9007] == ("aexample.net", "/q", "net/", "block")
+    unruled = [r for r in got if r["rule"] is None and r["page_id"] < 9000]
+    spam = [r["verdict"] == "block" for r in unruled if re.search(urls.SEEDS, r["host"])]
+    fine = [r["verdict"] == "allow" for r in unruled if not re.search(urls.SEEDS, r["host"])]
+    assert np.mean(spam) > 0.7 and np.mean(fine) > 0.8
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("plain < text &amp; more", "plain < text & more"),
+        ("<p>a<p>b <b>c</b>d", "a\n\nb cd"),
+        ("<ul><li>x<li>y<ol start=3><li>1<li>2</ol></ul>end", "- x\n- y\n\n  3. 1\n  4. 2\n\nend"),
+        ("<table><tr><td>aa<td>b<tr><th>c<td>ddd</table>", "aa  b\nc   ddd"),
+        ("<title>t</title><div hidden>no</div><i style='display: none'>no</i><script>1<2</script>yes<!-- c -->", "yes"),
+        ("<pre>  a\n   b</pre>", "  a\n   b"),
+        ("<div>" * 5000 + "deep", "deep"),
+        ("a<br>b <a href='x>y'>c</a", "a\nb c"),
+    ],
+)
+def test_visible_text(page, text):
+    assert html.visible_text(page) == text
+
+
+def test_pages_keep_their_rows(spark):
+    rows = [(1, "<p>x"), (1, "<p>x"), (None, None)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, html string").withColumn("text", html.F.lit(1)))
+    assert by_text(map(tuple, got.collect())) == by_text([(1, "x", 1), (1, "x", 1), (None, "", 0)])
+
+
+def test_licences_are_found_and_mere_words_are_not(spark, docs):
+    extra = [(9001, "You need a license to drive\nhello"), (9002, "intro\nReleased under the MIT License."), (9003, "Licensed under CC BY-NC 4.0. more"), (9004, "copyright law is hard to learn")]
+    got = licences.scan(docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))).collect()
+    by = {r["doc_id"]: r["families"] for r in got}
+    assert len(got) == docs.count() + 4
+    assert (by[9001], by[9002], by[9003], by[9004], by[2], by[3]) == ("", "mit", "cc-by-nc", "", "", "")
+
+
+def test_lattice_equals_a_plain_recursion():
+    pieces, logp = score.vocabulary(score.default_vocabulary())
+    model = lattice.Lattice(pieces)
+    ids = {p: i for i, p in enumerate(pieces) if not p.startswith("<")}
+
+    def chance(u):
+        a = [1.0] + [0.0] * len(u)
+        for j in range(1, len(u) + 1):
+            a[j] = sum(a[i] * math.exp(logp[ids[u[i:j]]]) for i in range(max(0, j - 16), j) if u[i:j] in ids)
+            if u[j - 1] not in ids:
+                a[j] += a[j - 1] * math.exp(sum(logp[model.bytes[b]] for b in u[j - 1].encode()))
+        return math.log(a[-1])
+
+    words = ["▁the", "▁thonndon.", "x", "€\U0001f600a", "▁▁a", "théâtre\n日本"]
+    assert model.likelihood(words, logp) == pytest.approx([chance(w) for w in words])
+    more = logp.copy()
+    at = int(np.argmax(model.expected(words, np.ones(len(words)), logp)))
+    more[at] += 1e-5
+    slope = (model.likelihood(words, more).sum() - model.likelihood(words, logp).sum()) / 1e-5
+    assert slope == pytest.approx(model.expected(words, np.ones(len(words)), logp)[at], rel=1e-3)
+
+
+def test_base_scores_equal_plain_counts(docs, plain, monkeypatch):
+    monkeypatch.setattr(score, "FREQUENT", 300)
+    got = [tuple(r) for r in score.scored(docs).collect()]
+    cut = lambda t: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", brute.ascii_lower(t))] + [None]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, t in plain if not held(i) for w in cut(t))
+    n, v = c.total(), len(c)
+    want = [(i, held(i), len(cut(t)), sum(c[w] > 0 for w in cut(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in cut(t)), 6)) for i, t in plain]
+    assert by_text((*r[:5], round(r[5], 6)) for r in got) == by_text(want)
+    assert all(r[6] <= 0 for r in got) and all(r[6] == 0 for r in got if r[2] == 1)
+
+
+def test_gradients_equal_differences():
+    net = toxicity.Network.fresh(1)
+    rng = np.random.default_rng(0)
+    x = [rng.standard_normal((5, 3, 3 * toxicity.STATE)) for _ in "fb"]
+    mask = np.ones((5, 3), np.float32)
+    mask[3:, 1] = 0
+    g = np.array([1.0, -0.5, 0.3])
+    logits, memo = net.run(x, mask)
+    grads, d_x = net.gradients(g, x, memo)
+    for weight, grad in zip(net.weights()[2:4] + [net.look, net.out], grads[2:4] + grads[6:8], strict=True):
+        at = tuple(0 for _ in weight.shape)
+        weight[at] += 1e-2
+        up = (net.run(x, mask)[0] * g).sum()
+        weight[at] -= 2e-2
+        down = (net.run(x, mask)[0] * g).sum()
+        weight[at] += 1e-2
+        assert (up - down) / 2e-2 == pytest.approx(grad[at], rel=0.05, abs=2e-3)
+    assert d_x[0].shape == x[0].shape
+
+
+def test_toxicity_finds_the_marked_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        words = [f"{rng.choice(['ka', 'lo', 'mi', 'tu'])}{rng.choice(['ne', 'ra', 'so'])}{rng.choice(['', 'n', 'l'])}" for _ in range(rng.randrange(5, 120))]
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), f"zorg{rng.choice(['a', 'o', 'um'])}")
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs = df.select("doc_id", "text").unionByName(spark.createDataFrame([(900, None), (901, ""), (None, "zorga")], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, df.select("doc_id", "toxic")).collect()}
+    assert len(got) == 403 and all(0 <= r["score"] <= 1 for r in got.values())
+    held = [(r["predicted"], i % 3 == 0) for i, r in got.items() if i is not None and i < 400 and r["held_out"]]
+    assert held and np.mean([bool(p) == y for p, y in held]) > 0.9
+    assert got[900]["score"] == got[901]["score"] == pytest.approx(1 / 3, abs=0.06)
+
+
+def test_without_labels_nothing_is_toxic(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.scored(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), none).first()["predicted"] == 0
+
+
+def test_stages_keep_what_they_should(spark, tmp_path):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts, names = [docs.count()], docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        counts.append(docs.count())
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == names
+    assert len(corpus_pipeline.STAGES) == 5 and counts[3] == counts[4] == counts[5]
+    assert counts[0] > counts[1] > counts[2] >= counts[3] > counts[0] // 3
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    kept = spark.read.parquet(str(tmp_path / "decontamination"))
+    rows = brute.contamination([(r["doc_id"], r["text"]) for r in kept.collect()], [tuple(r) for r in items.collect()])
+    assert not any(r[-1] for r in rows)
