@@ -120,7 +120,7 @@ def append_manifest(rows: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A table with a header; ``NA`` is null."""
+    """A table with a header; ``NA`` and empty cells are null."""
     return spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="NA", quote="", emptyValue="")
 
 
