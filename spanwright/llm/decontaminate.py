@@ -156,7 +156,7 @@ def digests(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without benchmark windows, all their columns kept."""
     names = docs.columns
-    docs = docs.withColumn("key_", row_key(F.col("doc_id"), F.col("text")))
-    bad = hits(docs.select("doc_id", F.col("key_").alias("key"), "text"), items.select(F.col("item_id").cast("string").alias("item_id"), "text"))
-    bad = bad.groupBy(F.col("key").alias("key_")).agg(F.max("start").alias("start")).where(F.col("start").isNotNull()).drop("start")
-    return docs.join(bad, "key_", "left_anti").select(*names)
+    docs = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
+    bad = hits(docs.select("doc_id", F.col("__key").alias("key"), "text"), items.select(F.col("item_id").cast("string").alias("item_id"), "text"))
+    bad = bad.groupBy(F.col("key").alias("__key")).agg(F.max("start").alias("start")).where(F.col("start").isNotNull()).drop("start")
+    return docs.join(bad, "__key", "left_anti").select(*names)

@@ -310,6 +310,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class of near-duplicates, with all columns of ``docs``."""
     names = docs.columns
-    kept = near_duplicates(docs).where("keep").select(F.col("row").alias("row_")).distinct()
-    out = docs.withColumn("row_", row_key(F.col("doc_id"), F.col("text"))).join(kept, "row_", "left_semi")
-    return out.dropDuplicates(["row_"]).select(*names)
+    kept = near_duplicates(docs).where("keep").select(F.col("row").alias("__row")).distinct()
+    out = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(kept, "__row", "left_semi")
+    return out.dropDuplicates(["__row"]).select(*names)
