@@ -29,15 +29,15 @@ def groups(x: Inputs):
     return S.group_components(rows, S.species_components(rows))
 
 
-def assigned(x: Inputs, names=("train", "val", "test"), shares=(0.8, 0.1, 0.1), seed=42):
-    return S.assign_buckets(S.component_footprint(groups(x)), list(names), list(shares), seed)
+def assigned(per_group, names=("train", "val", "test"), shares=(0.8, 0.1, 0.1), seed=42):
+    return S.assign_buckets(S.component_footprint(per_group), list(names), list(shares), seed)
 
 
 def split_rows(x: Inputs):
     rows = with_species(x)
     comps = S.species_components(rows)
-    rows = rows.join(comps, "species")
-    return J.append_split(rows, assigned(x).withColumnRenamed("bucket", "split"))
+    split = assigned(S.group_components(rows, comps)).withColumnRenamed("bucket", "split")
+    return J.append_split(rows.join(comps, "species"), split)
 
 
 def scores(x: Inputs):
@@ -157,12 +157,12 @@ def _(x):
 
 @query("g5_assign_buckets")
 def _(x):
-    return assigned(x)
+    return assigned(groups(x))
 
 
 @query("g5_assign_folds")
 def _(x):
-    return assigned(x, [f"fold{i}" for i in range(5)], [0.2] * 5)
+    return assigned(groups(x), [f"fold{i}" for i in range(5)], [0.2] * 5)
 
 
 @query("g6_leakage_check", "select species, 0::bigint as n from taxonomy t join label_rows l on l.gca=t.gca cross join (select 1 as species_) z where false".replace("select species,", "select speci as species,"))
