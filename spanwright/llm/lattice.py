@@ -15,15 +15,6 @@ SPACE = "▁"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BITS = 18
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
-_UNIT = re.compile(" *[^ ]+| +")
-
-
-def units(text: str) -> list[str]:
-    """Stretches that no piece crosses: white space stands only at the start of a piece."""
-    if "  " in text or text[:1] == " " or text[-1:] == " ":
-        return [u.replace(" ", SPACE) for u in _UNIT.findall(text)]
-    first, *rest = text.split(" ")
-    return [first, *[SPACE + w for w in rest]] if text else []
 
 
 class Lattice:
@@ -39,7 +30,7 @@ class Lattice:
             elif p not in ("<unk>", "<s>", "</s>"):
                 ids.setdefault(p, i)
         if any(SPACE in p.lstrip(SPACE) for p in ids):
-            raise ValueError("a piece has white space after another character; units can't be kept apart")
+            raise ValueError("a piece has white space after another character; words can't be kept apart")
         known: dict[int, int] = {}
         for p, i in ids.items():
             h = 0
@@ -95,7 +86,7 @@ class Lattice:
                 break
         start, length, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
         step = start - (ends - lengths)[owner[start]]
-        order = np.argsort(step, kind="stable")
+        order = np.argsort(step.astype(np.int16) if step.size and step.max() < 2**15 else step, kind="stable")  # small numbers are sorted by radix
         start, length, piece, step = start[order], length[order], piece[order], step[order]
         return {"from": start + owner[start], "to": start + length + owner[start], "piece": piece, "step": step, "length": length, "first": ends - lengths + np.arange(len(texts)), "last": ends + np.arange(len(texts))}
 
@@ -136,7 +127,7 @@ class Lattice:
         beta = np.full(len(alpha), -np.inf)
         beta[e["last"]] = 0
         to_step = e["step"] + e["length"]
-        order = np.argsort(-to_step, kind="stable")
+        order = np.argsort((-to_step).astype(np.int16) if to_step.max() < 2**15 else -to_step, kind="stable")
         a, b, v = e["from"][order], e["to"][order], w[order]
         steps = to_step[order]
         cuts = np.flatnonzero(np.diff(steps, prepend=steps[0] + 1, append=steps[-1] - 1))

@@ -1,12 +1,14 @@
 """Language-model scores of documents: a unigram model over subword pieces.
 
-The vocabulary's own scores (ranks) give first weights to its pieces. One pass over all training
-texts weighs every segmentation of every text by them and adds up how often each piece is expected;
-these counts give the model. A document's score is the log probability of its text over all
-segmentations. The same pass counts words for a base score: add-one word frequencies.
+Texts are read as words with a space before each, A to Z lower-cased; no piece crosses words. One
+pass counts all words of the corpus. The vocabulary's own scores (ranks) give first weights to its
+pieces; every segmentation of every training word is weighed by them, as often as the word occurs,
+and the expected counts of pieces give the model. A word's log probability is the sum over all its
+segmentations, found once for each distinct word; a document's is the sum of its words'. The word
+counts also give a base score: add-one word frequencies.
 
 Frequent words, a bounded number chosen by their counts, go to the tasks; all other words are joined
-with their counts by a shuffle.
+with their counts and probabilities by a shuffle.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import fold, small_batches, with_checkpoints
-from spanwright.llm.lattice import Lattice, units
+from spanwright.llm.lattice import SPACE, Lattice
 
 #: Words whose counts are sent to all tasks, at most.
 FREQUENT = 200_000
-#: Distinct stretches of text that a task gathers before it works on them.
-GATHERED = 100_000
+#: Distinct words that a task gathers before it hands on their counts, and words weighed at a time.
+GATHERED, TOGETHER = 200_000, 20_000
 #: Expected counts are added up as whole thousandths, so that sums don't depend on their order.
 SCALE = 1000
 #: Weight of the vocabulary's own scores against the corpus, in pieces.
@@ -71,48 +73,88 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def corpus_counts(train: DataFrame, pieces: list[str], logp: np.ndarray) -> DataFrame:
-    """``item binary, n long``: counts of words, of ends, and expected ones of pieces in thousandths.
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word binary, n_all, n``: how often each word occurs in all texts and in those with ``train``.
 
-    Items of pieces and of the end begin with a space, which no word does.
+    The end of a text counts as the word END, which has a space as no other word does.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        stretches: Counter[str] = Counter()
-        expected = np.zeros(len(pieces))
-        model = lattice(pieces)
+        both: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
-        def rows(found: dict[bytes, int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["item", "n"])
+        def rows() -> pa.RecordBatch:
+            words = list({**both[0], **both[1]})
+            trained = [both[1][w] for w in words]
+            every = [both[0][w] + n for w, n in zip(words, trained, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(every, pa.int64()), pa.array(trained, pa.int64())], names=["word", "n_all", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words.update(tokens(text))
-                words[END] += 1
-                stretches.update(units(text))
-                if len(stretches) >= GATHERED:
-                    expected += model.expected(list(stretches), np.array(list(stretches.values()), float), logp)
-                    stretches.clear()
-                if len(words) >= GATHERED:
-                    yield rows(words)
-                    words.clear()
-        expected += model.expected(list(stretches), np.array(list(stretches.values()), float), logp)
-        yield rows(words | {b" %d" % i: round(x * SCALE) for i, x in enumerate(expected.tolist()) if x * SCALE >= 0.5})
-
-    return train.select("text").mapInArrow(work, "item binary, n long").groupBy("item").agg(F.sum("n").alias("n"))
+            for text, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = both[bool(train)]
+                own.update(tokens(text))
+                own[END] += 1
+                if len(own) >= GATHERED:
+                    yield rows()
+                    both[0].clear()
+                    both[1].clear()
+        yield rows()
+
+    found = docs.select("text", "train").mapInArrow(work, "word binary, n_all long, n long")
+    return found.groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _stretches(words: pa.ChunkedArray) -> list[str]:
+    return [SPACE + w.decode("utf-8", "replace") for w in words.to_pylist()]
+
+
+def expected_counts(counts: DataFrame, pieces: list[str], logp: np.ndarray) -> DataFrame:
+    """``piece, n``: how often each piece is expected in the training words, in thousandths."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, model = np.zeros(len(pieces)), lattice(pieces)
+        for t in _gathered(batches):
+            found = model.expected(_stretches(t["word"]), t["n"].to_numpy().astype(float), logp)
+            total += np.round(found * SCALE)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64))], names=["piece", "n"])
+
+    words = counts.where((F.col("n") > 0) & (F.col("word") != F.lit(END))).select("word", "n")
+    return words.mapInArrow(work, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def weighted(counts: DataFrame, pieces: list[str], logp: np.ndarray) -> DataFrame:
+    """``word, n, weight``: the count and the log10 probability of each distinct word."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = lattice(pieces)
+        for t in _gathered(batches):
+            weights = model.likelihood(_stretches(t["word"]), logp) / math.log(10)
+            yield from t.select(["word", "n_all", "n"]).append_column("weight", pa.array(weights)).to_batches()
+
+    return counts.where(F.col("word") != F.lit(END)).select("word", "n_all", "n").mapInArrow(work, "word binary, n_all long, n long, weight double")
 
 
 def _frequent(counts: DataFrame) -> tuple[int, pa.Table]:
     """The least count of which at most FREQUENT words have as much, and those words."""
-    sizes = counts.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("size")).count().collect()  # a row for each power of 2
+    sizes = counts.groupBy(F.floor(F.log2(F.col("n_all").cast("double"))).cast("int").alias("size")).count().collect()  # a row for each power of 2
     least, held = 63, 0
     for r in sorted(sizes, key=lambda r: -r["size"]):
         held += r["count"]
         if held > FREQUENT:
             break
         least = r["size"]
-    return 2**least, counts.where(F.col("n") >= 2**least).toArrow()
+    return 2**least, counts.where(F.col("n_all") >= 2**least).select("word", "n", "weight").toArrow()
 
 
 def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -121,7 +163,7 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     The model learns from documents whose crc32(id as text) mod ``folds`` isn't ``held`` (null ids
     count as 0). Returns one row per input row: ``doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score``. A null or empty text has one token, the end, and score 0:
-    the probability of the empty text is 1. Without training rows the vocabulary's weights stand.
+    the probability of no word is 1. Without training rows the vocabulary's weights stand.
     Repeated rows each give their row; other columns are not read.
     """
     spark = docs.sparkSession
@@ -130,49 +172,37 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out_of_model = fold(F.col("doc_id"), folds) == held
     pieces, first = vocabulary(path or default_vocabulary())
-    counts = corpus_counts(docs.where(~out_of_model), pieces, first).checkpoint()
-    is_word = ~F.col("item").startswith(F.lit(b" "))
+    counts = word_counts(docs.withColumn("train", ~out_of_model)).checkpoint()
+    n, v, n_end = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
     expected = np.exp(first) * PRIOR * SCALE
-    n_end = 0
-    for r in counts.where(~is_word).collect():  # a row for each piece at most
-        if bytes(r["item"]) == END:
-            n_end = r["n"]
-        else:
-            expected[int(r["item"])] += r["n"]
-    logp = np.log(expected / expected.sum())
-    word_counts = counts.where(is_word)
-    n, v = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n, v = n + n_end, v + (n_end > 0)
-    least, frequent = _frequent(word_counts)
-    sent = spark.sparkContext.broadcast((frequent.column("item").to_pylist(), np.log10(frequent.column("n").to_numpy() + 1.0)))
+    for r in expected_counts(counts, pieces, first).collect():  # a row for each piece at most
+        expected[r["piece"]] += r["n"]
+    table = weighted(counts, pieces, np.log(expected / expected.sum())).checkpoint()
+    least, frequent = _frequent(table)
+    values = zip(np.log10(frequent["n"].to_numpy() + 1.0).tolist(), frequent["weight"].to_pylist(), [int(c > 0) for c in frequent["n"].to_pylist()], strict=True)
+    sent = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), values, strict=True)))
     names = ["key", "doc_id", "n_tokens", "known", "logs", "score", "word", "tf"]
     types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = lattice(pieces)
-        log_of = dict(zip(sent.value[0], sent.value[1].tolist(), strict=True))
+        values_of = sent.value.get
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            stretches = [units(t) for t in texts]
-            distinct = list({u for us in stretches for u in us})
-            weight = dict(zip(distinct, (model.likelihood(distinct, logp) / math.log(10)).tolist(), strict=True))
             rows = []
-            for doc_id, text, us in zip(ids, texts, stretches, strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = xxhash.xxh3_128_digest(f"{doc_id}:{text}".encode("utf-8", "replace"))
                 words = tokens(text)
-                logs = list(map(log_of.get, words))
-                rare = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
-                total = sum(x for x in logs if x is not None)
+                values = [*map(values_of, words)]
+                rare = Counter([w for w, x in zip(words, values, strict=True) if x is None])
+                logs, weights, known = zip(*x, strict=True) if (x := [x for x in values if x is not None]) else ((), (), ())
                 # A word of its own, with a space, spreads the document's row over the join
-                rows.append((key, doc_id, len(words) + 1, len(words) - rare.total(), total, sum(map(weight.__getitem__, us)), b" " + key, 0))
+                rows.append((key, doc_id, len(words) + 1, sum(known), math.fsum(logs), math.fsum(weights), b" " + key, 0))
                 rows += [(key, None, None, None, None, None, w, tf) for w, tf in rare.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = "key binary, doc_id long, n_tokens long, known long, logs double, score double, word binary, tf long"
-    rows = docs.mapInArrow(work, schema)
-    rare = word_counts.where(F.col("n") < least).withColumnRenamed("item", "word")
-    joined = rows.join(rare, "word", "left")
+    joined = docs.mapInArrow(work, schema).join(table.where(F.col("n_all") < least).drop("n_all"), "word", "left")
+    # Equal rows meet under one key, each with all its words
     copies = F.count("n_tokens")
     per = joined.groupBy("key").agg(
         F.max("doc_id").alias("doc_id"),
@@ -182,6 +212,7 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         F.max("score").alias("score"),
         (F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)) / copies).cast("long").alias("rare_known"),
         (F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))) / copies).alias("rare_logs"),
+        (F.sum(F.col("tf") * F.coalesce("weight", F.lit(0.0))) / copies).alias("rare_score"),
         copies.alias("copies"),
     )
     each = F.lit(math.log10(n + v + 1))
@@ -192,6 +223,6 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         (F.col("known") + F.col("rare_known") + (1 if n_end else 0)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("rare_logs") + math.log10(n_end + 1) - F.col("n_tokens") * each).alias("base_score"),
-        "score",
+        (F.col("score") + F.col("rare_score")).alias("score"),
         F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
     ).drop("copy")
