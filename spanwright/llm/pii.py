@@ -22,7 +22,8 @@ PATTERNS = {
     # only runs of 12 to 19 digits: shorter and longer ones are whole matches that fail
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # country and check digits only; what may follow them is seen, not taken, as words or a number can stand behind
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Score of a confirmed span without context, and words that raise it.
@@ -39,6 +40,29 @@ CONTEXT = {
 REACH, BOOST, LEAST = 40, 0.3, 0.5
 ADDED = ("iban", "ssn")
 BLOCK = 256
+SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
+#: Characters of country and check digits, and lengths of account numbers by country (ISO 13616).
+HEAD = 4
+LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
 
 
 def _running(lengths: Column) -> Column:
@@ -64,6 +88,41 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(moved, F.lit(0), step) == 1
 
 
+def _account(run: Column) -> Column:
+    """The account number that a run of groups begins with, null if none does.
+
+    Tried are all prefixes that end where a group ends. Of those that pass mod 97 the one with the
+    country's own length counts, else the longest.
+    """
+    groups = F.split(run, " ")
+    own = F.create_map(*(F.lit(x) for n, countries in LENGTHS.items() for c in countries.split() for x in (c, n)))
+
+    def prefix(k: Column) -> Column:
+        part = F.slice(groups, F.lit(1), k)
+        plain = F.array_join(part, "")
+        n = F.length(plain)
+        is_own = F.coalesce(F.try_element_at(own, F.left(run, F.lit(2))) == n, F.lit(False))
+        return F.struct(is_own.alias("own"), n.alias("n"), F.array_join(part, " ").alias("m"), plain.alias("plain"))
+
+    tried = F.transform(F.sequence(F.lit(1), F.size(groups)), prefix)
+    return F.array_max(F.filter(tried, lambda p: p["n"].between(15, 34) & mod97(p["plain"])))["m"]
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in their order without those that start inside an earlier one that stays; block by block."""
+    none = F.array().cast(f"array<{SPAN}>")
+    blocks = F.transform(F.sequence(F.lit(0), (F.greatest(F.size(spans) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK)))
+    state = lambda end, kept: F.struct(end.alias("end"), kept.alias("kept"))
+    keep = lambda acc, s: F.when(s["start"] >= acc["end"], state(s["end"], F.concat(acc["kept"], F.array(s)))).otherwise(acc)
+
+    def through(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, state(acc["end"], none), keep)
+        return state(done["end"], F.concat(acc["kept"], F.array(done["kept"])))
+
+    start = state(F.lit(0), F.array().cast(f"array<array<{SPAN}>>"))
+    return F.aggregate(blocks, start, through, lambda acc: F.flatten(acc["kept"]))
+
+
 def _confirmed(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
@@ -73,7 +132,7 @@ def _confirmed(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        return F.length(F.regexp_replace(m, " ", "")).between(15, 34) & mod97(F.regexp_replace(m, " ", ""))
+        return m.isNotNull()
     if kind == "ssn":
         return ~m.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -111,7 +170,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     each give their row; other columns are not read.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    has = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
+    has = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}")}
     digits = F.col("text").rlike(r"[0-9][0-9\x20.-][0-9.\x20-]")
     strings, ints = "array<string>", "array<int>"
     df = df.withColumn("digits", digits)
@@ -126,8 +185,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         df = df.withColumn(f"l_{kind}", F.zip_with(F.slice(f"b_{kind}", 1, F.size(matches)), matches, lambda b, m: F.length(b) + F.length(m)))
         df = df.withColumn(f"e_{kind}", F.when(F.size(f"l_{kind}") > 0, _running(F.col(f"l_{kind}"))).otherwise(F.array().cast(ints)))
 
-        near = F.zip_with(F.slice(f"b_{kind}", 1, F.size(matches)), F.slice(f"b_{kind}", 2, F.size(matches)), _near)
-        parts.append(_spans(kind, rank, matches, F.col(f"e_{kind}"), near))
+        ends, after = F.col(f"e_{kind}"), F.slice(f"b_{kind}", 2, F.size(matches))
+        if kind == "iban":
+            runs = F.when(F.size(matches) > 0, F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
+            accounts = F.zip_with(matches, runs, lambda m, run: _account(F.concat(m, run)))
+            df = df.withColumn("a_iban", F.coalesce(accounts, F.array().cast(strings)))
+            numbers = F.col("a_iban")
+            ends = F.zip_with(ends, numbers, lambda end, m: end + F.length(m) - HEAD)
+            after = F.zip_with(after, numbers, lambda a, m: F.substr(a, F.length(m) - HEAD + 1))
+        near = F.zip_with(F.slice(f"b_{kind}", 1, F.size(matches)), after, _near)
+        spans = _spans(kind, rank, numbers if kind == "iban" else matches, ends, near)
+        parts.append(_apart(spans) if kind == "iban" else spans)
     return df.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("spans"))
 
 

@@ -70,6 +70,27 @@ def test_added_kinds_need_their_checks_and_context(spark):
     assert got == {1: "iban:5:27", 2: "", 3: "ssn:4:15", 4: ""}
 
 
+def test_account_numbers_end_where_mod_97_says_so(spark):
+    one, other = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    rows = [
+        (f"{one} Please pay", [one]),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+        (f"{one} 2 items", [one]),
+        (f"{one} {other} NOW", [one, other]),
+        (f"\u00fc\U0001f600 {other} {one} {one}", [other, one, one]),
+        (f"{one}X 2", []),
+        (f"{one[:-1]}1 AND 12", []),
+        ("AZ21NABZ00ABCDEFGHIJ137010001944 X", []),
+        ("XX" + f"{98 - int('1' * 30 + '333300') % 97:02d}" + "1" * 30 + " 7", ["XX" + f"{98 - int('1' * 30 + '333300') % 97:02d}" + "1" * 30]),
+        ("x " + f"{one} A, " * 700, [one] * 700),
+    ]
+    found = pii.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    got = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] for r in found}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
+    clean = pii.redact(spark.createDataFrame([(f"to {one} Please", 30)], "text string, n_chars long")).first()
+    assert tuple(clean) == ("to <IBAN> Please", 16)
+
+
 def test_masking_keeps_rows_and_columns(spark):
     rows = [(1, "mail a@b.cd now", "en", "s", 15), (2, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
