@@ -8,6 +8,8 @@ and indents, table cells padded to aligned columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,8 +41,9 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-#: An end tag doesn't look for its element beyond these.
+#: An end tag doesn't look for its element beyond these; those of tables and list items have bounds of their own.
 FENCE = frozenset("table td th caption".split())
+FENCES = {"table": frozenset(), "li": FENCE | {"ul", "ol", "menu", "dir"}} | dict.fromkeys(("tr", "tbody", "thead", "tfoot", "td", "th", "caption"), frozenset({"table"}))
 HEAD_ONLY = frozenset("base basefont bgsound link meta title style script noscript template".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -74,22 +77,30 @@ def tree(page: str) -> Node:
     root = Node("html")
     open_nodes = [root]
 
-    def close(names: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
-        """End every open element from the outermost of ``names`` within ``bounds`` on."""
-        cut = None
-        for i in range(len(open_nodes) - 1, 0, -1):
-            if open_nodes[i].tag in bounds:
-                break
-            if open_nodes[i].tag in names:
-                cut = i
-        if cut:
-            del open_nodes[cut:]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name, outermost first
+
+    def end_from(cut: int) -> None:
+        for n in open_nodes[cut:]:
+            places[n.tag].pop()
+        del open_nodes[cut:]
+
+    def close(names: set[str] | frozenset[str], bounds: set[str] | frozenset[str], innermost: bool = False) -> None:
+        """End every open element from the outermost of ``names`` within ``bounds`` on, or from the innermost."""
+        fence = max((places[b][-1] for b in bounds if places[b]), default=0)
+        found = [p[-1] if innermost else p[bisect_right(p, fence)] for n in names if (p := places[n]) and p[-1] > fence]
+        if found:
+            end_from(max(found) if innermost else min(found))
 
     def start(tag: str, attrs: str = "", leaf: bool = False) -> Node:
-        node = Node(tag, attrs)
-        open_nodes[-1].children.append(node)
-        if not leaf and len(open_nodes) < DEPTH:
-            open_nodes.append(node)
+        node, parent = Node(tag, attrs), open_nodes[-1]
+        parent.children.append(node)
+        if not leaf:
+            places[tag].append(len(open_nodes))
+            if len(open_nodes) >= DEPTH and not node.hidden():
+                open_nodes.append(Node(tag, attrs))  # waits for its end tag; what it holds is its parent's
+                open_nodes[-1].children = parent.children
+            else:
+                open_nodes.append(node)
         return node
 
     at = 0
@@ -98,7 +109,7 @@ def tree(page: str) -> Node:
         text = page[at : m.start() if m else len(page)]
         if text:
             if open_nodes[-1].tag == "head" and not text.isspace():
-                open_nodes.pop()
+                end_from(len(open_nodes) - 1)
             open_nodes[-1].children.append(unescape(text))
         if not m:
             break
@@ -107,15 +118,15 @@ def tree(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in open_nodes):
+            if tag == "p" and not places["p"]:
                 start("p", leaf=True)  # an end tag alone makes an empty paragraph
             elif tag not in ("html", "body"):
-                close({tag}, FENCE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else set())
+                close({tag}, FENCES.get(tag, FENCE), innermost=True)
             continue
         if tag == "html":
             continue
         if tag not in HEAD_ONLY and tag != "head" and open_nodes[-1].tag == "head":
-            open_nodes.pop()
+            end_from(len(open_nodes) - 1)
         if tag in ENDS:
             close(*ENDS[tag])
         if tag in CLOSES_P:

@@ -215,6 +215,26 @@ def test_visible_text(page, text):
     assert html.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div hidden><div>a</div>secret</div>seen", "seen"),
+        ("x<span style='display:none'><span>a</span>secret</span>y", "xy"),
+        ("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", "- a\n\n  - b\n- c"),
+        ("<ol><li>a<ol><li>b</ol><li>c</ol>end", "1. a\n\n   1. b\n2. c\n\nend"),
+        ("<ul><li>a<ul></li><li>b</ul><li>c</ul>", "- a\n\n  - b\n- c"),
+        ("<table><tr><td><table><tr><td>i</td><td>j</td></tr></table></td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>", "i  j  b\nc     d"),
+        ("<table><tr><td hidden><table><tr><td>i</td></tr></table>secret</td><td>b</td></tr></table>", "b"),
+        ("<table><tr><td>a<table></td></tr><tr><td>i</table></td><td>b</table>", "a  b\n\ni"),
+        ("<div hidden>" + "<div>" * 300 + "a" + "</div>" * 300 + "secret</div>seen", "seen"),
+        ("<div>" * 300 + "<div hidden><b>secret</b></div>" + "seen" + "</div>" * 300 + "<p>end", "seen\n\nend"),
+        ("<div hidden>" + "<div>" * 100_000 + "</div>" * 100_000 + "secret</div>seen", "seen"),
+    ],
+)
+def test_an_end_tag_ends_the_innermost_element(page, text):
+    assert html.visible_text(page) == text
+
+
 def test_pages_keep_their_rows(spark):
     rows = [(1, "<p>x"), (1, "<p>x"), (None, None)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, html string").withColumn("text", html.F.lit(1)))
