@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from spanwright.functions import expr as E
 
 
-def boundary_features(rows: DataFrame, k: int = 4, slots: int = 256) -> DataFrame:
+def boundary_features(rows: DataFrame, k: int = 4, slots: int = 256, length: int = 500) -> DataFrame:
     """``features`` of each row: k-mers with their place in the oriented window, type and side.
 
-    ``rows`` has ``rec_type, side, seq``; short windows have no k-mers.
+    ``rows`` has ``rec_type, side, seq`` with whole sequences: they are oriented first and then cut
+    to ``length`` bases from the boundary, as the reference does. Short windows have no k-mers.
     """
-    df = rows.withColumn("oriented", E.model_orientation("seq", "side"))
+    df = rows.withColumn("oriented", F.left(E.model_orientation("seq", "side"), F.lit(length)))
     places = F.when(F.length("oriented") >= k, F.sequence(F.lit(1), F.length("oriented") - (k - 1))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("kmers", F.transform(places, lambda i: F.concat_ws(":", (i / 5).cast("int").cast("string"), F.substr(F.col("oriented"), i, F.lit(k)))))
     stages = [
