@@ -35,6 +35,8 @@ STEPS, DOCUMENTS, WINDOWS, RATE = 250, 24, 12, 0.01
 KEPT = 150_000
 GRAMS = (4, 6)
 WORD = re.compile(r"\w+")
+#: Characters of a word: a longer run becomes pieces that overlap by half, so none of it is left out.
+LONG = 40
 
 
 def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def words(text: str | None) -> list[str]:
-    return [w if len(w) <= 40 else w[:20] + w[-20:] for w in WORD.findall((text or "").lower())]
+    half = LONG // 2
+    return [w[i : i + LONG] for w in WORD.findall((text or "").lower()) for i in range(0, max(1, len(w) - half), half)]
 
 
 def window_starts(n: int) -> list[int]:
@@ -220,7 +223,9 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Net
             starts = window_starts(len(docs[i]))
             if len(starts) > WINDOWS and not y[i]:
                 starts = g.choice(starts, WINDOWS, replace=False).tolist()
-            for s in starts[: 4 * WINDOWS]:
+            elif len(starts) > 4 * WINDOWS:  # only the worst one has a gradient: found without a trace
+                starts = [_worst(net, feature_lists, docs[i], starts)]
+            for s in starts:
                 lists.append(docs[i][s : s + WINDOW])
                 owner.append(n)
         if not lists:
@@ -266,6 +271,16 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Net
     return net
 
 
+def _worst(net: Network, feature_lists: list[np.ndarray], doc: np.ndarray, starts: list[int]) -> int:
+    """The start of the window with the highest logit among all windows of a text in training."""
+    used, where = np.unique(doc, return_inverse=True)
+    n = np.array([len(feature_lists[u]) for u in used])
+    slots = np.concatenate([feature_lists[u] for u in used])
+    v = np.add.reduceat(net.table[slots], np.cumsum(n) - n) / np.sqrt(n)[:, None].astype(np.float32)
+    ids, mask = _laid_out([where[s : s + WINDOW] for s in starts])
+    return starts[int(np.argmax(_logits(net, [v @ net.gates[d] + net.bias[d] for d in (0, 1)], ids, mask)))]
+
+
 def _best(net: Network, vocabulary: list[str], doc: np.ndarray) -> float:
     used, where = np.unique(doc, return_inverse=True)
     v = net.vectors([vocabulary[u] for u in used])

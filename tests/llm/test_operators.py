@@ -321,6 +321,28 @@ def test_toxicity_finds_the_marked_words(spark, monkeypatch):
     assert got[900]["score"] == got[901]["score"] == pytest.approx(1 / 3, abs=0.06)
 
 
+def test_all_of_a_long_run_is_read():
+    for n in (1, 40, 41, 60, 61, 1000):
+        run = "".join(random.Random(n).choice("\u65e5\u672c\u8a9e\u6f22\u5b57\u4e2d\u6587abc_") for _ in range(n))
+        pieces = toxicity.words(f"a {run} b")[1:-1]
+        assert all(any(run[i : i + 20] in p for p in pieces) for i in range(max(1, n - 19)))
+        assert max(map(len, pieces)) <= 40 and pieces[-1].endswith(run[-1])
+    net = toxicity.Network.fresh(1)
+    ends = "x" * 30
+    assert toxicity.scores(net, [ends + "y" * 40 + ends]) != toxicity.scores(net, [ends + "z" * 40 + ends])
+
+
+def test_training_reads_late_windows_of_long_toxic_texts(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    rng = random.Random(4)
+    clean = lambda n: " ".join(rng.choice("alder birch cedar maple olive poplar willow spruce".split()) for _ in range(n))
+    bad = "grumpf zorkle blixten " * 20
+    texts = [t for _ in range(40) for t in (clean(2200), clean(2200) + " " + bad)]
+    net = toxicity.fit(texts, [0, 1] * 40, 0.5)
+    got = toxicity.scores(net, [bad, clean(48), clean(2200) + " " + bad + clean(500), clean(2700)])
+    assert got[0] > 0.5 > got[1] and got[2] > 0.5 > got[3]
+
+
 def test_without_labels_nothing_is_toxic(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.scored(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), none).first()["predicted"] == 0
