@@ -257,11 +257,12 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return members.join(mixed, "bucket", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of near-duplicates of each document.
 
     Returns one row per input row: ``doc_id, row, group_id, keep``. ``group_id`` is the least id of
-    the class (null if it has none); classes are the components of links of the similarity or more.
+    the class (null if it has none); classes are the components of links of SIMILARITY or more,
+    for which bands and sketch bound are set.
     ``keep`` marks one row of each class: the least id. Texts without words (null and empty ones
     too) are alone in their classes. Rows of equal ids and texts share ``row`` and ``keep``;
     ``deduplicated`` leaves one of them. Other columns are not read.
@@ -285,9 +286,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = _stars(labelled, centres)
             pairs = (pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")).checkpoint()
             seen = pairs if seen is None else seen.unionByName(pairs)
-            found = _verified(pairs, held, similarity).checkpoint()
+            found = _verified(pairs, held, SIMILARITY).checkpoint()
         else:
-            found = _within(labelled, held, similarity).checkpoint()
+            found = _within(labelled, held, SIMILARITY).checkpoint()
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links, "a", "b")
         if step == ROUNDS:

@@ -321,6 +321,11 @@ def test_toxicity_finds_the_marked_words(spark, monkeypatch):
     assert got[900]["score"] == got[901]["score"] == pytest.approx(1 / 3, abs=0.06)
 
 
+def test_near_duplicates_promise_no_other_similarity(spark):
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), similarity=0.5)
+
+
 def test_all_of_a_long_run_is_read():
     for n in (1, 40, 41, 60, 61, 1000):
         run = "".join(random.Random(n).choice("\u65e5\u672c\u8a9e\u6f22\u5b57\u4e2d\u6587abc_") for _ in range(n))
