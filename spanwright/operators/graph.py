@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def with_checkpoints(df: DataFrame) -> None:
-    """Use the shared checkpoint folder that is configured; set an own one only if none is."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+from spanwright.operators.skew import even_join
+from spanwright.session import Tables
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``id, component`` for every vertex that an edge names; a component is its least vertex.
 
     Labels spread along edges and are then replaced by their own labels (pointer jumping), so the
-    rounds grow with the logarithm of a component's width. Each round is checkpointed. Null ends
-    and loops make no edge but a loop names its vertex. An empty table gives an empty result.
+    rounds grow with the logarithm of a component's width. Each round is a table in the shared
+    folder, deleted when the next one stands; a vertex with very many edges is dealt to several
+    tasks. Null ends and loops make no edge but a loop names its vertex. An empty table gives an
+    empty result.
     """
-    with_checkpoints(edges)
+    kept = Tables(edges.sparkSession)
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    both = kept.keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degrees = kept.keep(both.groupBy("b").agg(F.count("*").alias("n")))
     # The first labels: the least of a vertex and its neighbours
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        spread = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("now"))
+    labels = kept.keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component"), F.lit(True).alias("changed")))
+    while not labels.where("changed").isEmpty():
+        near = even_join(both, labels.select(F.col("id").alias("b"), "component"), ["b"], counts=degrees).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        spread = kept.keep(labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("now")))
         jump = labels.select(F.col("id").alias("now"), F.col("component").alias("further"))
-        after = spread.join(jump, "now", "left").select("id", F.least("now", F.coalesce("further", "now")).alias("component"), "was").checkpoint()
-        changed = after.where(F.col("component") != F.col("was")).limit(1).count()
-        labels = after.select("id", "component")
-        if not changed:
-            return labels
+        now = F.least("now", F.coalesce("further", "now"))
+        after = kept.keep(even_join(spread, jump, ["now"], "left").select("id", now.alias("component"), (now != F.col("was")).alias("changed")))
+        kept.drop(spread, labels)
+        labels = after
+    kept.drop(both, degrees)
+    return labels.select("id", "component")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions import expr as E
-from spanwright.operators.graph import with_checkpoints
+from spanwright.session import with_checkpoints
 
 #: Bases of a tile that k-mers are cut from at a time.
 TILE = 1000
@@ -46,7 +46,7 @@ def greedy_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     before all its open neighbours becomes a representative and takes its open neighbours; several do
     so at once, with the same result as one by one if a member goes to its first representative.
     """
-    with_checkpoints(vertices)
+    with_checkpoints(vertices.sparkSession)
     order = lambda p: F.struct((-F.col(f"{p}size")).alias("s"), F.col(f"{p}id").alias("id"))
     both = edges.select("a", "b").union(edges.select("b", "a")).where(F.col("a") != F.col("b")).distinct()
     ranked = vertices.select("id", order("").alias("rank"))

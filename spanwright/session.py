@@ -1,11 +1,14 @@
-"""Session settings that the operators rely on, and scratch folders."""
+"""Session settings that the operators rely on, and tables kept in the folder that all executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
 
 
 def configured(spark: SparkSession) -> SparkSession:
@@ -15,7 +18,50 @@ def configured(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; an own one only in local mode without that setting.
+
+    A cluster without the setting has no folder that outlives an executor, so it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not re.match(r"local($|\[)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
+    return _own[context.applicationId]
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """Use the shared folder for checkpoints, unless the session has a checkpoint folder already."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder path that all executors share: below the configured checkpoint folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
-    return f"{top}/scratch-{uuid.uuid4().hex}"
+    """A fresh folder path that all executors share."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+class Tables:
+    """Intermediate tables, written as Parquet in the shared folder; they cut lineage and outlive executors."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.top = spark, scratch(spark)
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write a table and read it again."""
+        path = f"{self.top}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete kept tables that no result reads any more."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
