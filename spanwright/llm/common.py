@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: texts are long, so batches hold fewer rows than Spark's default.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts are long, so batches are smaller than Spark's default.
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers by the rows of an Arrow batch."""
+    """Bound the memory of Python workers by the rows and the bytes of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set an own one only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+def blocks(sizes: Iterable[int], most: int) -> Iterator[slice]:
+    """Slices of neighbouring items of ``most`` in all, or of one item that is larger alone."""
+    at = held = n = 0
+    for size in sizes:
+        if n > at and held + size > most:
+            yield slice(at, n)
+            at, held = n, 0
+        held += size
+        n += 1
+    if n > at:
+        yield slice(at, n)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -36,3 +43,11 @@ def fold(doc_id: Column, parts: int) -> Column:
 def row_key(doc_id: Column, text: Column) -> Column:
     """A key that equal (id, text) rows share, null ids and texts included."""
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.hex(F.xxhash64(text)), F.length(text).cast("string"))
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, lengthened until no column has it (names don't tell cases apart)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name

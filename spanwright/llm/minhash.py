@@ -7,10 +7,13 @@ count whole, the one that holds it is split: points above the weight are left ou
 point of each component is equal in two texts with the probability of their weighted Jaccard
 similarity.
 
-Texts whose signatures agree in a band of components are candidates. Candidates are compared by
-the exact multiset overlap. Within a band's bucket, texts are first compared with one centre;
-texts that are then still apart are compared with a further centre and at last with each other in
-blocks, so a link that joins two groups is never lost, and groups of texts never make all their pairs.
+Texts whose signatures agree in a band of components are candidates and stand in one bucket of that
+band. Candidates are compared by the overlap of their multisets. Buckets are worked on in rounds: a
+few centres of a bucket are compared with its members of other groups, and what is alike becomes one
+group. The first centre is the text that shares most buckets with others, so one round joins most
+copies of a text. A bucket is done when its members are one group, or when all members outside its
+largest group have been centres: then every two members of different groups have been compared, and no
+link between groups is lost. Members of one group are never compared with each other.
 """
 
 from __future__ import annotations
@@ -18,25 +21,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import row_key, small_batches, with_checkpoints
+from spanwright.llm.common import blocks, row_key, small_batches, unused
 from spanwright.operators.graph import connected_components
+from spanwright.operators.skew import even_join
+from spanwright.session import Tables
 
 WORDS = 5
 BANDS, ROWS = 21, 6
 COMPONENTS = BANDS * ROWS
 SIMILARITY = 0.8
-#: Rounds of comparisons with centres before the rest is compared in blocks of this size.
-ROUNDS, BLOCK = 2, 256
+#: Centres of a bucket in the first round is one; each further round has so many times more.
+MORE = 32
+#: Texts of about this many characters are signed or compared together.
+TOGETHER = 1_000_000
 #: Sketch bits that may differ: at a similarity of 0.8 one bit in ten does, and six deviations more are allowed.
 BITS_APART = 33
 #: Word hashes that a worker keeps.
-KEPT = 500_000
+KEPT = 100_000
 #: Words are runs of digits, letters and bytes beyond ASCII; A to Z are lower-cased.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -121,63 +127,62 @@ def signed(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
 
+    def signed_block(block: pa.RecordBatch) -> pa.RecordBatch:
+        texts = block.column(2).to_pylist()
+        owner, run, weight = bags(texts)
+        values = _mix(signatures(len(texts), owner, run, weight).view(np.uint64))
+        band = np.zeros((len(texts), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+        for k in range(ROWS):
+            band = _mix(band + values.reshape(len(texts), BANDS, ROWS)[:, :, k])
+        bits = np.packbits((values & np.uint64(1)).astype(np.uint8), axis=1)
+        bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        keys, counts = [], []
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            keys.append(xxhash.xxh3_128_digest(run[i:j].tobytes() + weight[i:j].tobytes()) if j > i else None)
+            counts.append(int(weight[i:j].sum()))
+        columns = [block.column(0), block.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(band.view(np.int64).tolist(), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "bag", "runs", "s1", "s2", "bands"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            owner, run, weight = bags(texts)
-            values = _mix(signatures(len(texts), owner, run, weight).view(np.uint64))
-            band = np.zeros((len(texts), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for k in range(ROWS):
-                band = _mix(band + values.reshape(len(texts), BANDS, ROWS)[:, :, k])
-            bits = np.packbits((values & np.uint64(1)).astype(np.uint8), axis=1)
-            bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
-            cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-            keys, counts = [], []
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                keys.append(xxhash.xxh3_128_digest(run[i:j].tobytes() + weight[i:j].tobytes()) if j > i else None)
-                counts.append(int(weight[i:j].sum()))
-            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(band.view(np.int64).tolist(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "bag", "runs", "s1", "s2", "bands"])
+            for part in blocks((len(t or "") for t in batch.column(2).to_pylist()), TOGETHER):
+                yield signed_block(batch.slice(part.start, part.stop - part.start))
 
     return docs.select("doc_id", "row", "text").mapInArrow(work, "doc_id long, row string, bag binary, runs long, s1 long, s2 long, bands array<long>")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``bag, held`` of each row of ``bag, text``: 32-bit hashes of all occurrences of runs, sorted."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose texts are as similar as asked; ``texts`` has ``id, text``, each id once."""
+
+    def alike(block: pa.RecordBatch) -> list[bool]:
+        ids_a, ids_b, texts_a, texts_b = (c.to_pylist() for c in block.columns)
+        number: dict[int, int] = {}
+        once: list[str] = []
+        for i, t in zip(ids_a + ids_b, texts_a + texts_b, strict=True):
+            if i not in number:
+                number[i] = len(once)
+                once.append(t)
+        owner, run, weight = bags(once)
+        cuts = np.searchsorted(owner, np.arange(len(once) + 1)).tolist()
+        out = []
+        for i, j in zip(ids_a, ids_b, strict=True):
+            x, y = slice(*cuts[number[i] : number[i] + 2]), slice(*cuts[number[j] : number[j] + 2])
+            _, at_x, at_y = np.intersect1d(run[x], run[y], assume_unique=True, return_indices=True)
+            both = int(np.minimum(weight[x][at_x], weight[y][at_y]).sum())
+            out.append(both >= SIMILARITY * (int(weight[x].sum()) + int(weight[y].sum()) - both) - 1e-9)
+        return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            owner, run, weight = bags(texts)
-            nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-            held = (_mix(np.repeat(run, weight) + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-            cuts = np.searchsorted(np.repeat(owner, weight), np.arange(len(texts) + 1))
-            sets = [np.unique(held[i:j]).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["bag", "held"])
-
-    return docs.select("bag", "text").mapInArrow(work, "bag binary, held binary")
-
-
-def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose multisets are as similar as asked."""
+            for part in blocks(map(len, batch.column(3).to_pylist()), TOGETHER):
+                block = batch.slice(part.start, part.stop - part.start)
+                yield block.select([0, 1]).filter(pa.array(alike(block), pa.bool_()))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = 0
-                if len(x) >= similarity * len(y):
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(held.select(F.col("bag").alias("a"), F.col("held").alias("held_a")), "a")
-    both = both.join(held.select(F.col("bag").alias("b"), F.col("held").alias("held_b")), "b")
-    return both.select("a", "b", "held_a", "held_b").mapInArrow(work, "a binary, b binary")
+    both = even_join(pairs, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), ["b"])
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    both = even_join(both, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), ["a"], counts=counts, total=pairs.count())
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
 def _alike(x: str, y: str) -> Column:
@@ -187,74 +192,55 @@ def _alike(x: str, y: str) -> Column:
     return (apart <= BITS_APART) & sizes
 
 
-def _centres(members: DataFrame) -> DataFrame:
-    """A member of each bucket: the least bag, in every second bucket the greatest."""
-    me = F.struct("bag", "label", "runs", "s1", "s2")
-    ends = members.groupBy("bucket").agg(F.min_by(me, "bag").alias("low"), F.max_by(me, "bag").alias("high"), F.count("*").alias("n"))
-    centres = ends.where(F.col("n") > 1).select("bucket", F.when(F.col("bucket") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("c"))
-    return centres.select("bucket", "c.*")
+def _open(members: DataFrame) -> DataFrame:
+    """Buckets of more than one label: ``bucket, n, apart, largest``: members, those outside the largest group, its label."""
+    groups = members.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    sizes = groups.groupBy("bucket").agg(F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("apart"), F.max_by("label", F.struct("m", "label")).alias("largest"))
+    return sizes.where(F.col("apart") > 0)
 
 
-def _stars(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Pairs of a centre and each other member of its bucket that is not yet joined to it.
-
-    ``members`` has ``bucket, bag, label, runs, s1, s2``. One row stands on the centres' side.
-    """
-    x, y = centres.alias("x"), members.alias("y")
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & _alike("x", "y"))
-    return met.select(F.least("x.bag", "y.bag").alias("a"), F.greatest("x.bag", "y.bag").alias("b")).distinct()
+def _centres(members: DataFrame, most: int) -> DataFrame:
+    """Centres of each bucket: all members outside the largest group if they are ``most`` at most, else one of each of ``most`` parts."""
+    me = F.struct("id", "label", "runs", "s1", "s2")
+    few = members.where((F.col("apart") <= most) & (F.col("label") != F.col("largest"))).select("bucket", me.alias("c"))
+    part = F.pmod(F.xxhash64("id"), F.lit(most))
+    some = members.where(F.col("apart") > most).groupBy("bucket", part.alias("part")).agg(F.max_by(me, F.struct("weight", "id")).alias("c"))
+    return few.unionByName(some.drop("part")).select("bucket", "c.*")
 
 
-def _within(members: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a, b`` that join groups of a bucket's members that are still apart.
+def _labels(members: DataFrame, texts: DataFrame, kept: Tables) -> DataFrame | None:
+    """``id, component``: the groups that links between members of buckets make; null without candidates.
 
-    A bucket is cut into blocks of about BLOCK members, and every two of its blocks meet in a task's
-    group of bounded size. All members of different groups are compared there; of the links found
-    only those are returned that join groups not yet joined by others.
+    ``members`` has ``bucket, id, weight, runs, s1, s2`` and is a kept table.
     """
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(h, np.uint32) for h in rows["held"]]
-        sizes = np.array([len(x) for x in sets], float)
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        _, column, shared = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = shared[column] > 1  # what one member has alone is in no intersection
-        columns, column = np.unique(column[keep], return_inverse=True)
-        owner = owner[keep]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for at in range(0, len(columns), 4096):
-            part = (column >= at) & (column < at + 4096)
-            m = np.zeros((len(sets), 4096), np.float32)
-            m[owner[part], column[part] - at] = 1
-            both += m @ m.T
-        alike = both >= similarity * (sizes[:, None] + sizes[None, :] - both.astype(float)) - 1e-6
-        group = {label: label for label in rows["label"]}
-
-        def top(x: bytes) -> bytes:
-            while group[x] != x:
-                x = group[x]
-            return x
-
-        bags, labels, links = rows["bag"].tolist(), rows["label"].tolist(), []
-        for i, j in np.argwhere(np.triu(alike, 1)):
-            x, y = top(labels[i]), top(labels[j])
-            if x != y:
-                group[x] = y
-                links.append((bags[i], bags[j]))
-        return pd.DataFrame(links, columns=["a", "b"])
-
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.select("bucket", "bag", "label").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "bag", "label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(held, "bag")
-    return rows.groupBy("bucket", "p", "q").applyInPandas(work, "a binary, b binary").distinct()
-
-
-def _open_buckets(members: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one group."""
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h")).select("bucket")
-    return members.join(mixed, "bucket", "left_semi")
+    left, most, links, labels, failed = members, 1, None, None, None
+    while True:
+        named = left.withColumn("label", F.col("id"))
+        if labels is not None:
+            named = left.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        named = kept.keep(named)
+        sizes = kept.keep(_open(named))
+        if sizes.isEmpty():
+            kept.drop(named, sizes)
+            return labels
+        now = kept.keep(even_join(named, sizes.drop("n"), ["bucket"], counts=sizes))
+        kept.drop(named)
+        centres = kept.keep(_centres(now, most))
+        x, y = centres.select(*(F.col(c).alias(f"c_{c}") if c != "bucket" else F.col(c) for c in centres.columns)), now
+        met = even_join(y.select("bucket", F.struct("id", "label", "runs", "s1", "s2").alias("y")), x.select("bucket", F.struct(*(F.col(f"c_{c}").alias(c) for c in ("id", "label", "runs", "s1", "s2"))).alias("x")), ["bucket"], counts=sizes)
+        met = met.where((F.col("x.label") != F.col("y.label")) & _alike("x", "y"))
+        pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        pairs = kept.keep(pairs if failed is None else pairs.join(failed, ["a", "b"], "left_anti"))
+        found = kept.keep(verified(pairs, texts))
+        links = found if links is None else links.unionByName(found)
+        missed = pairs.join(found, ["a", "b"], "left_anti")
+        failed = kept.keep(missed if failed is None else failed.unionByName(missed))
+        labels = connected_components(links, "a", "b")
+        # A centre has been compared with all members of other groups, so its bucket needs it no more
+        rest = now.where(F.col("apart") > most).drop("label", "apart", "largest").join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        left, before = kept.keep(rest), left
+        kept.drop(before, now, sizes, centres, pairs)
+        most *= MORE
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,55 +248,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns one row per input row: ``doc_id, row, group_id, keep``. ``group_id`` is the least id of
     the class (null if it has none); classes are the components of links of SIMILARITY or more,
-    for which bands and sketch bound are set.
+    for which bands and sketch bound are set. Runs are compared by 64-bit hashes of their words.
     ``keep`` marks one row of each class: the least id. Texts without words (null and empty ones
     too) are alone in their classes. Rows of equal ids and texts share ``row`` and ``keep``;
-    ``deduplicated`` leaves one of them. Other columns are not read.
+    ``deduplicated`` leaves one of them. An empty table gives an empty result. Other columns are
+    not read, whatever their names.
     """
     spark = docs.sparkSession
-    with_checkpoints(spark)
+    kept = Tables(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
-    rows = signed(docs).checkpoint()
-    reps = rows.where(F.col("bag").isNotNull()).groupBy("bag").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("runs", "s1", "s2", "bands")))
-    reps = reps.checkpoint()
-    members = reps.select("bag", F.explode("bands").alias("bucket"), "runs", "s1", "s2")
-    shared = members.groupBy("bucket").count().where(F.col("count") > 1).select("bucket")
-    members = members.join(shared, "bucket", "left_semi").withColumn("label", F.col("bag")).checkpoint()
-    candidates = members.select("bag").distinct().join(reps.select("bag", "row"), "bag")
-    held = occurrences(docs.join(candidates, "row")).dropDuplicates(["bag"]).checkpoint()
-    links, seen, labelled = None, None, members
-    for step in range(ROUNDS + 1):
-        if step < ROUNDS:
-            centres = _centres(labelled).checkpoint()
-            pairs = _stars(labelled, centres)
-            pairs = (pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")).checkpoint()
-            seen = pairs if seen is None else seen.unionByName(pairs)
-            found = _verified(pairs, held, SIMILARITY).checkpoint()
-        else:
-            found = _within(labelled, held, SIMILARITY).checkpoint()
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links, "a", "b")
-        if step == ROUNDS:
-            break
-        # A centre was compared with all that were apart from it, so its bucket needs it no more
-        members = members.join(centres.select("bucket", "bag"), ["bucket", "bag"], "left_anti")
-        named = members.drop("label").join(labels.select(F.col("id").alias("bag"), "component"), "bag", "left")
-        labelled = _open_buckets(named.withColumn("label", F.coalesce("component", "bag")).drop("component")).checkpoint()
-        if labelled.isEmpty():
-            break
-    classes = rows.select("doc_id", "row", "bag").join(labels.select(F.col("id").alias("bag"), "component"), "bag", "left")
-    own = F.coalesce(F.hex("component"), F.hex("bag"), F.concat(F.lit("row "), "row"))
-    classes = classes.select("doc_id", "row", own.alias("class"))
-    # One row for each class, with the least id and row; copies of that row are told apart below
-    least = classes.groupBy("class").agg(F.min("doc_id").alias("group_id"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("kept"))
-    out = classes.join(least, "class")
-    return out.select("doc_id", "row", "group_id", (F.col("row") == F.col("kept.row")).alias("keep"))
+    rows = kept.keep(signed(docs))
+    # One row for each multiset of runs, with its least id and row
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("kept")
+    sized = rows.where(F.col("bag").isNotNull()).groupBy("bag")
+    reps = sized.agg(first, F.min("doc_id").alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("runs", "s1", "s2", "bands")))
+    reps = kept.keep(reps.withColumn("id", F.monotonically_increasing_id()))
+    banded = reps.select("id", F.explode("bands").alias("bucket"))
+    shared = kept.keep(banded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    members = kept.keep(even_join(banded, shared, ["bucket"], counts=shared, total=BANDS * reps.count()))
+    # The share of a text in buckets of many is its weight as a centre
+    weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    told = kept.keep(members.drop("n").join(weights, "id").join(reps.select("id", "runs", "s1", "s2"), "id"))
+    wanted = members.select("id").distinct().join(reps.select("id", F.col("kept.row").alias("row")), "id")
+    texts = kept.keep(docs.groupBy("row").agg(F.first("text").alias("text")).join(wanted, "row").select("id", "text"))
+    kept.drop(shared, members)
+    labels = _labels(told, texts, kept)
+    classes = reps.select("bag", "id", "n", "least", "kept")
+    alone = classes.select("bag", "n", F.col("least").alias("group_id"), F.col("kept.row").alias("kept"))
+    if labels is not None:
+        joined = kept.keep(classes.join(labels, "id"))
+        least = joined.groupBy("component").agg(F.min("least").alias("group_id"), F.min("kept").alias("first"))
+        grouped = even_join(joined.select("bag", "n", "component"), least, ["component"]).select("bag", "n", "group_id", F.col("first.row").alias("kept"))
+        apart = classes.join(labels, "id", "left_anti").select("bag", "n", F.col("least").alias("group_id"), F.col("kept.row").alias("kept"))
+        alone = kept.keep(grouped.unionByName(apart))
+    of_bag = even_join(rows.where(F.col("bag").isNotNull()).select("doc_id", "row", "bag"), alone.drop("n"), ["bag"], counts=alone.select("bag", "n"), total=rows.count())
+    out = of_bag.select("doc_id", "row", "group_id", (F.col("row") == F.col("kept")).alias("keep"))
+    return out.unionByName(rows.where(F.col("bag").isNull()).select("doc_id", "row", F.col("doc_id").alias("group_id"), F.lit(True).alias("keep")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class of near-duplicates, with all columns of ``docs``."""
-    names = docs.columns
-    kept = near_duplicates(docs).where("keep").select(F.col("row").alias("__row")).distinct()
-    out = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(kept, "__row", "left_semi")
-    return out.dropDuplicates(["__row"]).select(*names)
+    """One document of each class of near-duplicates, with all columns of ``docs``.
+
+    Of rows of one id and text, which may differ in other columns, any one stays.
+    """
+    row = unused("row", docs.columns)
+    kept = near_duplicates(docs).where("keep").select(F.col("row").alias(row)).distinct()
+    once = docs.withColumn(row, row_key(F.col("doc_id"), F.col("text"))).dropDuplicates([row])
+    return once.join(kept, row, "left_semi").drop(row)
