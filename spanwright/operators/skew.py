@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key is frequent if it holds more than one in SHARE of the left rows, and more than LEAST rows.
 SHARE, LEAST = 2000, 100
+#: So few left rows are joined as they are.
+FEW = 1000
 
 
 def even_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
@@ -15,10 +17,12 @@ def even_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     Fewer than SHARE keys can be frequent, whatever the input's size, so their list is bounded: it is
     taken to the driver and broadcast. Left rows of such a key are dealt by a hash of the row; the
     right rows are repeated for each part. ``counts`` has the keys and ``n``, the left rows of each,
-    where that is known already, and ``total`` the number of left rows. ``left`` is read up to three
-    times, so it should be a kept table. Null keys meet nothing and stay where ``how`` keeps them.
+    where that is known already, and ``total`` the number of left rows or of those with frequent keys.
+    ``left`` is read up to three times, so it should be a kept table. Null keys meet nothing and stay where ``how`` keeps them.
     """
     total = left.count() if total is None else total
+    if total <= FEW:
+        return left.join(right, keys, how)
     counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
     least = max(LEAST, total // SHARE)
     known = F.lit(True)

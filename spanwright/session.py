@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Rows of a small table that a task writes at least.
+ROWS = 20_000
 
 
 def configured(spark: SparkSession) -> SparkSession:
@@ -52,10 +54,10 @@ class Tables:
         self.spark, self.top = spark, scratch(spark)
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write a table and read it again."""
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write a table and read it again. If it has ``rows`` at most, few rows are written by few tasks."""
         path = f"{self.top}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(1 + rows // ROWS)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
