@@ -14,6 +14,12 @@ group. The first centre is the text that shares most buckets with others, so one
 copies of a text. A bucket is done when its members are one group, or when all members outside its
 largest group have been centres: then every two members of different groups have been compared, and no
 link between groups is lost. Members of one group are never compared with each other.
+
+Texts that are still apart after the first round are often just below the similarity, so before two of
+them are compared, their parity sketches are: a bit for each of 1024 classes of occurrences, telling
+whether a text has an odd number of them. Two sketches differ in no more bits than the multisets
+differ in occurrences, which proves most of such pairs too far apart. Long texts have sketches of a
+half, a quarter and so on of their occurrences, and a margin of six deviations.
 """
 
 from __future__ import annotations
@@ -37,8 +43,12 @@ COMPONENTS = BANDS * ROWS
 SIMILARITY = 0.8
 #: Centres of a bucket in the first round is one; each further round has so many times more.
 MORE = 32
+#: 64-bit words of a parity sketch; occurrences of a text up to which all are in it.
+PARITY, WHOLE = 16, 1024
 #: Texts of about this many characters are signed or compared together.
 TOGETHER = 1_000_000
+#: Pairs that a task compares, at least, where there are few.
+PAIRS = 300
 #: Sketch bits that may differ: at a similarity of 0.8 one bit in ten does, and six deviations more are allowed.
 BITS_APART = 33
 #: Word hashes that a worker keeps.
@@ -119,8 +129,26 @@ def signatures(texts: int, owner: np.ndarray, run: np.ndarray, weight: np.ndarra
     return sig.reshape(texts, COMPONENTS)
 
 
+def parities(texts: int, owner: np.ndarray, run: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each text and its parity sketches of that level and of the next one.
+
+    Of level k is one of 2^k occurrences, chosen by their hashes. Texts whose sizes allow the
+    similarity are of the same level or of neighbouring ones.
+    """
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    h = _mix(np.repeat(run, weight) + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    text = np.repeat(owner, weight)
+    level = np.maximum(np.ceil(np.log2((np.bincount(text, minlength=texts) + 1) / WHOLE)), 0).astype(np.int64)
+    sketches = []
+    for more in (0, 1):
+        chosen = (h >> np.uint64(40)) % (np.uint64(1) << (level[text] + more).astype(np.uint64)) == 0
+        bits = np.bincount(text[chosen] * 64 * PARITY + (h[chosen] % np.uint64(64 * PARITY)).astype(np.int64), minlength=texts * 64 * PARITY) % 2
+        sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(texts, PARITY))
+    return level, np.concatenate(sketches, 1)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, bag, runs, s1, s2, bands`` of each row of ``doc_id, row, text``.
+    """``doc_id, row, bag, runs, s1, s2, bands, level, parity`` of each row of ``doc_id, row, text``.
 
     ``bag`` is a digest of the multiset, null without words; ``s1`` and ``s2`` hold a bit for each
     component; ``bands`` are hashes of the components of a band.
@@ -142,21 +170,23 @@ def signed(docs: DataFrame) -> DataFrame:
             keys.append(xxhash.xxh3_128_digest(run[i:j].tobytes() + weight[i:j].tobytes()) if j > i else None)
             counts.append(int(weight[i:j].sum()))
         columns = [block.column(0), block.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(band.view(np.int64).tolist(), pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "bag", "runs", "s1", "s2", "bands"])
+        level, parity = parities(len(texts), owner, run, weight)
+        columns += [pa.array(level), pa.array(parity.tolist(), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "bag", "runs", "s1", "s2", "bands", "level", "parity"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks((len(t or "") for t in batch.column(2).to_pylist()), TOGETHER):
                 yield signed_block(batch.slice(part.start, part.stop - part.start))
 
-    return docs.select("doc_id", "row", "text").mapInArrow(work, "doc_id long, row string, bag binary, runs long, s1 long, s2 long, bands array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(work, "doc_id long, row string, bag binary, runs long, s1 long, s2 long, bands array<long>, level long, parity array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose texts are as similar as asked; ``texts`` has ``id, text``, each id once."""
+    """``la, lb`` of the pairs ``a, b`` whose texts are as similar as asked; ``texts`` has ``id, text``, each id once."""
 
     def alike(block: pa.RecordBatch) -> list[bool]:
-        ids_a, ids_b, texts_a, texts_b = (c.to_pylist() for c in block.columns)
+        ids_a, ids_b, _, _, texts_a, texts_b = (c.to_pylist() for c in block.columns)
         number: dict[int, int] = {}
         once: list[str] = []
         for i, t in zip(ids_a + ids_b, texts_a + texts_b, strict=True):
@@ -175,14 +205,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(map(len, batch.column(3).to_pylist()), TOGETHER):
+            for part in blocks(map(len, batch.column(5).to_pylist()), TOGETHER):
                 block = batch.slice(part.start, part.stop - part.start)
-                yield block.select([0, 1]).filter(pa.array(alike(block), pa.bool_()))
+                yield block.select([2, 3]).filter(pa.array(alike(block), pa.bool_()))
 
     both = even_join(pairs, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), ["b"])
+    n = pairs.count()
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    both = even_join(both, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), ["a"], counts=counts, total=pairs.count())
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    both = even_join(both, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), ["a"], counts=counts, total=n)
+    both = both.coalesce(1 + n // PAIRS)
+    return both.select("a", "b", "la", "lb", "text_a", "text_b").mapInArrow(work, "la long, lb long")
 
 
 def _alike(x: str, y: str) -> Column:
@@ -192,6 +224,19 @@ def _alike(x: str, y: str) -> Column:
     return (apart <= BITS_APART) & sizes
 
 
+def _not_apart(x: str, y: str) -> Column:
+    """Whether parity sketches of the higher one of two levels allow the similarity."""
+    lx, ly = F.col(f"{x}.level"), F.col(f"{y}.level")
+    differ = F.lit(0)
+    for k in range(PARITY):
+        mine = F.when(lx >= ly, F.col(f"{x}.p{k}")).otherwise(F.col(f"{x}.p{k + PARITY}"))
+        other = F.when(ly >= lx, F.col(f"{y}.p{k}")).otherwise(F.col(f"{y}.p{k + PARITY}"))
+        differ = differ + F.bit_count(mine.bitwiseXOR(other))
+    level = F.greatest(lx, ly)
+    most = (F.col(f"{x}.runs") + F.col(f"{y}.runs")) * (1 - SIMILARITY) / (1 + SIMILARITY) / F.pow(F.lit(2.0), level)
+    return differ <= most + F.when(level > 0, 6 * F.sqrt(most)).otherwise(1e-6)
+
+
 def _open(members: DataFrame) -> DataFrame:
     """Buckets of more than one label: ``bucket, n, apart, largest``: members, those outside the largest group, its label."""
     groups = members.groupBy("bucket", "label").agg(F.count("*").alias("m"))
@@ -199,47 +244,47 @@ def _open(members: DataFrame) -> DataFrame:
     return sizes.where(F.col("apart") > 0)
 
 
-def _centres(members: DataFrame, most: int) -> DataFrame:
+def _centres(members: DataFrame, most: int, me: Column) -> DataFrame:
     """Centres of each bucket: all members outside the largest group if they are ``most`` at most, else one of each of ``most`` parts."""
-    me = F.struct("id", "label", "runs", "s1", "s2")
-    few = members.where((F.col("apart") <= most) & (F.col("label") != F.col("largest"))).select("bucket", me.alias("c"))
+    few = members.where((F.col("apart") <= most) & (F.col("label") != F.col("largest"))).select("bucket", me.alias("x"))
     part = F.pmod(F.xxhash64("id"), F.lit(most))
-    some = members.where(F.col("apart") > most).groupBy("bucket", part.alias("part")).agg(F.max_by(me, F.struct("weight", "id")).alias("c"))
-    return few.unionByName(some.drop("part")).select("bucket", "c.*")
+    some = members.where(F.col("apart") > most).groupBy("bucket", part.alias("part")).agg(F.max_by(me, F.struct("weight", "id")).alias("x"))
+    return few.unionByName(some.drop("part"))
 
 
-def _labels(members: DataFrame, texts: DataFrame, kept: Tables) -> DataFrame | None:
-    """``id, component``: the groups that links between members of buckets make; null without candidates.
+def _labels(members: DataFrame, reps: DataFrame, texts: DataFrame, kept: Tables) -> DataFrame:
+    """``id, label``: the group of each member of a bucket, by the links between members.
 
-    ``members`` has ``bucket, id, weight, runs, s1, s2`` and is a kept table.
+    ``members`` has ``bucket, id, weight``, ``reps`` sizes and sketches of each id, ``texts`` its text;
+    all are kept tables.
     """
-    left, most, links, labels, failed = members, 1, None, None, None
+    labels = kept.keep(members.groupBy("id").agg(F.first("id").alias("label")), members.count())
+    sketch = [F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(2 * PARITY)]
+    left, most = members, 1
     while True:
-        named = left.withColumn("label", F.col("id"))
-        if labels is not None:
-            named = left.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        named = kept.keep(named)
-        sizes = kept.keep(_open(named))
+        n = left.count()
+        named = kept.keep(left.join(labels, "id"), n)
+        sizes = kept.keep(_open(named), n)
         if sizes.isEmpty():
             kept.drop(named, sizes)
             return labels
-        now = kept.keep(even_join(named, sizes.drop("n"), ["bucket"], counts=sizes))
-        kept.drop(named)
-        centres = kept.keep(_centres(now, most))
-        x, y = centres.select(*(F.col(c).alias(f"c_{c}") if c != "bucket" else F.col(c) for c in centres.columns)), now
-        met = even_join(y.select("bucket", F.struct("id", "label", "runs", "s1", "s2").alias("y")), x.select("bucket", F.struct(*(F.col(f"c_{c}").alias(c) for c in ("id", "label", "runs", "s1", "s2"))).alias("x")), ["bucket"], counts=sizes)
-        met = met.where((F.col("x.label") != F.col("y.label")) & _alike("x", "y"))
-        pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        pairs = kept.keep(pairs if failed is None else pairs.join(failed, ["a", "b"], "left_anti"))
-        found = kept.keep(verified(pairs, texts))
-        links = found if links is None else links.unionByName(found)
-        missed = pairs.join(found, ["a", "b"], "left_anti")
-        failed = kept.keep(missed if failed is None else failed.unionByName(missed))
-        labels = connected_components(links, "a", "b")
+        known = reps.select("id", "runs", "s1", "s2", *(["level", *sketch] if most > 1 else []))
+        now = kept.keep(even_join(named, sizes.drop("n"), ["bucket"], counts=sizes).join(known, "id"), n)
+        me = F.struct("label", *known.columns)
+        centres = kept.keep(_centres(now, most, me), n)
+        met = even_join(now.select("bucket", me.alias("y")), centres, ["bucket"], counts=sizes)
+        met = met.where((F.col("x.label") != F.col("y.label")) & _alike("x", "y") & (_not_apart("x", "y") if most > 1 else F.lit(True)))
+        swap = F.col("x.id") < F.col("y.id")
+        side = lambda of, name: F.when(swap, F.col(f"x.{of}") if name == "a" else F.col(f"y.{of}")).otherwise(F.col(f"y.{of}") if name == "a" else F.col(f"x.{of}"))
+        pairs = kept.keep(met.select(side("id", "a").alias("a"), side("id", "b").alias("b"), side("label", "a").alias("la"), side("label", "b").alias("lb")).distinct())
+        links = kept.keep(verified(pairs, texts))
+        # Groups grow together by links between their labels
+        joined = connected_components(links, "la", "lb", links.count()).select(F.col("id").alias("label"), F.col("component").alias("now"))
+        before, labels = labels, kept.keep(even_join(labels, joined, ["label"], "left").select("id", F.coalesce("now", "label").alias("label")), labels.count())
         # A centre has been compared with all members of other groups, so its bucket needs it no more
-        rest = now.where(F.col("apart") > most).drop("label", "apart", "largest").join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        left, before = kept.keep(rest), left
-        kept.drop(before, now, sizes, centres, pairs)
+        rest = now.where(F.col("apart") > most).select("bucket", "id", "weight")
+        left = kept.keep(rest.join(centres.select("bucket", F.col("x.id").alias("id")), ["bucket", "id"], "left_anti"), n)
+        kept.drop(before, named, now, sizes, centres, pairs, links)
         most *= MORE
 
 
@@ -259,30 +304,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     rows = kept.keep(signed(docs))
+    n_rows = rows.count()
     # One row for each multiset of runs, with its least id and row
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("kept")
     sized = rows.where(F.col("bag").isNotNull()).groupBy("bag")
-    reps = sized.agg(first, F.min("doc_id").alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("runs", "s1", "s2", "bands")))
-    reps = kept.keep(reps.withColumn("id", F.monotonically_increasing_id()))
+    reps = sized.agg(first, F.min("doc_id").alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("runs", "s1", "s2", "bands", "level", "parity")))
+    reps = kept.keep(reps.withColumn("id", F.monotonically_increasing_id()), n_rows)
+    n_reps = reps.count()
     banded = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = kept.keep(banded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    members = kept.keep(even_join(banded, shared, ["bucket"], counts=shared, total=BANDS * reps.count()))
+    shared = kept.keep(banded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), BANDS * n_reps)
+    members = kept.keep(even_join(banded, shared, ["bucket"], counts=shared, total=BANDS * n_reps), BANDS * n_reps)
     # The share of a text in buckets of many is its weight as a centre
     weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    told = kept.keep(members.drop("n").join(weights, "id").join(reps.select("id", "runs", "s1", "s2"), "id"))
+    told = kept.keep(members.drop("n").join(weights, "id"), members.count())
     wanted = members.select("id").distinct().join(reps.select("id", F.col("kept.row").alias("row")), "id")
     texts = kept.keep(docs.groupBy("row").agg(F.first("text").alias("text")).join(wanted, "row").select("id", "text"))
     kept.drop(shared, members)
-    labels = _labels(told, texts, kept)
-    classes = reps.select("bag", "id", "n", "least", "kept")
-    alone = classes.select("bag", "n", F.col("least").alias("group_id"), F.col("kept.row").alias("kept"))
-    if labels is not None:
-        joined = kept.keep(classes.join(labels, "id"))
-        least = joined.groupBy("component").agg(F.min("least").alias("group_id"), F.min("kept").alias("first"))
-        grouped = even_join(joined.select("bag", "n", "component"), least, ["component"]).select("bag", "n", "group_id", F.col("first.row").alias("kept"))
-        apart = classes.join(labels, "id", "left_anti").select("bag", "n", F.col("least").alias("group_id"), F.col("kept.row").alias("kept"))
-        alone = kept.keep(grouped.unionByName(apart))
-    of_bag = even_join(rows.where(F.col("bag").isNotNull()).select("doc_id", "row", "bag"), alone.drop("n"), ["bag"], counts=alone.select("bag", "n"), total=rows.count())
+    labels = _labels(told, reps, texts, kept)
+    # Classes of more than one text take the least id and row of their texts
+    joined = kept.keep(reps.select("id", "bag", "n", "least", "kept").join(labels, "id"), n_reps)
+    least = joined.groupBy("label").agg(F.min("least").alias("group_id"), F.min("kept").alias("first"))
+    grouped = even_join(joined.select("bag", "n", "label"), least, ["label"]).select("bag", "n", "group_id", F.col("first.row").alias("kept"))
+    apart = reps.join(labels, "id", "left_anti").select("bag", "n", F.col("least").alias("group_id"), F.col("kept.row").alias("kept"))
+    classes = kept.keep(grouped.unionByName(apart), n_reps)
+    kept.drop(told, texts, joined, labels, reps)
+    of_bag = even_join(rows.where(F.col("bag").isNotNull()).select("doc_id", "row", "bag"), classes.drop("n"), ["bag"], counts=classes.select("bag", "n"), total=n_rows)
     out = of_bag.select("doc_id", "row", "group_id", (F.col("row") == F.col("kept")).alias("keep"))
     return out.unionByName(rows.where(F.col("bag").isNull()).select("doc_id", "row", F.col("doc_id").alias("group_id"), F.lit(True).alias("keep")))
 
