@@ -116,8 +116,11 @@ class Lattice:
         e = self.edges(texts)
         return self.forward(e, self.weights(e["piece"], logp))[e["last"]]
 
-    def expected(self, texts: list[str], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """How often each piece is expected in the texts, each text counting as often as told."""
+    def expected(self, texts: list[str], counts: np.ndarray, logp: np.ndarray, whole: bool = False) -> np.ndarray:
+        """How often each piece is expected in the texts, each text counting as often as told.
+
+        With ``whole`` each edge's share is rounded, so that the sum is exact in any order.
+        """
         out = np.zeros(len(self.pieces))
         if not texts:
             return out
@@ -135,6 +138,8 @@ class Lattice:
             beta[a[i:j]] = np.logaddexp(beta[a[i:j]], v[i:j] + beta[b[i:j]])
         owner = np.searchsorted(e["last"], e["from"])
         share = np.exp(alpha[e["from"]] + w + beta[e["to"]] - alpha[e["last"]][owner]) * counts[owner]
+        if whole:
+            share = np.round(share)
         real = e["piece"] >= 0
         out += np.bincount(e["piece"][real], share[real], len(out))
         for c, n in zip(-1 - e["piece"][~real], share[~real], strict=True):

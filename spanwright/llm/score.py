@@ -5,7 +5,8 @@ pass counts all words of the corpus. The vocabulary's own scores (ranks) give fi
 pieces; every segmentation of every training word is weighed by them, as often as the word occurs,
 and the expected counts of pieces give the model. A word's log probability is the sum over all its
 segmentations, found once for each distinct word; a document's is the sum of its words'. The word
-counts also give a base score: add-one word frequencies.
+counts also give a base score: add-one word frequencies. The end of a text is a piece of its own, as
+often as there are training texts.
 
 Frequent words, a bounded number chosen by their counts, go to the tasks; all other words are joined
 with their counts and probabilities by a shuffle.
@@ -27,11 +28,11 @@ from spanwright.llm.common import fold, small_batches
 from spanwright.llm.lattice import SPACE, Lattice
 from spanwright.session import with_checkpoints
 
-#: Words whose counts are sent to all tasks, at most.
-FREQUENT = 200_000
+#: Words whose counts are sent to all tasks, at most, and bytes of each, at most.
+FREQUENT, SHORT = 200_000, 64
 #: Distinct words that a task gathers before it hands on their counts, and words weighed at a time.
 GATHERED, TOGETHER = 200_000, 20_000
-#: Expected counts are added up as whole thousandths, so that sums don't depend on their order.
+#: Expected counts are rounded to thousandths word by word, so that sums depend on no order and no batch.
 SCALE = 1000
 #: Weight of the vocabulary's own scores against the corpus, in pieces.
 PRIOR = 1000.0
@@ -125,8 +126,7 @@ def expected_counts(counts: DataFrame, pieces: list[str], logp: np.ndarray) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, model = np.zeros(len(pieces)), lattice(pieces)
         for t in _gathered(batches):
-            found = model.expected(_stretches(t["word"]), t["n"].to_numpy().astype(float), logp)
-            total += np.round(found * SCALE)
+            total += model.expected(_stretches(t["word"]), t["n"].to_numpy().astype(float) * SCALE, logp, whole=True)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64))], names=["piece", "n"])
 
@@ -147,9 +147,10 @@ def weighted(counts: DataFrame, pieces: list[str], logp: np.ndarray) -> DataFram
 
 
 def _frequent(counts: DataFrame) -> tuple[int, pa.Table]:
-    """The least count of which at most FREQUENT words have as much, and those words."""
+    """The least count of which at most FREQUENT short words have as much, and those words: bounded in bytes too."""
+    counts = counts.where(F.octet_length("word") <= SHORT)
     sizes = counts.groupBy(F.floor(F.log2(F.col("n_all").cast("double"))).cast("int").alias("size")).count().collect()  # a row for each power of 2
-    least, held = 63, 0
+    least, held = 62, 0  # no word is as frequent
     for r in sorted(sizes, key=lambda r: -r["size"]):
         held += r["count"]
         if held > FREQUENT:
@@ -163,9 +164,10 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     The model learns from documents whose crc32(id as text) mod ``folds`` isn't ``held`` (null ids
     count as 0). Returns one row per input row: ``doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score``. A null or empty text has one token, the end, and score 0:
-    the probability of no word is 1. Without training rows the vocabulary's weights stand.
-    Repeated rows each give their row; other columns are not read.
+    train_tokens, base_score, score``. A null or empty text has one token, the end, whose
+    probability is its score. Without training rows the vocabulary's weights stand and the end has
+    the chance of one piece in PRIOR. Repeated rows each give their row; other columns are not read,
+    whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -178,7 +180,9 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     expected = np.exp(first) * PRIOR * SCALE
     for r in expected_counts(counts, pieces, first).collect():  # a row for each piece at most
         expected[r["piece"]] += r["n"]
-    table = weighted(counts, pieces, np.log(expected / expected.sum())).checkpoint()
+    pieces_in_all, ends = expected.sum() / SCALE, n_end + 1
+    log_end = math.log10(ends / (pieces_in_all + ends))
+    table = weighted(counts, pieces, np.log(expected / SCALE / (pieces_in_all + ends))).checkpoint()
     least, frequent = _frequent(table)
     values = zip(np.log10(frequent["n"].to_numpy() + 1.0).tolist(), frequent["weight"].to_pylist(), [int(c > 0) for c in frequent["n"].to_pylist()], strict=True)
     sent = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), values, strict=True)))
@@ -201,8 +205,9 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+    rare = table.where((F.col("n_all") < least) | (F.octet_length("word") > SHORT))
     schema = "key binary, doc_id long, n_tokens long, known long, logs double, score double, word binary, tf long"
-    joined = docs.mapInArrow(work, schema).join(table.where(F.col("n_all") < least).drop("n_all"), "word", "left")
+    joined = docs.mapInArrow(work, schema).join(rare.drop("n_all"), "word", "left")
     # Equal rows meet under one key, each with all its words
     copies = F.count("n_tokens")
     per = joined.groupBy("key").agg(
@@ -224,6 +229,6 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         (F.col("known") + F.col("rare_known") + (1 if n_end else 0)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("rare_logs") + math.log10(n_end + 1) - F.col("n_tokens") * each).alias("base_score"),
-        (F.col("score") + F.col("rare_score")).alias("score"),
+        (F.col("score") + F.col("rare_score") + log_end).alias("score"),
         F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
     ).drop("copy")
