@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanwright.llm.common import row_key
+from spanwright.llm.common import row_key, unused
+from spanwright.operators.skew import even_join
+from spanwright.session import Tables
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -30,19 +32,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def _grams(df: DataFrame, length: int) -> DataFrame:
-    """``v``: per word the hash of it and the ``length`` - 1 next ones, above the word's position.
+def _grams(df: DataFrame, *lengths: int) -> DataFrame:
+    """``v``: for each length, per word the hash of it and the ``length`` - 1 next ones, above the word's position.
 
     Hashes take the words as ``lower`` gives them. Equal words have equal hashes; the words
     themselves are compared later, so a collision can't make a hit. The position stands negated in
     the low bits, so that of equal hashes the least value is the last one.
     """
     df = df.withColumn("h", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
-    starts = F.when(F.size("h") >= length, F.sequence(F.lit(0), F.size("h") - length)).otherwise(F.array().cast("array<int>"))
-    run = lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(length)))
-    packed = lambda i: F.shiftleft(F.shiftrightunsigned(run(i), POSITION), POSITION).bitwiseOR(F.lit(2**POSITION - 1) - i)
+
+    def runs(length: int) -> Column:
+        starts = F.when(F.size("h") >= length, F.sequence(F.lit(0), F.size("h") - length)).otherwise(F.array().cast("array<int>"))
+        run = lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(length)))
+        packed = lambda i: F.shiftleft(F.shiftrightunsigned(run(i), POSITION), POSITION).bitwiseOR(F.lit(2**POSITION - 1) - i)
+        return F.transform(starts, packed)
+
     # ``h`` is named more than once, so that the optimizer doesn't compute it anew for each word
-    return df.withColumn("v", F.transform(starts, packed))
+    return df.withColumn("v", runs(lengths[0]) if len(lengths) == 1 else F.concat(*map(runs, lengths)))
 
 
 def _unpacked(v: Column) -> tuple[Column, Column]:
@@ -66,9 +72,12 @@ def _around(reach: int, length: int) -> Column:
 
 
 def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join by ``g``; the benchmark's side is broadcast only if it is small."""
-    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(right) if small else right, "g", how)
+    """Join by ``g``; the benchmark's side is broadcast only if it is small, else frequent runs are dealt to several tasks."""
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), "g", how)
+    kept = Tables(left.sparkSession)
+    counts = kept.keep(left.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    return even_join(left, right, ["g"], how, counts=counts, total=counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
 def _first_false(flags: list[Column]) -> Column:
@@ -109,19 +118,27 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     own = F.concat(F.array(F.lit(None).cast("long")), F.col("kept"))
     here = kept_runs(doc_rows).withColumn("kept", own).select("doc_id", "key", "n_words", "words", F.explode_outer("kept").alias("v"))
     here = here.withColumns(dict(zip(("g", "p"), _unpacked(F.col("v")), strict=True)))
-    here = here.withColumn("g", F.coalesce("g", -F.abs(F.hash("key")).cast("long") - 1))  # no hash is negative
+    here = here.withColumn("g", F.coalesce("g", -F.abs(F.hash("key").cast("long")) - 1))  # no hash is negative
     # This filter runs in generated code, so only rows that met leave it with their words; what the
     # lambdas find stays a column, as a filter on it would be merged with this one and leave that code
     met = _extended(_joined(here, there, "left").where(F.col("v").isNull() | F.col("there").isNotNull()))
     out = met.select("doc_id", "key", "n_words", "start", "stop", F.when(F.col("start").isNotNull(), F.col("item_id")).alias("item_id"), F.col("v").isNull().alias("own"))
     short = item_rows.where((F.size("words") > 0) & (F.size("words") < SPAN))
     lengths = [r[0] for r in short.select(F.size("words").alias("n")).distinct().collect()]  # below SPAN
+    if not lengths:
+        return out
+    # Runs of all lengths in one more pass; a run of another length than the item's differs in its words
+    size = F.size("words")
+    fixed = F.transform("words", lambda w: F.translate(w, UPPER, LOWER))
+    one = None
     for n in sorted(lengths):
-        one = _grams(short.where(F.size("words") == n), n).select(_unpacked(F.get("v", F.lit(0)))[0].alias("g"), "item_id", F.transform("words", lambda w: F.translate(w, UPPER, LOWER)).alias("there"))
-        runs = _grams(doc_rows, n).select("doc_id", "key", "n_words", "words", F.explode_outer("v").alias("v")).where(F.col("v").isNotNull())
-        runs = runs.withColumns(dict(zip(("g", "p"), _unpacked(F.col("v")), strict=True)))
-        met = _joined(runs, one, "inner").where(_around(0, n) == F.col("there"))
-        out = out.unionByName(met.select("doc_id", "key", "n_words", F.col("p").alias("start"), (F.col("p") + n).alias("stop"), "item_id", F.lit(False).alias("own")))
+        part = _grams(short.where(size == n), n).select(_unpacked(F.get("v", F.lit(0)))[0].alias("g"), "item_id", fixed.alias("there"))
+        one = part if one is None else one.unionByName(part)
+    runs = _grams(doc_rows, *sorted(lengths)).select("doc_id", "key", "n_words", "words", F.explode_outer("v").alias("v")).where(F.col("v").isNotNull())
+    runs = runs.withColumns(dict(zip(("g", "p"), _unpacked(F.col("v")), strict=True)))
+    here = F.transform(F.slice("words", F.col("p") + 1, F.size("there")), lambda w: F.translate(w, UPPER, LOWER))
+    met = _joined(runs, one, "inner").where(here == F.col("there"))
+    out = out.unionByName(met.select("doc_id", "key", "n_words", F.col("p").alias("start"), (F.col("p") + F.size("there")).alias("stop"), "item_id", F.lit(False).alias("own")))
     return out
 
 
@@ -154,9 +171,12 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without benchmark windows, all their columns kept."""
-    names = docs.columns
-    docs = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    bad = hits(docs.select("doc_id", F.col("__key").alias("key"), "text"), items.select(F.col("item_id").cast("string").alias("item_id"), "text"))
-    bad = bad.groupBy(F.col("key").alias("__key")).agg(F.max("start").alias("start")).where(F.col("start").isNotNull()).drop("start")
-    return docs.join(bad, "__key", "left_anti").select(*names)
+    """The documents without benchmark windows, all their columns and repeated rows kept.
+
+    Null and empty texts are kept; an empty benchmark keeps all documents.
+    """
+    key = unused("key", docs.columns)
+    docs = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    bad = hits(docs.select("doc_id", F.col(key).alias("key"), "text"), items.select(F.col("item_id").cast("string").alias("item_id"), "text"))
+    bad = bad.groupBy(F.col("key").alias(key)).agg(F.max("start").alias("start")).where(F.col("start").isNotNull()).drop("start")
+    return docs.join(bad, key, "left_anti").drop(key)
