@@ -2,15 +2,19 @@
 
 A small tree builder adds the tags that pages leave out; visibility rules drop what is not shown;
 a renderer emits all other text: blocks on lines of their own with space between, lists with marks
-and indents, table cells padded to aligned columns.
+and indents, table cells padded to aligned columns. Hidden is what the ``hidden`` attribute, inline
+styles and the rules of the page's own ``style`` elements hide, as far as their selectors are a name,
+a class, an id or a name with one of these.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pyarrow as pa
@@ -22,7 +26,7 @@ from spanwright.llm.common import small_batches
 #: Names of elements by how they nest and show.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style title template noembed noframes iframe object audio video canvas svg math datalist area base link meta param source track col colgroup".split())
+HIDDEN = frozenset("head script style title template noembed noframes iframe object audio video canvas datalist area base link meta param source track col colgroup rp desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr caption tbody thead tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure hr".split())
 CLOSES_P = BLOCK - frozenset("html body li dd dt caption tr tbody thead tfoot legend summary figcaption".split())
@@ -47,12 +51,28 @@ FENCES = {"table": frozenset(), "li": FENCE | {"ul", "ol", "menu", "dir"}} | dic
 HEAD_ONLY = frozenset("base basefont bgsound link meta title style script noscript template".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: Elements nested deeper than this are children of the deepest one.
-DEPTH = 200
+GONE = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
+SEEN = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)?(?:([.#])([A-Za-z0-9_-]+))?")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: HTML's white space; other blanks, as the non-breaking one, are text.
+BLANK = " \t\n\r\f"
+BLANKS = re.compile(f"[{BLANK}]+")
+NUMBER = re.compile(rf"[{BLANK}]*([+-]?[0-9]{{1,9}})(?![0-9])")
+#: Lists and tables nested deeper than this are laid out as plain blocks: their text stays, without marks and columns.
+NESTED = 64
+
+
+def number(value: str | None, default: int) -> int:
+    """The whole number that an attribute begins with; numbers of more than nine digits are none."""
+    m = NUMBER.match(value or "")
+    return int(m[1]) if m else default
 
 
 class Node:
+    """An element; its children are elements and strings."""
+
     __slots__ = ("tag", "attrs", "children")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
@@ -66,17 +86,59 @@ class Node:
                 return unescape(m[2] or m[3] or m[4] or "")
         return None
 
-    def hidden(self) -> bool:
-        if self.tag in HIDDEN or (self.attrs and self.attribute("hidden") is not None):
+    def hidden(self, rules: Rules = ()) -> bool:
+        """Whether the element and all in it take no place."""
+        if self.tag in HIDDEN or (rules and self.ruled(rules, 0)):
             return True
-        return bool(self.attrs) and UNSEEN.search(self.attribute("style") or "") is not None
+        if not self.attrs:
+            return self.tag == "dialog"
+        if self.attribute("hidden") is not None or (self.tag == "dialog" and self.attribute("open") is None):
+            return True
+        return GONE.search(self.attribute("style") or "") is not None
+
+    def seen(self, rules: Rules, inherited: bool) -> bool:
+        """Whether the element's own text is visible, given whether its parent's is."""
+        m = SEEN.search(self.attribute("style") or "") if self.attrs else None
+        if m:
+            return m[1].lower() == "visible"
+        found = self.ruled(rules, 1) if rules else None
+        return inherited if found is None else found == "visible"
+
+    def ruled(self, rules: Rules, which: int) -> str | None:
+        """What the last fitting rule says: 0 for display, 1 for visibility."""
+        out = None
+        for tag, mark, name, *said in rules:
+            if said[which] is None or (tag and tag != self.tag):
+                continue
+            if mark == "#" and self.attribute("id") != name:
+                continue
+            if mark == "." and name not in (self.attribute("class") or "").split():
+                continue
+            out = said[which]
+        return out
 
 
-def tree(page: str) -> Node:
-    """The elements of a page, with the tags added that it leaves out."""
-    root = Node("html")
-    open_nodes = [root]
+#: Name, mark, class or id, and what is said of display and visibility.
+Rules = list[tuple[str, str, str, str | None, str | None]] | tuple[()]
+
+
+def style_rules(css: str) -> Rules:
+    """Rules that hide or show elements, of selectors that are simple."""
+    out = []
+    for m in RULE.finditer(COMMENT.sub(" ", css)):
+        gone, seen = GONE.search(m[2]), SEEN.search(m[2])
+        if gone or seen:
+            for selector in m[1].split(","):
+                found = SELECTOR.fullmatch(selector.strip())
+                if found and found[0]:
+                    out.append(((found[1] or "").lower(), found[2] or "", found[3] or "", "none" if gone else None, seen[1].lower() if seen else None))
+    return out
+
 
+def tree(page: str) -> tuple[Node, int, Rules]:
+    """The elements of a page, with the tags added that it leaves out; how deep they nest; its style rules."""
+    root = Node("html")
+    open_nodes, deepest, css = [root], 1, []
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name, outermost first
 
     def end_from(cut: int) -> None:
@@ -92,15 +154,13 @@ def tree(page: str) -> Node:
             end_from(max(found) if innermost else min(found))
 
     def start(tag: str, attrs: str = "", leaf: bool = False) -> Node:
-        node, parent = Node(tag, attrs), open_nodes[-1]
-        parent.children.append(node)
+        nonlocal deepest
+        node = Node(tag, attrs)
+        open_nodes[-1].children.append(node)
         if not leaf:
             places[tag].append(len(open_nodes))
-            if len(open_nodes) >= DEPTH and not node.hidden():
-                open_nodes.append(Node(tag, attrs))  # waits for its end tag; what it holds is its parent's
-                open_nodes[-1].children = parent.children
-            else:
-                open_nodes.append(node)
+            open_nodes.append(node)
+            deepest = max(deepest, len(open_nodes))
         return node
 
     at = 0
@@ -138,12 +198,14 @@ def tree(page: str) -> Node:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at) if tag != "plaintext" else None
             body = page[at : end.start() if end else len(page)]
             node.children.append(unescape(body) if tag == "textarea" else body)
+            if tag == "style":
+                css.append(body)
             at = end.start() if end else len(page)
             if end and (stop := page.find(">", at)) >= 0:
                 at = stop + 1
             continue
         start(tag, m[3], leaf=tag in VOID)
-    return root
+    return root, deepest, style_rules("\n".join(css))
 
 
 class _Lines:
@@ -165,13 +227,13 @@ class _Lines:
                 self.line = []
                 self._add(r)
             return
-        words = text.split()
+        words = BLANKS.sub(" ", text).strip(" ")
         if not words:
             self.space = self.space or bool(text)
             return
-        lead = (self.space or text[0].isspace()) and self.line
-        self._add((" " if lead else "") + " ".join(words))
-        self.space = text[-1].isspace()
+        lead = (self.space or text[0] in BLANK) and self.line
+        self._add((" " if lead else "") + words)
+        self.space = text[-1] in BLANK
 
     def _add(self, text: str) -> None:
         if text:
@@ -190,40 +252,57 @@ class _Lines:
         self.gap = self.gap or spaced
 
 
-def _lay_out(node: Node, out: _Lines, pre: bool = False) -> None:
+@dataclass(frozen=True)
+class Place:
+    """Where a node stands: inside preformatted text, its text visible, in how many lists and tables."""
+
+    rules: Rules = ()
+    pre: bool = False
+    seen: bool = True
+    depth: int = 0
+
+
+def _lay_out(node: Node, out: _Lines, at: Place) -> None:
     for child in node.children:
         if isinstance(child, str):
-            out.put(child, pre)
+            if at.seen:
+                out.put(child, at.pre)
             continue
         tag = child.tag
-        if child.hidden() or (tag == "input" and (child.attribute("type") or "").lower() == "hidden"):
+        if child.hidden(at.rules):
             continue
+        here = at if (seen := child.seen(at.rules, at.seen)) == at.seen else replace(at, seen=seen)
+        nested = here.depth < NESTED
         if tag == "br":
             if out.line:
                 out.end()
             else:
                 out.lines.append("")
-        elif tag == "table":
+        elif tag == "table" and nested:
             out.end(True)
-            _block(_table(child), out)
+            _block(_table(child, replace(here, depth=here.depth + 1)), out)
             out.end(True)
-        elif tag in ("ul", "ol", "menu", "dir"):
+        elif tag in ("ul", "ol", "menu", "dir") and nested:
             out.end(tag not in ("menu",))
-            _list(child, out, pre)
+            _list(child, out, replace(here, depth=here.depth + 1))
             out.end(True)
         elif tag in BLOCK or tag == "option":
             spaced = tag in SPACED
             out.end(spaced)
-            _lay_out(child, out, pre or tag == "pre")
+            _lay_out(child, out, replace(here, pre=True) if tag == "pre" else here)
             out.end(spaced)
         elif tag in ("textarea", "xmp", "plaintext"):
-            out.put("".join(c for c in child.children if isinstance(c, str)), True)
+            if here.seen:
+                out.put("".join(c for c in child.children if isinstance(c, str)), True)
+        elif tag == "input":
+            if here.seen and (child.attribute("type") or "").lower() in ("button", "submit", "reset"):
+                out.put(child.attribute("value") or "", False)
         elif tag in ("td", "th"):
             out.space = True
-            _lay_out(child, out, pre)
+            _lay_out(child, out, here)
             out.space = True
         else:
-            _lay_out(child, out, pre)
+            _lay_out(child, out, here)
 
 
 def _block(lines: list[str], out: _Lines, first: str = "", indent: str = "") -> None:
@@ -234,25 +313,28 @@ def _block(lines: list[str], out: _Lines, first: str = "", indent: str = "") ->
         out.end()
 
 
-def _list(node: Node, out: _Lines, pre: bool) -> None:
-    number = int(s) if (s := node.attribute("start") or "1").lstrip("-").isdigit() else 1
+def _list(node: Node, out: _Lines, at: Place) -> None:
+    n = number(node.attribute("start"), 1)
     for child in node.children:
         if isinstance(child, str) or child.tag != "li":
             wrapped = Node("div")
             wrapped.children = [child]
-            _lay_out(wrapped, out, pre)
-        elif not child.hidden():
-            lines = _inside(child, pre)
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
+            _lay_out(wrapped, out, at)
+        elif not child.hidden(at.rules):
+            n = number(child.attribute("value"), n) if child.attrs else n
+            seen = child.seen(at.rules, at.seen)
+            lines = _inside(child, replace(at, seen=seen))
+            mark = f"{n}. " if node.tag == "ol" else "- "
+            n += 1
             out.end()
-            _block(lines or [""], out, mark, " " * len(mark))
+            if lines or seen:
+                _block(lines or [""], out, mark if seen else " " * len(mark), " " * len(mark))
 
 
-def _inside(node: Node, pre: bool = False) -> list[str]:
+def _inside(node: Node, at: Place) -> list[str]:
     """The lines of a node's contents, laid out by themselves."""
     part = _Lines()
-    _lay_out(node, part, pre)
+    _lay_out(node, part, at)
     part.end()
     lines = part.lines
     while lines and not lines[-1]:
@@ -263,34 +345,41 @@ def _inside(node: Node, pre: bool = False) -> list[str]:
 
 
 def _span(cell: Node) -> int:
-    n = cell.attribute("colspan") or "1"
-    return max(1, min(int(n), 1000)) if n.isdigit() else 1
+    return max(1, min(number(cell.attribute("colspan"), 1), 1000)) if cell.attrs else 1
+
 
+def _stray(text: str, at: Place) -> list[str]:
+    """Text of a table outside its cells, as a line if there is any."""
+    line = BLANKS.sub(" ", text).strip(" ")
+    return [line] if line and at.seen else []
 
-def _table(node: Node) -> list[str]:
+
+def _table(node: Node, at: Place) -> list[str]:
     """Lines of a table: captions and stray contents first, then rows with aligned cells."""
     before, rows = [], []
 
-    def walk(part: Node) -> None:
+    def walk(part: Node, at: Place) -> None:
         for child in part.children:
             if isinstance(child, str):
-                before.extend([child.strip()] if child.strip() else [])
-            elif child.hidden():
+                before.extend(_stray(child, at))
+                continue
+            if child.hidden(at.rules):
                 continue
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                walk(child)
+            here = replace(at, seen=child.seen(at.rules, at.seen))
+            if child.tag in ("tbody", "thead", "tfoot"):
+                walk(child, here)
             elif child.tag == "tr":
                 cells = []
                 for cell in child.children:
                     if isinstance(cell, str):
-                        before.extend([cell.strip()] if cell.strip() else [])
-                    elif not cell.hidden():
-                        cells.append((_inside(cell), _span(cell) if cell.tag in ("td", "th") else 1))
+                        before.extend(_stray(cell, here))
+                    elif not cell.hidden(at.rules):
+                        cells.append((_inside(cell, replace(here, seen=cell.seen(at.rules, here.seen))), _span(cell) if cell.tag in ("td", "th") else 1))
                 rows.append(cells)
             else:
-                before.extend(_inside(child))
+                before.extend(_inside(child, here))
 
-    walk(node)
+    walk(node, at)
     widths: list[int] = []
     for cells in rows:
         at = 0
@@ -313,15 +402,20 @@ def _table(node: Node) -> list[str]:
 
 def visible_text(page: str | None) -> str:
     """All visible text of a page; empty for a null page."""
-    lines = _inside(tree((page or "").replace("\r\n", "\n").replace("\0", "")))
-    return "\n".join(lines)
+    root, deepest, rules = tree((page or "").replace("\r\n", "\n").replace("\0", ""))
+    # The layout calls itself for each level of nesting; such calls use no C stack
+    if sys.getrecursionlimit() < (needed := 4 * deepest + 1000):
+        sys.setrecursionlimit(needed)
+    return "\n".join(_inside(root, Place(rules)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``page_id, text, n_chars`` of every whole page, one row per input row.
 
     Null, empty and invisible pages give an empty text. Text that is no HTML is shown as it is.
-    Repeated rows each give their row; other columns are not read.
+    Elements may nest to any depth; attributes that are no numbers count as left out. Repeated rows
+    each give their row; other columns are not read, whatever their names; an empty table gives an
+    empty result.
     """
     small_batches(pages.sparkSession)
 
