@@ -16,17 +16,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanwright.llm.common import small_batches
+from spanwright.llm.common import blocks, small_batches
 
 #: Bytes of a chunk: least, normal and most; zero bits asked for before and after the normal length.
 LEAST, NORMAL, MOST = 16, 48, 192
 STRICT, LOOSE = 7, 4
 #: Texts of about this many bytes are hashed together.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
+#: Bytes of a range of documents, about; fine quantiles for each range that cuts are chosen from.
+PART_BYTES, FINE = 32_000_000, 8
 
 
 def _gear() -> np.ndarray:
@@ -109,55 +111,78 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = []
-            for block in _blocks([t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]):
-                prints += map(as_text, chunk_sets(block))
+            texts = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            for part in blocks(map(len, texts), BLOCK_BYTES):
+                prints += map(as_text, chunk_sets(texts[part]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(work, "doc_id long, fingerprint string")
 
 
-def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    block, held = [], 0
-    for t in texts:
-        block.append(t)
-        held += len(t)
-        if held >= BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+def _dealt(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each of ``parts`` partitions that a hash exchange of so many deals there."""
+    ids = spark.range(40 * parts + 400)
+    found = ids.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("id")).collect()
+    return [r["id"] for r in sorted(found, key=lambda r: r["part"])]
 
 
 def in_order(docs: DataFrame) -> DataFrame:
     """Deal documents into ranges of descending ids, each range followed by the first row of the next.
 
-    Returns ``doc_id, text, range, guest`` partitioned by range and sorted within; ``guest`` marks
-    the row that is there only as a neighbour. After the last range comes the first document again.
-    Rows of equal ids are ordered by their texts; null ids come last. Texts are shuffled once. The
-    cuts between ranges are quantiles, as many as shuffle partitions.
+    Returns ``doc_id, text, range, guest``, a partition for each range and sorted within; ``guest``
+    marks the row that is there only as a neighbour. After the last range comes the first document
+    again. Rows of equal ids are ordered by their texts; null ids come last, in an order of hashes
+    and then of texts, and are spread over ranges by the hash. Texts are shuffled once.
+
+    Ranges hold about PART_BYTES. Their cuts are chosen from fine quantiles of the ids and the bytes
+    between these; there are as many ranges as shuffle partitions at least.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 20 * parts)).first()[0]
-    cuts = np.array(sorted(set(found or [])), np.int64)
+    spark = docs.sparkSession
+    size = F.octet_length("text").cast("long")
+    null = F.col("doc_id").isNull()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / (FINE * parts) for i in range(1, FINE * parts)]
+    total, nulls, found = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(null, size + 1)), F.lit(0)), F.percentile_approx("doc_id", shares, 10 * FINE * parts)).first()
+    parts = max(parts, -(-total // PART_BYTES))
+    fine = np.array(sorted(set(found or [])), np.int64)
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(fine) - np.searchsorted(fine, ids.to_numpy(np.int64)))
+
+    # Bytes between fine cuts, a row for each; neighbours are put together up to a range's share
+    sizes = {r[0]: r[1] for r in docs.where(~null).groupBy(place("doc_id").alias("at")).agg(F.sum(size + 1)).collect()}
+    share, held, cuts = max(1, (total - nulls) // parts), 0, []
+    for at in range(len(fine), 0, -1):  # from the least id on; fine[k] is the greatest id below the k-th cut
+        held += sizes.get(at, 0)
+        if held >= share:
+            cuts.append(int(fine[len(fine) - at]))
+            held = 0
+    cuts = np.array(cuts, np.int64)
+    ranges = len(cuts) + 1 + max(1, -(-nulls * parts // max(1, total)))  # the last ones hold null ids
 
     @F.pandas_udf("long")
-    def range_of(ids: pd.Series) -> pd.Series:
+    def range_of(ids: pd.Series, mark: pd.Series) -> pd.Series:
         known = ids.notna().to_numpy()
-        out = np.full(len(ids), len(cuts) + 1, np.int64)  # null ids are behind all others
+        spread = ranges - len(cuts) - 1
+        out = len(cuts) + 1 + ((mark.to_numpy(np.int64).astype(float) / 2.0**64 + 0.5) * spread).astype(np.int64).clip(0, spread - 1)
         out[known] = len(cuts) - np.searchsorted(cuts, ids[known].to_numpy(np.int64))
         return pd.Series(out)
 
-    rows = docs.withColumn("range", range_of("doc_id"))
-    heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"))  # a row for each range
+    none = F.lit(0).cast("long")
+    rows = docs.withColumn("mark", F.when(null, F.xxhash64("text")).otherwise(none) if nulls else none)
+    rows = rows.withColumn("range", range_of("doc_id", "mark"))
+    heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"), F.min("mark").alias("head_mark"))  # a row for each range
     all_heads = W.orderBy("range")
     before = F.coalesce(F.lag("range").over(all_heads), F.max("range").over(W.partitionBy()))
     heads = heads.withColumn("to", before).withColumnRenamed("range", "from")
-    guests = rows.join(F.broadcast(heads), (F.col("range") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    guests = guests.groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text")).withColumnRenamed("to", "range")
-    both = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    return both.repartition(parts, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    first = (F.col("range") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("mark") == F.col("head_mark"))
+    guests = rows.join(F.broadcast(heads), first).groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("mark").alias("mark")).withColumnRenamed("to", "range")
+    both = rows.withColumn("guest", F.lit(False)).unionByName(guests.select("doc_id", "text", "mark", "range", F.lit(True).alias("guest")))
+    keys = F.get(F.array(*(F.lit(k).cast("long") for k in _dealt(spark, ranges))), F.col("range").cast("int"))
+    both = both.withColumn("to", keys).repartition(ranges, "to")
+    return both.sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "mark", "text")
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,8 +191,10 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The next document is that of the next lower id, after the last one the first. The edited text
     has the last third of code points replaced by the first as many of the next document. Returns
     one row per input row: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next``. Null texts count as empty; a table of one row is its own next;
-    rows of equal or null ids follow each other by text; other columns are not read.
+    near_edited, near_next``. Null texts count as empty; a table of one row is its own next; an empty
+    table gives an empty result. Rows of equal ids follow each other by text, those of null ids by a
+    hash of the text and then the text. Repeated rows each give their row; other columns are not
+    read, whatever their names. A range ends with the row that follows it.
     """
     small_batches(docs.sparkSession)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -176,10 +203,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         last = None  # the row before, in this range: id, text, chunks
         for batch in batches:
             ids, texts, _, guest = (c.to_pylist() for c in batch.columns)
-            prints = []
-            for block in _blocks([t.encode("utf-8", "replace") for t in texts]):
-                prints += chunk_sets(block)
-            pairs = []
+            encoded, prints, pairs = [t.encode("utf-8", "replace") for t in texts], [], []
+            for part in blocks(map(len, encoded), BLOCK_BYTES):
+                prints += chunk_sets(encoded[part])
             for doc_id, text, found, is_guest in zip(ids, texts, prints, guest, strict=True):
                 if last:
                     pairs.append((*last, text, found))
@@ -187,8 +213,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for _, t, _, n, _ in pairs]
             encoded = [e.encode("utf-8", "replace") for e in edited]
             after = []
-            for block in _blocks(encoded):
-                after += chunk_sets(block)
+            for part in blocks(map(len, encoded), BLOCK_BYTES):
+                after += chunk_sets(encoded[part])
             rows = [
                 (doc_id, len(t), hashlib.sha256(e).hexdigest(), as_text(a), as_text(b), containment(a, b), containment(a, c))
                 for (doc_id, t, a, _, c), e, b in zip(pairs, encoded, after, strict=True)
