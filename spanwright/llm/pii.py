@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A part of an address up to 255, leading zeros allowed.
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Kinds in the order in which spans at one place are listed.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 #: What proposes spans of each kind. A match starts where the last one ended or where a
 #: run of its first characters starts: from inside a run the same characters follow.
 PATTERNS = {
@@ -25,9 +25,11 @@ PATTERNS = {
     # country and check digits only; what may follow them is seen, not taken, as words or a number can stand behind
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    # a run of 20 to 200 key characters; its own form or the words near it make it a secret
+    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=-])",
 }
 #: Score of a confirmed span without context, and words that raise it.
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 CONTEXT = {
     "email": "mail|contact|write to|address",
     "ip": "ip|host|server|address|login",
@@ -35,10 +37,15 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank|konto|transfer",
     "ssn": "ssn|social security|tax id",
+    "secret": "token|secret|password|passwd|pwd|passphrase|bearer|credentials?|(?:api|access|private|secret|auth)[ _-]?key",
 }
 #: Code points to each side in which context words count, what they add, and the least score of an added span.
 REACH, BOOST, LEAST = 40, 0.3, 0.5
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "secret")
+#: Beginnings of keys that well-known services hand out; such a key needs no context.
+ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,})$"
+#: Different characters of a key, at least; it also has a digit and a letter.
+VARIED = 9
 BLOCK = 256
 SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
 #: Characters of country and check digits, and lengths of account numbers by country (ISO 13616).
@@ -135,6 +142,8 @@ def _confirmed(kind: str, m: Column) -> Column:
         return m.isNotNull()
     if kind == "ssn":
         return ~m.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= VARIED)
     return F.lit(True)
 
 
@@ -153,7 +162,10 @@ def _spans(kind: str, rank: int, matches: Column, ends: Column, near: Column) ->
     def span(x: Column, near: Column) -> Column:
         m, end = x["m"], x["end"]
         start = end - F.length(m)
-        score = F.when(_confirmed(kind, m), _score(kind, near))
+        score = _score(kind, near)
+        if kind == "secret":
+            score = F.when(m.rlike(ISSUED), F.lit(0.9)).otherwise(score)
+        score = F.when(_confirmed(kind, m), score)
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
     least = LEAST if kind in ADDED else 0.0
@@ -167,10 +179,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Returns one row per input row: ``doc_id, text, spans``; a span has ``start, rank, end, kind,
     score``, sorted by start and then kind (by KINDS). Kinds of ADDED are kept only if their score
     reaches LEAST; the others always. A null text counts as empty and has no spans. Repeated rows
-    each give their row; other columns are not read.
+    each give their row; other columns are not read, whatever their names; an empty table gives an
+    empty result.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    has = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}")}
+    has = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}"), "secret": F.col("text").rlike("[A-Za-z0-9+/_=-]{20}")}
     digits = F.col("text").rlike(r"[0-9][0-9\x20.-][0-9.\x20-]")
     strings, ints = "array<string>", "array<int>"
     df = df.withColumn("digits", digits)
@@ -226,12 +239,13 @@ def mask() -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked and ``n_chars`` counted anew.
 
-    All rows and columns are kept; null texts stay null. Extra columns may have any name but
-    ``__row``, which holds the row while spans are found.
+    All rows and columns are kept, repeated ones too; null texts stay null. Without a column
+    ``n_chars`` none is added. An empty table gives an empty result.
     """
-    held = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    found = find(held, "__row", "text").withColumn("clean", mask())
+    names = docs.columns
+    held = docs.select(F.struct(*names).alias("held"), F.col("text"))
+    found = find(held, "held", "text").withColumn("clean", mask())
     row = F.col("doc_id")
     text = F.when(row["text"].isNotNull(), F.col("clean"))
     fresh = {"text": text, "n_chars": F.length(text).cast("long")}
-    return found.select(*(fresh.get(c, row[c]).alias(c) for c in docs.columns))
+    return found.select(*(fresh.get(c, row[c]).alias(c) for c in names))
