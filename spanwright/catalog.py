@@ -1,19 +1,20 @@
 """Every query of the library by name, with its DuckDB twin where SQL can express it.
 
 A query is written as a function of ``x``: ``x("name")`` is a fixture derived from the given tables,
-``x.table("name")`` a given table, ``x.spark`` the session.
+``x.table("name")`` a given table, ``x.spark`` the session. ``x.keep`` writes what a query reads more
+than once as a table of the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.fixtures import fixture, twin
-from spanwright.session import configured
+from spanwright.session import Tables, configured
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,9 +24,20 @@ SQL: dict[str, str] = {}
 class Inputs:
     spark: SparkSession
     sf_dir: str
+    held: dict[str, DataFrame] = field(default_factory=dict)
+    tables: Tables = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.tables = Tables(self.spark)
 
     def __call__(self, name: str) -> DataFrame:
-        return fixture(self.spark, self.sf_dir, name)
+        return self.held.get(name) or fixture(self.spark, self.sf_dir, name, self.held)
+
+    def keep(self, name: str, make: Callable[[], DataFrame] | None = None) -> DataFrame:
+        """A fixture, or what ``make`` gives, as a table that is made once for a query."""
+        if name not in self.held:
+            self.held[name] = self.tables.keep(make() if make else self(name))
+        return self.held[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

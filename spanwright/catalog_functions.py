@@ -93,10 +93,11 @@ def _(x):
 LEFT, RIGHT = "substring(seq,1,60)", "substring(seq,100,70)"
 
 
-@query("p12_orient_flanks", f"select contig_id, case when doc_id%2=0 then reverse(translate({RIGHT},'ACGT','TGCA')) else {LEFT} end as l, case when doc_id%2=0 then reverse(translate({LEFT},'ACGT','TGCA')) else {RIGHT} end as r from contigs")
+@query("p12_orient_flanks", f"select contig_id, case when doc_id%2=0 then reverse(translate({RIGHT},'ACGT','TGCA')) else {LEFT} end as l, case when doc_id%2=0 then reverse(translate({LEFT},'ACGT','TGCA')) else {RIGHT} end as r, md5(case when doc_id%2=0 then reverse(translate(seq,'ACGT','TGCA')) else seq end) as body from contigs")
 def _(x):
-    left, right = E.orient_flanks(F.expr(LEFT), F.expr(RIGHT), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-"))
-    return x("contigs").select("contig_id", left.alias("l"), right.alias("r"))
+    sign = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")
+    left, right = E.orient_flanks(F.expr(LEFT), F.expr(RIGHT), sign)
+    return x("contigs").select("contig_id", left.alias("l"), right.alias("r"), F.md5(E.orient_body(F.col("seq"), sign).cast("binary")).alias("body"))
 
 
 @query("p13_strip_overlap", "select doc_id, case when length(seq)<=30 then '' when side='left' then substring(seq,1,length(seq)-30) else substring(seq,31) end as seq from stacks")
@@ -151,9 +152,10 @@ def _(x):
     return x("predictions").select("doc_id", E.nearest_tier(F.col("prediction")).alias("tier"))
 
 
-@query("p23_one_hot")
+@query("p23_one_hot", "select doc_id, array_to_string(list_transform(['A','C','G','T'], lambda b: array_to_string(list_transform(range(1,601), lambda i: case when substring(seq,i::int,1)=b then '1' else '0' end),'')),' ') as hot from stacks")
 def _(x):
-    return x("stacks").select("doc_id", E.one_hot("seq", 50).alias("hot"))
+    rows = F.transform(E.one_hot("seq", 600), lambda row: F.array_join(F.transform(row, lambda v: v.cast("int").cast("string")), ""))
+    return x("stacks").select("doc_id", F.array_join(rows, " ").alias("hot"))
 
 
 @query("p24_model_orientation", "select doc_id, case when side='left' then reverse(translate(seq,'ACGT','TGCA')) else seq end as seq from stacks")
@@ -172,9 +174,13 @@ def _(x):
     return x.table("embeddings").select("vec_id", F.round(E.score_magnitude(*v), 9).alias("m"))
 
 
-@query("p27_soft_label", "select contig_id, case when length(seq)>500 and regexp_matches(seq,'GGGG') then 1.0::double when length(seq)>500 and regexp_matches(reverse(translate(seq,'ACGT','TGCA')),'GGGG') then 1.0::double when length(seq)>500 then 0.7::double else 0.3::double end as label from contigs")
+@query("p27_soft_label", """select contig_id, case when length(seq)>500 and regexp_matches(seq,'GGGG') then 1.0::double when length(seq)>500 and regexp_matches(reverse(translate(seq,'ACGT','TGCA')),'GGGG') then 1.0::double when length(seq)>500 then 0.7::double else 0.3::double end as label,
+    case when doc_id%11=0 then 'no_alignment_file' when doc_id%7=0 then 'no_sequence_outside_overlap' when length(seq)<=500 then 'no_segment_in_length_bucket'
+    else (case when regexp_matches(seq,'GGGG') or regexp_matches(reverse(translate(seq,'ACGT','TGCA')),'GGGG') then 'found_literature_match_' else 'found_no_literature_match_' end) || (case when doc_id%2=0 then 'trailing_at_boundary' else 'closed_segment' end) end as reason from contigs""")
 def _(x):
-    return x("contigs").select("contig_id", E.soft_label(F.length("seq") > 500, E.motif_match("seq", "GGGG")).cast("double").alias("label"))
+    d, found, matched = F.col("doc_id"), F.length("seq") > 500, E.motif_match("seq", "GGGG")
+    reason = E.label_reason(d % 11 != 0, d % 7 != 0, found, matched, d % 2 == 0)
+    return x("contigs").select("contig_id", E.soft_label(found, matched).cast("double").alias("label"), reason.alias("reason"))
 
 
 @query("p28_length_bucket", "select doc_id, case when doc_id%30<4 then 'under_4' when doc_id%30>4 and doc_id%30<20 then '4_to_20' when doc_id%30>20 then 'over_20' end as b from documents")

@@ -15,8 +15,10 @@ from spanwright.sources import tables as S
 
 ISLANDS = "(select mge_id, regexp_matches(mge,'(^|,)is_tn') and mge_type='non-nested' as is_target from elements) i"
 SEQUENCED = "(select gene_id from genes where g_start>=1)"
-TABLE_A = """(select e.mge_id, e.gca, start_pos as mge_start, end_pos as mge_end, gene_id as recombinase_id, g_start as recombinase_start, g_end as recombinase_end,
-    recombinase as recombinase_type, g.doc_id*3+g.k as ord from elements e join genes g on g.parent=e.mge_id where recombinase is not null and g_start>=start_pos and g_end<=end_pos and e.g%7<>0)"""
+#: Representative genomes: the least of each component of links between genomes.
+KEPT_GENOMES = """(with recursive e as (select a, b from genome_links union select b, a from genome_links), r(id, c) as (select a, a from e union select e.b, r.c from r join e on e.a=r.id) select c as genome_key from (select id, min(c) as c from r group by id) q group by c)"""
+TABLE_A = f"""(select e.mge_id, e.gca, start_pos as mge_start, end_pos as mge_end, cast(case when e.doc_id%6=0 then 9 else e.doc_id%4 end as varchar) as n_genes, '1' as "mgeR", gene_id as recombinase_id, g_start as recombinase_start, g_end as recombinase_end,
+    recombinase as recombinase_type, g.doc_id*3+g.k as ord from elements e join genes g on g.parent=e.mge_id where recombinase is not null and g_start>=start_pos and g_end<=end_pos and e.genome_key in {KEPT_GENOMES})"""
 REPS = "(select member, arg_max(rep,ord) as rep from membership group by member)"
 TABLE_B0 = f"""(select a.*, case when r.rep is not null then a.recombinase_id else m.rep end as rep,
     case when r.rep is not null then concat('+|',a.recombinase_id) when m.rep is not null then concat('-|',m.rep) end as is_representative
@@ -34,8 +36,11 @@ def islands(x: Inputs):
 
 
 def table_a(x: Inputs):
-    genomes = x("contigs").where(F.col("g") % 7 != 0).select("genome_key")
-    return J.element_gene_table(x("elements"), x("genes"), genomes, x("genes").where(F.col("g_start") >= 1))
+    def make():
+        genomes = G.connected_components(x("genome_links"), "a", "b").groupBy("component").agg(F.min("id").alias("genome_key"))
+        return J.element_gene_table(x.keep("elements"), x.keep("genes"), genomes, x("genes").where(F.col("g_start") >= 1))
+
+    return x.keep("table_a", make)
 
 
 def members(x: Inputs):
@@ -44,11 +49,12 @@ def members(x: Inputs):
 
 
 def table_b(x: Inputs):
-    return J.append_species(WI.cluster_number(J.append_clusters(table_a(x), members(x))), x("taxonomy"))
+    marked = lambda: J.append_clusters(table_a(x), members(x))
+    return x.keep("table_b", lambda: J.append_species(WI.cluster_number(x.keep("table_b0", marked)), x("taxonomy")))
 
 
 def table_c(x: Inputs):
-    return J.append_duplicates(table_b(x), x("duplicates"))
+    return x.keep("table_c", lambda: J.append_duplicates(table_b(x), x("duplicates")))
 
 
 @query("j1_classify_genes", f"select gene_id, case when i.is_target is null then 'orphan' when i.is_target then 'target' else 'other' end as class from genes g left join {ISLANDS} on i.mge_id=g.parent")
@@ -94,22 +100,23 @@ def _(x):
 
 FLANKS = """(select e.mge_id, e.doc_id, case when p.rec_type is null then 'no_placement' when e.doc_id%19=0 then 'no_genome' when c.doc_id%23=0 then 'no_contig' when start_pos<1 or end_pos>length(seq) then 'bad_coords' end as reason,
     substring(seq,greatest(0,start_pos-1+30-500)+1,greatest(0,least(start_pos-1+30,length(seq))-greatest(0,start_pos-1+30-500))) as l, substring(seq,greatest(0,end_pos-30)+1,greatest(0,least(length(seq),end_pos-30+500)-greatest(0,end_pos-30))) as r,
-    coalesce(s.sign,'-') as sign, p.rec_type from elements e left join (select parent, arg_min(recombinase,k) as rec_type from genes where recombinase is not null group by parent) p on p.parent=e.mge_id
+    coalesce(s.sign,'-') as sign, p.rec_type, length(seq) as size, substring(seq,start_pos::int,(end_pos-start_pos+1)::int) as body, least(start_pos-1+30,length(seq))-greatest(0,start_pos-1+30-500)<500 as sl, least(length(seq),end_pos-30+500)-greatest(0,end_pos-30)<500 as sr from elements e left join (select parent, arg_min(recombinase,k) as rec_type from genes where recombinase is not null group by parent) p on p.parent=e.mge_id
     left join contigs c on c.contig_id=e.contig_id left join (select member, arg_max(sign,group_no) as sign from duplicates group by member) s on s.member=e.mge_id)"""
 ORIENTED = f"""(select mge_id, rec_type, reason, case when reason is null then case when sign='+' then reverse(translate(r,'ACGT','TGCA')) else l end end as l,
-    case when reason is null then case when sign='+' then reverse(translate(l,'ACGT','TGCA')) else r end end as r from {FLANKS} f)"""
+    case when reason is null then case when sign='+' then reverse(translate(l,'ACGT','TGCA')) else r end end as r,
+    case when reason is null then case when sign='+' then reverse(translate(body,'ACGT','TGCA')) else body end end as body, reason is null and sl as short_left, reason is null and sr as short_right from {FLANKS} f)"""
 
 
 def flanks(x: Inputs):
-    e = x("elements").withColumn("genome_key", F.when(F.col("doc_id") % 19 == 0, F.lit("none")).otherwise(F.col("genome_key")))
-    placement = x("genes").where(F.col("recombinase").isNotNull()).groupBy(F.col("parent").alias("mge_id")).agg(F.min_by("recombinase", "k").alias("rec_type"))
+    e = x.keep("elements").withColumn("genome_key", F.when(F.col("doc_id") % 19 == 0, F.lit("none")).otherwise(F.col("genome_key")))
+    placement = x.keep("genes").where(F.col("recombinase").isNotNull()).groupBy(F.col("parent").alias("mge_id")).agg(F.min_by("recombinase", "k").alias("rec_type"))
     signs = x("duplicates").groupBy("member").agg(F.max_by("sign", "group_no").alias("sign"))
     return J.extract_flanks(e, placement, x("contigs").select("genome_key"), x("contigs").where(F.col("doc_id") % 23 != 0), signs)
 
 
-@query("j8_extract_flanks", f"select mge_id, rec_type, reason, md5(l) as l, md5(r) as r from {ORIENTED} o")
+@query("j8_extract_flanks", f"select mge_id, rec_type, reason, md5(l) as l, md5(r) as r, md5(body) as body, short_left, short_right from {ORIENTED} o")
 def _(x):
-    return flanks(x).select("mge_id", "rec_type", "reason", F.md5(F.col("left").cast("binary")).alias("l"), F.md5(F.col("right").cast("binary")).alias("r"))
+    return flanks(x).select("mge_id", "rec_type", "reason", F.md5(F.col("left").cast("binary")).alias("l"), F.md5(F.col("right").cast("binary")).alias("r"), F.md5(F.col("body").cast("binary")).alias("body"), "short_left", "short_right")
 
 
 @query("j9_append_flanks", f"select recombinase_id, s.side, md5(case when s.side='left' then l else r end) as flank from {TABLE_A} a cross join (select unnest(['left','right']) as side) s left join {ORIENTED} o on o.mge_id=a.mge_id")
@@ -178,11 +185,16 @@ def _(x):
     return A.type_census(x("elements"), x("taxonomy"), "is_tn")
 
 
-@query("a4_species_of_ids", "select speci, count(*) as n_accessions from (select distinct gca from elements) e left join taxonomy t on t.gca=e.gca group by speci")
+@query("a4_species_of_ids", "select speci, count(distinct e.gca) as n_accessions, count(distinct mge_id) as n_ids from elements e left join taxonomy t on t.gca=e.gca group by speci")
 def _(x):
     return A.species_of_ids(x("elements"), x("taxonomy"))
 
 
+@query("a4b_accessions_of_species", "select distinct speci, label, e.gca from elements e join taxonomy t on t.gca=e.gca")
+def _(x):
+    return A.accessions_of_species(x("elements"), x("taxonomy"))
+
+
 SPECIES_N = "(select speci, count(*) as n from taxonomy group by speci)"
 
 

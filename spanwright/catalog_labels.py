@@ -75,12 +75,21 @@ def _(x):
     return A.label_counts(x("label_rows"))
 
 
-@query("a27_split_crosstab", "select rec_type, count(*) filter (where s=0) as n_train, count(*) filter (where s=1) as n_val, count(*) filter (where s=2) as n_test from (select distinct rec_type, cluster_number, group_no, group_no%3 as s from label_rows) q group by rec_type")
+GROUPS_OF = "(select distinct rec_type, cluster_number, group_no, group_no%3 as s, group_no%5 as f from label_rows)"
+
+
+@query("a27_split_crosstab", f"select rec_type, count(*) as n_groups, count(*) filter (where s=0) as n_train, count(*) filter (where s=1) as n_val, count(*) filter (where s=2) as n_test, count(*) filter (where s=1)=0 or count(*) filter (where s=2)=0 as empty_split from {GROUPS_OF} q group by rec_type")
 def _(x):
     g = F.col("group_no") % 3
     return A.split_crosstab(x("label_rows").withColumn("split", F.when(g == 0, "train").when(g == 1, "val").otherwise("test")))
 
 
+@query("a27b_fold_crosstab", "select rec_type, count(*) as n_groups, " + ", ".join(f"count(*) filter (where f={i}) as n_{i}" for i in range(5)) + ", " + " or ".join(f"count(*) filter (where f={i})=0" for i in range(5)) + f" as empty_fold from {GROUPS_OF} q group by rec_type")
+def _(x):
+    folds = tuple(range(5))
+    return A.split_crosstab(x("label_rows").withColumn("fold", F.col("group_no") % 5), "fold", folds, folds)
+
+
 TIER = "case when abs({c}-0.3::double)<=abs({c}-0.7::double) then 0.3 when abs({c}-0.7::double)<=abs({c}-1.0::double) then 0.7 else 1.0 end"
 RIGHT = f"avg(case when {TIER.format(c='prediction')}={TIER.format(c='label')} then 1.0::double else 0.0::double end)"
 
@@ -140,9 +149,10 @@ def _(x):
     return WI.best_window(scores(x), ["vec_id"], 15).select("vec_id", "start", "total")
 
 
-@query("a35_group_species_report", f"select count(*) as n_groups, count(*) filter (where n>1) as n_spanning, (select count(*) from {SPECIES} s where species like '\\_\\_unresolved%' escape '\\') as n_unresolved from (select group_no, count(distinct species) as n from {SPECIES} s group by 1) g")
+@query("a35_group_species_report", f"select count(*) as n_groups, count(*) filter (where n>1) as n_spanning, (select count(*) from {SPECIES} s where species like '\\_\\_unresolved%' escape '\\') as n_unresolved, (select count(distinct component) from {SPECIES_COMPONENTS} c) as n_components from (select group_no, count(distinct species) as n from {SPECIES} s group by 1) g")
 def _(x):
-    return A.group_species_report(with_species(x))
+    rows = with_species(x)
+    return A.group_species_report(rows, S.species_components(rows))
 
 
 @query("g3_species_components", f"select * from {SPECIES_COMPONENTS} c")
@@ -165,9 +175,19 @@ def _(x):
     return assigned(groups(x), [f"fold{i}" for i in range(5)], [0.2] * 5)
 
 
-@query("g6_leakage_check", "select species, 0::bigint as n from taxonomy t join label_rows l on l.gca=t.gca cross join (select 1 as species_) z where false".replace("select species,", "select speci as species,"))
+@query("g6_leakage_check", f"select species, count(distinct group_no%3)::bigint as n from {SPECIES} s group by species having count(distinct group_no%3)>1")
+def _(x):
+    """A split by groups, which leaks."""
+    return S.leakage_check(with_species(x).withColumn("split", F.col("group_no") % 3), "split")
+
+
+@query("g6b_no_leakage", f"select count(*) as n_rows, count(distinct species) as n_species, 0::bigint as n_leaking from {SPECIES} s")
 def _(x):
-    return S.leakage_check(split_rows(x), "split")
+    """The split of components, which must not leak."""
+    rows = x.keep("split_rows", lambda: split_rows(x)).select("doc_id", "species", "split")
+    totals = rows.where(F.col("split").isNotNull()).agg(F.count("*").alias("n_rows"), F.count_distinct("species").alias("n_species")).withColumn("one", F.lit(1))
+    leaks = S.leakage_check(rows, "split").agg(F.count("*").alias("n_leaking")).withColumn("one", F.lit(1))
+    return totals.join(leaks, "one").drop("one")
 
 
 def features(x: Inputs):

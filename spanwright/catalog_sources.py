@@ -18,10 +18,10 @@ def written(x: Inputs, lines, suffix: str = "") -> str:
     return path
 
 
-def one_file(x: Inputs, df, *order: str) -> str:
-    """Lines in a file of their own, in order: such files are small lists."""
+def in_order(x: Inputs, df, *order: str) -> str:
+    """Lines in part files whose names follow the order of the lines."""
     path = scratch(x.spark)
-    df.orderBy(*order).select("value").coalesce(1).write.text(path)
+    df.orderBy(*order).select("value").write.text(path)
     return path
 
 
@@ -47,9 +47,9 @@ def _(x):
 @query("s3_read_taxonomy", "select gca, max(speci) as speci, label || ' strain' as label from taxonomy group by gca, label")
 def _(x):
     t = x("taxonomy")
-    lines = t.select(F.lit(0).alias("o"), F.concat_ws("\t", "gca", F.lit("old"), F.lit("1"), F.lit("x")).alias("value")).union(t.select(F.lit(1), F.concat_ws("\t", "gca", "speci", F.lit("1"), "label", F.lit("strain"))))
-    lines = lines.union(t.limit(1).select(F.lit(2), F.lit("# note")))
-    return S.taxonomy(S.numbered(x.spark, one_file(x, lines, "o")))
+    lines = t.select(F.lit(0).alias("o"), "gca", F.concat_ws("\t", "gca", F.lit("old"), F.lit("1"), F.lit("x")).alias("value")).union(t.select(F.lit(1), "gca", F.concat_ws("\t", "gca", "speci", F.lit("1"), "label", F.lit("strain"))))
+    lines = lines.union(t.limit(1).select(F.lit(2), "gca", F.lit("# note")))
+    return S.taxonomy(S.numbered(x.spark, in_order(x, lines, "o", "gca")))
 
 
 @query("s4_validate_columns", "select count(*) as n_lines, count(*) filter (where doc_id%4=0) as n_short from documents")
@@ -74,17 +74,17 @@ def _(x):
 @query("s6_read_membership", "select member, arg_max(rep,ord) as rep from membership group by member")
 def _(x):
     lines = x("membership").select("ord", F.concat_ws("\t", "rep", F.concat(F.lit(" "), "member")).alias("value"))
-    return S.membership(S.numbered(x.spark, one_file(x, lines, "ord")))
+    return S.membership(S.numbered(x.spark, in_order(x, lines, "ord")))
 
 
 def group_lines(x: Inputs):
     token = F.concat("sign", "member")
     df = x("duplicates").groupBy("group_no").agg(F.array_join(F.array_sort(F.collect_list(token)), " ").alias("value"))
-    blank = df.limit(1).select(F.lit(0).alias("group_no"), F.lit("  ").alias("value"))
-    return S.numbered(x.spark, one_file(x, df.union(blank), "group_no"))
+    blank = df.limit(1).select(F.lit(-1).cast("bigint").alias("group_no"), F.lit("  ").alias("value"))
+    return S.numbered(x.spark, in_order(x, df.union(blank), "group_no"))
 
 
-@query("s7_read_duplicate_groups", "select distinct group_no, member from duplicates")
+@query("s7_read_duplicate_groups", "select distinct dense_rank() over (order by group_no) as group_no, member from duplicates")
 def _(x):
     return S.duplicate_groups(group_lines(x))
 

@@ -8,7 +8,8 @@ from spanwright.catalog import Inputs, query
 from spanwright.operators import consensus as C
 
 UNIT = ["unit", "side"]
-RANGE = "(select unnest(range(1,200)) as p)"
+#: Columns of the longest window and more.
+RANGE = "(select unnest(range(1,600)) as p)"
 
 
 def prof(src: str, trim: int = 0, seq: str = "seq") -> str:
@@ -44,12 +45,22 @@ def rated(profile, threshold: float, run):
 
 
 def stacks(x: Inputs):
-    return x("stacks")
+    return x.keep("stacks")
 
 
-@query("a16_anchor_consistency", "select unit, side, count(*) as n, count(distinct a) as n_variants, count(*) filter (where length(seq)<12) as n_short, case when count(*)=1 then 'lonely' when count(distinct a)=1 then 'multi_matching' else 'multi_mismatching' end as verdict from (select *, case when side='left' then right(seq,12) else left(seq,12) end as a from stacks) q group by unit, side")
+CONSISTENCY = """(select u.unit, sd.side, coalesce(n,0) as n, coalesce(n_variants,0) as n_variants, coalesce(n_short,0) as n_short, case when n is null then 'empty' when n=1 then 'lonely' when n_variants=1 then 'multi_matching' else 'multi_mismatching' end as verdict
+    from (select distinct unit from lonely) u cross join (select unnest(['left','right']) as side) sd left join (select unit, side, count(*) as n, count(distinct a) as n_variants, count(*) filter (where length(seq)<12) as n_short
+    from (select *, case when side='left' then right(seq,12) else left(seq,12) end as a from lonely) q group by unit, side) c on c.unit=u.unit and c.side=sd.side)"""
+
+
+def lonely(x: Inputs):
+    """Stacks, and units that have windows on one side only."""
+    return x("lonely")
+
+
+@query("a16_anchor_consistency", f"select * from {CONSISTENCY} c")
 def _(x):
-    return C.anchor_consistency(stacks(x), UNIT, 12)
+    return C.anchor_consistency(lonely(x), UNIT, 12)
 
 
 @query("a16b_anchor_variants", "select unit, side, case when side='left' then right(seq,12) else left(seq,12) end as anchor, count(*) as n from stacks group by 1,2,3")
@@ -57,12 +68,14 @@ def _(x):
     return C.anchor_variants(stacks(x), UNIT, 12)
 
 
-VERDICT = "(select unit, side, case when count(*)=1 then 'lonely' when count(distinct case when side='left' then right(seq,12) else left(seq,12) end)=1 then 'multi_matching' else 'multi_mismatching' end as v from stacks group by 1,2)"
+@query("a16c_anchor_members", "select unit, side, doc_id, case when side='left' then right(seq,12) else left(seq,12) end as anchor, length(seq)<12 as is_short, case when length(seq)<12 then length(seq) end as short_length from lonely")
+def _(x):
+    return C.anchor_members(lonely(x), UNIT, 12, "doc_id")
 
 
-@query("a17_anchor_tally", f"select coalesce(side,'TOTAL') as side, count(*) filter (where v='lonely') as lonely, count(*) filter (where v='multi_matching') as multi_matching, count(*) filter (where v='multi_mismatching') as multi_mismatching, count(*) filter (where v='empty') as empty from {VERDICT} q group by rollup(side)")
+@query("a17_anchor_tally", f"select coalesce(side,'TOTAL') as side, count(*) filter (where verdict='lonely') as lonely, count(*) filter (where verdict='multi_matching') as multi_matching, count(*) filter (where verdict='multi_mismatching') as multi_mismatching, count(*) filter (where verdict='empty') as empty from {CONSISTENCY} q group by rollup(side)")
 def _(x):
-    return C.anchor_tally(C.anchor_consistency(stacks(x), UNIT, 12), "side")
+    return C.anchor_tally(C.anchor_consistency(lonely(x), UNIT, 12), "side")
 
 
 POOLED = "(select unit as rec_type, doc_id%4 as cluster_number, side, case when doc_id%5=0 then 'yes' else 'no' end as singleton, concat('duplicate_group_',cast(doc_id%3 as string)) as group_dir, cast(doc_id as string) as mge_id, seq from stacks)"
@@ -84,14 +97,21 @@ def _(x):
     return C.column_profile(stacks(x), UNIT)
 
 
-@query("w4_cutoff_single", f"select * from {cut_one(prof('stacks', 2), '0.35::double')} c")
+def with_empty(cut: str, trim: int) -> str:
+    """Twin of a cut, with units of which nothing is left behind the trimmed columns."""
+    return f"select * from {cut} c union all select unit, side, 0::bigint, 'empty', '' from (select unit, side, max(length(seq)) as m from lonely group by 1,2) z where m<={trim}"
+
+
+@query("w4_cutoff_single", with_empty(cut_one(prof("lonely", 12), "0.35::double"), 12))
 def _(x):
-    return C.cutoff_single(rated(C.column_profile(stacks(x), UNIT, 2), 0.35, 1), UNIT)
+    df = lonely(x)
+    return C.cutoff_single(rated(C.column_profile(df, UNIT, 12), 0.35, 1), UNIT, df.select(*UNIT).distinct())
 
 
-@query("w5_cutoff_run", f"select * from {cut_run(prof('stacks', 2), '0.4::double', '2')} c")
+@query("w5_cutoff_run", with_empty(cut_run(prof("lonely", 12), "0.4::double", "2"), 12))
 def _(x):
-    return C.cutoff_run(rated(C.column_profile(stacks(x), UNIT, 2), 0.4, 2), UNIT)
+    df = lonely(x)
+    return C.cutoff_run(rated(C.column_profile(df, UNIT, 12), 0.4, 2), UNIT, df.select(*UNIT).distinct())
 
 
 @query("w6_segments_strict", f"select * from {seg(prof('stacks'), '0.5::double', '1')} s where not is_open")
@@ -184,7 +204,7 @@ def units(x: Inputs, level: str):
 
 
 def all_units(x: Inputs):
-    return units(x, "group").unionByName(units(x, "cluster"))
+    return x.keep("units", lambda: units(x, "group").unionByName(units(x, "cluster")))
 
 
 def strategy_sql() -> str:
@@ -237,9 +257,9 @@ def _(x):
     return C.strategy_comparison(all_units(x), C.universe_totals(grouped(x), ["unit", "grp"], ["unit"]), strategies(x), ["unit"])
 
 
-@query("a24_multi_segment_units", f"select strategy, unit, grp from {UNITS} u where multi=1")
+@query("a24_multi_segment_units", f"select strategy, unit, grp, row_number() over (partition by strategy order by md5(concat_ws('#',unit,cast(grp as varchar),'42')), unit, grp)<=5 as in_sample from {UNITS} u where multi=1")
 def _(x):
-    return all_units(x).where(F.col("multi") == 1).select("strategy", "unit", "grp")
+    return C.multi_segment_units(all_units(x), ["unit", "grp"])
 
 
 @query("a25_segments_per_unit", f"select strategy, n_consensuses::double/t.n_clusters as per_cluster, n_consensuses::double/t.n_groups as per_group from {LENGTHS} l cross join {TOTALS} t")

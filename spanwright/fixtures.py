@@ -1,11 +1,12 @@
 """Domain tables derived from the given tables, as SQL that Spark and DuckDB both run.
 
-``@G`` stands for DuckDB's option to replace all matches.
+``@G`` stands for DuckDB's option to replace all matches, ``@K`` for a row of each k from 0 to doc_id%3.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,24 +32,30 @@ SQL: dict[str, str] = {
           start_pos+10+60*k+150+case when e.doc_id%13=0 then 5000 else 0 end as g_end,
           case when e.doc_id%17=0 and k=2 then 'MGE_missing' else mge_id end as parent,
           case when (e.doc_id+k)%6=5 then null else concat('Tnp_',cast((e.doc_id+k)%6 as string)) end as recombinase
-        from elements as e join (select cast(0 as bigint) as k union all select cast(1 as bigint) union all select cast(2 as bigint)) as n on k<=e.doc_id%3""",
+        from elements as e @K""",
     "taxonomy": """
         select gca, concat('specI_v4_',lpad(cast(g%25 as string),5,'0')) as speci, concat('species ',cast(g%25 as string)) as label
         from (select distinct gca, g from contigs) as x where g%11<>0""",
     "stacks": """
-        select c.doc_id, d.source as unit, case when c.doc_id%2=0 then 'left' else 'right' end as side, c.doc_id as ord,
-          case when c.doc_id%2=0 then concat(substring(seq,1,40+cast(c.doc_id%9 as int)),m) else concat(m,substring(seq,1,40+cast(c.doc_id%9 as int))) end as seq
-        from contigs as c join (select doc_id, source, substring(translate(md5(source),'0123456789abcdef','ACGTACGTACGTACGT'),1,cast(4+length(source)*3 as int)) as m from documents) as d
-          on c.doc_id=d.doc_id where length(seq)>=60""",
+        select doc_id, unit, side, doc_id as ord, case when side='left' then concat(w,m) else concat(m,w) end as seq
+        from (select c.doc_id, d.source as unit, m, case when c.doc_id%2=0 then 'left' else 'right' end as side,
+            substring(seq,cast(greatest(1,floor(length(seq)/2)-250) as int),cast(500-c.doc_id%9 as int)) as w
+          from contigs as c join (select doc_id, source, substring(translate(md5(source),'0123456789abcdef','ACGTACGTACGTACGT'),1,cast(4+length(source)*3 as int)) as m from documents) as d
+            on c.doc_id=d.doc_id where length(seq)>=60) as x""",
+    "lonely": """
+        select doc_id, unit, side, ord, seq from stacks
+        union all select doc_id, concat('only',cast(doc_id%7 as string)) as unit, 'left' as side, ord, substring(seq,1,cast(doc_id%9+3 as int)) as seq from stacks where doc_id%50<7""",
     "edges": """
         select a.doc_id as src, b.doc_id as dst from documents as a join documents as b on b.doc_id=a.doc_id+1+a.doc_id%7 where a.doc_id%3<>0""",
+    "genome_links": """
+        select distinct a.genome_key as a, b.genome_key as b from contigs as a join contigs as b on b.g=a.g+case when a.g%3=0 then 1 else 0 end""",
     "strands": """
         select contig_id as id, seq, doc_id as ord from contigs where length(seq)>0
         union all select concat(contig_id,'_rc') as id, reverse(translate(seq,'ACGT','TGCA')) as seq, doc_id+1000000000 as ord from contigs where doc_id%7=0 and length(seq)>0""",
     "duplicates": """
-        select dense_rank() over (order by first_id) as group_no, mge_id as member, case when mge_ord%2=0 then '+' else '-' end as sign
-        from (select mge_id, doc_id as mge_ord, min(mge_id) over (partition by doc_id%23,mge) as first_id,
-          count(*) over (partition by doc_id%23,mge) as n from elements) as x where n>1""",
+        select first_ord as group_no, mge_id as member, case when mge_ord%2=0 then '+' else '-' end as sign
+        from (select mge_id, doc_id as mge_ord, min(doc_id) over (partition by floor(doc_id/20),mge) as first_ord,
+          count(*) over (partition by floor(doc_id/20),mge) as n from elements) as x where n>1""",
     "membership": """
         select min(gene_id) over (partition by recombinase, h) as rep, gene_id as member, doc_id*3+k as ord
         from (select gene_id, recombinase, substring(md5(parent),1,1) as h, doc_id, k from genes where recombinase is not null and doc_id%19<>0) as x""",
@@ -70,13 +77,13 @@ SQL: dict[str, str] = {
 }
 
 
-def needed(text: str) -> list[str]:
+def needed(text: str, held: Collection[str] = ()) -> list[str]:
     """The fixtures that a query names, in an order in which each is defined before it is used."""
     out: list[str] = []
 
     def visit(body: str) -> None:
         for name, sql in SQL.items():
-            if name not in out and re.search(rf"\b(?:from|join)\s+{name}\b", body):
+            if name not in out and name not in held and re.search(rf"\b(?:from|join)\s+{name}\b", body):
                 visit(sql)
                 if name not in out:
                     out.append(name)
@@ -87,16 +94,17 @@ def needed(text: str) -> list[str]:
 
 def twin(body: str) -> str:
     """A DuckDB query over fixtures and given tables."""
-    parts = [f"{n} as ({SQL[n]})" for n in needed(body)]
-    return ((f"with {', '.join(parts)} " if parts else "") + body).replace("@G", ", 'g'")
+    parts = [f"{n} as materialized ({SQL[n]})" for n in needed(body)]
+    return ((f"with {', '.join(parts)} " if parts else "") + body).replace("@G", ", 'g'").replace("@K", ", unnest(range(0, e.doc_id%3+1)) as n(k)")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture as a DataFrame; the given tables it needs are read as they are."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, held: dict[str, DataFrame]) -> DataFrame:
+    """A fixture as a DataFrame, over given tables and fixtures that are ``held`` as tables."""
     text = SQL[name]
-    parts = [f"{n} as ({SQL[n]})" for n in needed(text)]
-    text = ((f"with {', '.join(parts)} " if parts else "") + text).replace("@G", "")
-    given = {t for t in ("documents", "labels", "lineitem", "embeddings") if re.search(rf"\b(?:from|join)\s+{t}\b", text)}
+    parts = [f"{n} as ({SQL[n]})" for n in needed(text, held)]
+    text = ((f"with {', '.join(parts)} " if parts else "") + text).replace("@G", "").replace("@K", "lateral view explode(sequence(0L, e.doc_id%3)) n as k")
+    named = lambda t: re.search(rf"\b(?:from|join)\s+{t}\b", text)
+    given = {t: held[t] for t in held if named(t)} | {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels", "lineitem", "embeddings") if named(t)}
     for t in given:
         text = re.sub(rf"\b(from|join)\s+{t}\b", rf"\1 {{{t}}}", text)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in given})
+    return spark.sql(text, **given)

@@ -94,6 +94,11 @@ def orient_flanks(left: Column, right: Column, sign: Column) -> tuple[Column, Co
     return F.when(sign == "+", revcomp(right)).otherwise(left), F.when(sign == "+", revcomp(left)).otherwise(right)
 
 
+def orient_body(body: Column, sign: Column) -> Column:
+    """The element itself as it stands on the other strand if the sign is ``+``."""
+    return F.when(sign == "+", revcomp(body)).otherwise(body)
+
+
 def strip_overlap(seq: Column | str, side: Column | str, n: int) -> Column:
     """A window without the ``n`` bases inside the element: the last ones left, the first ones right."""
     seq, size = _column(seq), F.length(_column(seq))
@@ -176,6 +181,17 @@ def soft_label(found: Column, matched: Column) -> Column:
     return F.when(found & matched, 1.0).when(found, 0.7).otherwise(0.3)
 
 
+def label_reason(windows: Column, stripped: Column, found: Column, matched: Column, is_open: Column) -> Column:
+    """Why a side has its label: what was missing, or what kind of segment was found and whether a motif matched.
+
+    ``windows`` and ``stripped`` tell whether there were windows, and any bases outside the overlap.
+    """
+    source = F.when(is_open, "trailing_at_boundary").otherwise("closed_segment")
+    why = F.when(matched, F.concat(F.lit("found_literature_match_"), source)).otherwise(F.concat(F.lit("found_no_literature_match_"), source))
+    missing = F.when(~windows, "no_alignment_file").when(~stripped, "no_sequence_outside_overlap").otherwise("no_segment_in_length_bucket")
+    return F.when(found & windows & stripped, why).otherwise(missing)
+
+
 def length_bucket(n: Column) -> Column:
     """Evaluation's buckets: lengths 4 and 20 are in none."""
     return F.when(n < 4, "under_4").when((n > 4) & (n < 20), "4_to_20").when(n > 20, "over_20")

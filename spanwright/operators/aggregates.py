@@ -26,9 +26,15 @@ def type_census(elements: DataFrame, taxonomy: DataFrame, kind: str) -> DataFram
 
 
 def species_of_ids(ids: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Distinct ids, by species: how many accessions; null species are unmapped accessions."""
-    acc = ids.select("mge_id").distinct().select(E.accession_of("mge_id").alias("gca")).where(F.col("gca").isNotNull()).distinct()
-    return acc.join(taxonomy.select("gca", "speci"), "gca", "left").groupBy("speci").agg(F.count("*").alias("n_accessions"))
+    """By species: how many accessions, and how many distinct ids; null species are unmapped accessions."""
+    acc = ids.select("mge_id").distinct().select(E.accession_of("mge_id").alias("gca")).where(F.col("gca").isNotNull()).groupBy("gca").agg(F.count("*").alias("n"))
+    return acc.join(taxonomy.select("gca", "speci"), "gca", "left").groupBy("speci").agg(F.count("*").alias("n_accessions"), F.sum("n").alias("n_ids"))
+
+
+def accessions_of_species(ids: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``speci, label, gca``: the accessions of each species that ids name."""
+    acc = ids.select(E.accession_of("mge_id").alias("gca")).where(F.col("gca").isNotNull()).distinct()
+    return acc.join(taxonomy, "gca").select("speci", "label", "gca")
 
 
 def genomes_per_species(counts: DataFrame) -> DataFrame:
@@ -94,10 +100,14 @@ def label_counts(rows: DataFrame) -> DataFrame:
     return rows.groupingSets([["label"], ["rec_type"]], "label", "rec_type").agg(F.count("*").alias("n"))
 
 
-def split_crosstab(rows: DataFrame, by: str = "split", values: tuple = ("train", "val", "test")) -> DataFrame:
-    """Groups per type and split; 0 where a type has none."""
+def split_crosstab(rows: DataFrame, by: str = "split", values: tuple = ("train", "val", "test"), needed: tuple = ("val", "test")) -> DataFrame:
+    """Groups per type, in all and by ``values`` of ``by``, 0 where a type has none; whether a needed one is 0."""
     groups = rows.select("rec_type", "cluster_number", "group_no", by).distinct()
-    return groups.groupBy("rec_type").agg(*(F.count_if(F.col(by) == v).alias(f"n_{v}") for v in values))
+    out = groups.groupBy("rec_type").agg(F.count("*").alias("n_groups"), *(F.count_if(F.col(by) == v).alias(f"n_{v}") for v in values))
+    empty = F.lit(False)
+    for v in needed:
+        empty = empty | (F.col(f"n_{v}") == 0)
+    return out.withColumn(f"empty_{by}", empty)
 
 
 def regression_metrics(predictions: DataFrame) -> DataFrame:
@@ -143,9 +153,11 @@ def position_weight_matrix(windows: DataFrame, kind: str = "rec_type", seq: str
     return bases.groupBy(kind, "position").pivot("base", list("ACGT")).count().na.fill(0)
 
 
-def group_species_report(rows: DataFrame, components: int | None = None) -> DataFrame:
-    """Groups that span several species, and rows whose species is a stand-in."""
+def group_species_report(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """Groups that span several species, rows whose species is a stand-in, and components of species (``component``)."""
     per = rows.groupBy("group_no").agg(F.count_distinct("species").alias("n"))
     a = per.agg(F.count("*").alias("n_groups"), F.count_if(F.col("n") > 1).alias("n_spanning"))
     b = rows.agg(F.count_if(F.col("species").startswith("__unresolved")).alias("n_unresolved"))
-    return a.withColumn("one", F.lit(1)).join(b.withColumn("one", F.lit(1)), "one").drop("one")
+    c = components.agg(F.count_distinct("component").alias("n_components"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(a).join(one(b), "one").join(one(c), "one").drop("one")

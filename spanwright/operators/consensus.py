@@ -11,13 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanwright.functions import expr as E
+from spanwright.session import Tables
+
+
+SIDES = ("left", "right")
+
+
+def both_sides(units: DataFrame, keys: list[str]) -> DataFrame:
+    """Each unit with a left and a right side, whether it has sequences there or not; ``keys`` are without side."""
+    return units.select(*keys).distinct().withColumn("side", F.explode(F.array(*map(F.lit, SIDES))))
 
 
 def anchor_consistency(stacks: DataFrame, keys: list[str], n: int, side_aware: bool = True) -> DataFrame:
-    """How far the inner ends of a unit's windows agree: lonely, matching or mismatching, and how many are short."""
+    """How far the inner ends of a unit's windows agree: empty, lonely, matching or mismatching, and how many are short.
+
+    ``keys`` has ``side``; a unit with windows on one side only is empty on the other.
+    """
     df = stacks.withColumn("anchor", E.anchor("seq", "side", n, side_aware))
     per = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("anchor").alias("n_variants"), F.count_if(F.length("seq") < n).alias("n_short"))
-    return per.withColumn("verdict", F.when(F.col("n") == 1, "lonely").when(F.col("n_variants") == 1, "multi_matching").otherwise("multi_mismatching"))
+    per = both_sides(per, [k for k in keys if k != "side"]).join(per, keys, "left")
+    per = per.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "n_variants", "n_short")})
+    verdict = F.when(F.col("n") == 0, "empty").when(F.col("n") == 1, "lonely").when(F.col("n_variants") == 1, "multi_matching").otherwise("multi_mismatching")
+    return per.withColumn("verdict", verdict)
 
 
 def anchor_variants(stacks: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -25,6 +40,15 @@ def anchor_variants(stacks: DataFrame, keys: list[str], n: int) -> DataFrame:
     return stacks.withColumn("anchor", E.anchor("seq", "side", n)).groupBy(*keys, "anchor").agg(F.count("*").alias("n"))
 
 
+def anchor_members(stacks: DataFrame, keys: list[str], n: int, id: str = "mge_id") -> DataFrame:
+    """A row for each window: its id, its variant, and whether and how far it is shorter than ``n``.
+
+    Ids of a variant stay rows, as one variant can have very many.
+    """
+    short = F.length("seq") < n
+    return stacks.select(*keys, id, E.anchor("seq", "side", n).alias("anchor"), short.alias("is_short"), F.when(short, F.length("seq")).cast("bigint").alias("short_length"))
+
+
 def anchor_tally(verdicts: DataFrame, kind: str) -> DataFrame:
     """Units by verdict, for each type and in all (TOTAL)."""
     names = ("lonely", "multi_matching", "multi_mismatching", "empty")
@@ -53,36 +77,44 @@ def column_profile(stacks: DataFrame, keys: list[str], trim: int = 0, reverse: b
     return per.select(*keys, F.col("col").cast("bigint").alias("col"), F.col("x.n").alias("n"), F.col("tot"), (F.col("x.n") / F.col("tot")).alias("ident"), F.col("x.base").alias("base"))
 
 
-def consensus_text(profile: DataFrame, keys: list[str]) -> DataFrame:
-    """``n_cols, full``: the majority characters of all columns in order."""
+def consensus_text(profile: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """``n_cols, full``: the majority characters of all columns in order; and further aggregates."""
     ordered = F.array_sort(F.collect_list(F.struct("col", "base")))
-    return profile.groupBy(*keys).agg(F.count("*").alias("n_cols"), F.array_join(F.transform(ordered, lambda x: x["base"]), "").alias("full"))
+    return profile.groupBy(*keys).agg(F.count("*").alias("n_cols"), F.array_join(F.transform(ordered, lambda x: x["base"]), "").alias("full"), *more)
 
 
-def cutoff_run(profile: DataFrame, keys: list[str]) -> DataFrame:
+def _cut(df: DataFrame, keys: list[str], reason: Column, units: DataFrame | None) -> DataFrame:
+    length = F.coalesce("cut", "n_cols")
+    out = df.select(*keys, length.cast("bigint").alias("length"), reason.alias("reason"), F.left("full", length.cast("int")).alias("text"))
+    if units is None:
+        return out
+    fill = {"length": F.coalesce("length", F.lit(0).cast("bigint")), "reason": F.coalesce("reason", F.lit("empty")), "text": F.coalesce("text", F.lit(""))}
+    return units.select(*keys).join(out, keys, "left").withColumns(fill)
+
+
+def cutoff_run(profile: DataFrame, keys: list[str], units: DataFrame | None = None) -> DataFrame:
     """Cut before the first run of low columns: ``length, reason, text`` per unit.
 
     ``profile`` has ``threshold`` and ``run``, equal within a unit. A column is low at or below the
-    threshold. The reason is pos1_low whenever the first column is low, even if nothing was cut.
+    threshold. The reason is pos1_low whenever the first column is low, even if nothing was cut; it is
+    empty for ``units`` (if given) of which the profile has no column. The profile is read once.
     """
-    low = profile.where(F.col("ident") <= F.col("threshold"))
+    low = F.col("ident") <= F.col("threshold")
     w = W.partitionBy(*keys).orderBy("col")
-    runs = low.withColumn("group", F.col("col") - F.row_number().over(w))
-    runs = runs.withColumn("nth", F.row_number().over(W.partitionBy(*keys, "group").orderBy("col")))
-    cut = runs.groupBy(*keys).agg(F.min(F.when(F.col("nth") >= F.col("run"), F.col("col") - F.col("run") + 1)).alias("cut"), F.min("col").alias("first_low"))
-    df = consensus_text(profile, keys).join(cut, keys, "left")
-    length = F.coalesce("cut", "n_cols")
+    # Columns since the last one that isn't low, counted along the unit
+    high = F.coalesce(F.max(F.when(~low, F.col("col"))).over(w), F.lit(-1))
+    rows = profile.withColumn("nth", F.when(low, F.col("col") - high))
+    cut = F.min(F.when(F.col("nth") >= F.col("run"), F.col("col") - F.col("run") + 1)).alias("cut")
+    df = consensus_text(rows, keys, cut, F.min(F.when(F.col("nth").isNotNull(), F.col("col"))).alias("first_low"))
     reason = F.when(F.col("first_low") == 0, "pos1_low").when(F.col("cut").isNotNull(), "cutoff").otherwise("maxed_out")
-    return df.select(*keys, length.cast("bigint").alias("length"), reason.alias("reason"), F.left("full", length.cast("int")).alias("text"))
+    return _cut(df, keys, reason, units)
 
 
-def cutoff_single(profile: DataFrame, keys: list[str]) -> DataFrame:
-    """Cut before the first low column: ``length, reason, text`` per unit."""
-    low = profile.groupBy(*keys).agg(F.min(F.when(F.col("ident") <= F.col("threshold"), F.col("col"))).alias("cut"))
-    df = consensus_text(profile, keys).join(low, keys)
-    length = F.coalesce("cut", "n_cols")
+def cutoff_single(profile: DataFrame, keys: list[str], units: DataFrame | None = None) -> DataFrame:
+    """Cut before the first low column: ``length, reason, text`` per unit; empty as in ``cutoff_run``."""
+    df = consensus_text(profile, keys, F.min(F.when(F.col("ident") <= F.col("threshold"), F.col("col"))).alias("cut"))
     reason = F.when(F.col("cut").isNull(), "maxed_out").when(F.col("cut") == 0, "low_start").otherwise("normal")
-    return df.select(*keys, length.cast("bigint").alias("length"), reason.alias("reason"), F.left("full", length.cast("int")).alias("text"))
+    return _cut(df, keys, reason, units)
 
 
 def segments(profile: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,16 +124,17 @@ def segments(profile: DataFrame, keys: list[str]) -> DataFrame:
     segment. A segment is closed if enough low columns follow; an open one runs to the last column.
     """
     w = W.partitionBy(*keys).orderBy("col")
-    size = profile.groupBy(*keys).agg((F.max("col")).alias("last_col"))
-    high = profile.where(F.col("ident") >= F.col("threshold"))
-    gap = F.col("col") - F.lag("col").over(w) - 1
-    high = high.withColumn("new", F.when(gap.isNull() | (gap >= F.col("run")), 1).otherwise(0))
-    high = high.withColumn("seg_no", F.sum("new").over(w))
-    segs = high.groupBy(*keys, "seg_no").agg(F.min("col").alias("start"), F.max("col").alias("end"), F.first("run").alias("run"))
-    segs = segs.join(size, keys).join(consensus_text(profile, keys), keys)
+    whole = W.partitionBy(*keys)
+    is_high = F.col("ident") >= F.col("threshold")
+    before = F.max(F.when(is_high, F.col("col"))).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = profile.withColumns({"last_col": F.max("col").over(whole), "fresh": F.when(is_high & (before.isNull() | (F.col("col") - before - 1 >= F.col("run"))), 1).otherwise(0), "high": is_high})
+    # Low columns carry the number of the segment before them, so that its text can be read on through gaps
+    rows = rows.withColumn("seg_no", F.sum("fresh").over(w)).where(F.col("seg_no") > 0)
+    ordered = F.array_sort(F.collect_list(F.struct("col", "base")))
+    segs = rows.groupBy(*keys, "seg_no").agg(F.min("col").alias("start"), F.max(F.when(F.col("high"), F.col("col"))).alias("end"), F.first("run").alias("run"), F.first("last_col").alias("last_col"), F.array_join(F.transform(ordered, lambda x: x["base"]), "").alias("full"))
     is_open = F.col("last_col") - F.col("end") < F.col("run")
     length = F.when(is_open, F.col("last_col")).otherwise(F.col("end")) - F.col("start") + 1
-    return segs.select(*keys, F.col("seg_no").cast("bigint").alias("seg_no"), "start", length.cast("bigint").alias("length"), F.substr("full", (F.col("start") + 1).cast("int"), length.cast("int")).alias("text"), is_open.alias("is_open"))
+    return segs.select(*keys, F.col("seg_no").cast("bigint").alias("seg_no"), "start", length.cast("bigint").alias("length"), F.left("full", length.cast("int")).alias("text"), is_open.alias("is_open"))
 
 
 def segments_side_aware(stacks: DataFrame, keys: list[str], threshold: float, run: int, trim: int = 0) -> DataFrame:
@@ -141,9 +174,13 @@ def build_consensus(stacks: DataFrame, keys: list[str], source: str, overlap: in
     """The consensus of each unit and side, by source: raw stacks are cut at a run, alignments give a boundary segment.
 
     The bases inside the element are stripped first; threshold and run length follow the unit's size.
+    Stripped windows, sizes and segments are kept as tables, as several steps read them.
     """
+    kept = Tables(stacks.sparkSession)
     df = stacks.withColumn("seq", E.strip_overlap("seq", "side", overlap)).where(F.length("seq") > 0)
+    df = kept.keep(df.select(*keys, "side", "ord", "seq"))
     sized = unit_sizes(df, keys).withColumns({"threshold": E.dynamic_threshold(F.col("n_members"), small, large, cutoff), "run": E.dynamic_run_len(F.col("n_members"), run, cutoff)})
+    sized = kept.keep(sized)
     both = [*keys, "side"]
     if source == "stacking":
         cut = cutoff_run(column_profile(df, both).join(sized, keys), both)
@@ -157,7 +194,7 @@ def build_consensus(stacks: DataFrame, keys: list[str], source: str, overlap: in
                 size = own.groupBy(*both).agg(F.max(F.length("seq")).alias("size"))
                 segs = segs.join(size, both).withColumn("start", F.col("size") - F.col("start") - F.col("length")).withColumn("text", F.reverse("text")).drop("size")
             parts.append(segs)
-        segs = parts[0].unionByName(parts[1])
+        segs = kept.keep(parts[0].unionByName(parts[1]))
         chosen = boundary_segment(segs, both)
         open_ones = segs.groupBy(*both).agg(F.bool_or("is_open").alias("has_open"))
         units = df.select(*both).distinct().join(open_ones, both, "left").join(chosen, both, "left")
@@ -175,14 +212,17 @@ def strategy_units(stacks: DataFrame, keys: list[str], strategies: DataFrame, tr
     """Per strategy and unit whether it is maxed out, and counts and lengths of what was found.
 
     ``strategies`` is a short table: ``strategy, kind`` (A, B or S for segments) ``, small, large,
-    run_small, run_large, cutoff``. The profile is computed once for all of them.
+    run_small, run_large, cutoff``, and at most some dozen rows. The profile is computed once for all of
+    them; it and the units are kept as tables.
     """
     both = [*keys, "side"]
+    kept = Tables(stacks.sparkSession)
     profile = column_profile(stacks, both, trim)
     units = unit_sizes(stacks, keys).join(F.broadcast(strategies))  # a row for each strategy and unit
     few = F.col("n_members") <= F.col("cutoff")
     units = units.withColumns({"threshold": F.when(few, F.col("small")).otherwise(F.col("large")), "run": F.when(few, F.col("run_small")).otherwise(F.col("run_large"))})
-    rated = profile.join(units.select(*keys, "strategy", "kind", "threshold", "run"), keys)
+    units = kept.keep(units)
+    rated = kept.keep(profile.join(units.select(*keys, "strategy", "kind", "threshold", "run"), keys))
     named = ["strategy", *both]
     cut = cutoff_run(rated.where(F.col("kind") == "A"), named).unionByName(cutoff_single(rated.where(F.col("kind") == "B"), named))
     # In cut strategies a side without sequences counts as found, with length 0
@@ -191,15 +231,26 @@ def strategy_units(stacks: DataFrame, keys: list[str], strategies: DataFrame, tr
     cut = cut.withColumn("length", F.when(~F.col("maxed"), F.coalesce("length", F.lit(0))))
     segs = segments(rated.where(F.col("kind") == "S"), named)
     segs = segs.select(*named, F.col("is_open").alias("maxed"), F.when(~F.col("is_open"), F.col("length")).alias("length"))
-    per_side = segs.groupBy(*named).agg(F.bool_or("maxed").alias("maxed"), F.count("length").alias("n"))
-    multi = per_side.groupBy("strategy", *keys).agg(F.max((F.col("n") > 1).cast("int")).alias("multi"))
-    per = cut.select(*named, "maxed", "length").unionByName(segs.select(*named, "maxed", "length"))
-    per = per.groupBy("strategy", *keys).agg(F.bool_or("maxed").alias("maxed"), *(c.alias(n) for n, c in _bucket_sums().items()))
-    out = units.select("strategy", *keys, "n_members").join(per, ["strategy", *keys], "left").join(multi, ["strategy", *keys], "left")
+    per = cut.select(*named, "maxed", "length", F.lit(0).alias("seg")).unionByName(segs.select(*named, "maxed", "length", F.lit(1).alias("seg")))
+    side = per.groupBy(*named).agg(F.bool_or("maxed").alias("maxed"), *(c.alias(n) for n, c in _bucket_sums().items()), F.count(F.when(F.col("seg") == 1, F.col("length"))).alias("n"))
+    sums = [F.sum(n).alias(n) for n in ("n_found", "len_found", "n_in", "n_under", "n_over")]
+    per = side.groupBy("strategy", *keys).agg(F.bool_or("maxed").alias("maxed"), *sums, F.max((F.col("n") > 1).cast("int")).alias("multi"))
+    out = units.select("strategy", *keys, "n_members").join(per, ["strategy", *keys], "left")
     zero = {n: F.coalesce(n, F.lit(0)) for n in ("n_found", "len_found", "n_in", "n_under", "n_over", "multi")}
     return out.withColumns(zero | {"maxed": F.coalesce("maxed", F.lit(False))})
 
 
+def multi_segment_units(units: DataFrame, keys: list[str], sample: int = 5, seed: int = 42) -> DataFrame:
+    """Units with more than one segment on a side, by strategy, and which of them a seeded sample takes.
+
+    ``in_sample`` marks the ``sample`` units of a strategy that come first in an order of digests.
+    """
+    some = units.where(F.col("multi") == 1)
+    mark = F.md5(F.concat_ws("#", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))).cast("binary"))
+    first = W.partitionBy("strategy").orderBy(mark, *keys)
+    return some.select("strategy", *keys, (F.row_number().over(first) <= sample).alias("in_sample"))
+
+
 def strategy_outcome(units: DataFrame, cluster: list[str]) -> DataFrame:
     """Per strategy: elements and units found and maxed out, clusters all maxed out and with any found."""
     per_cluster = units.groupBy("strategy", *cluster).agg(F.bool_and("maxed").alias("all_maxed"), F.bool_or(~F.col("maxed")).alias("any"), *(F.sum(x).alias(n) for n, x in {"f": F.when(~F.col("maxed"), F.col("n_members")).otherwise(0), "m": F.when(F.col("maxed"), F.col("n_members")).otherwise(0), "uf": F.when(~F.col("maxed"), 1).otherwise(0), "um": F.when(F.col("maxed"), 1).otherwise(0)}.items()))

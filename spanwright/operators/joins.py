@@ -43,7 +43,8 @@ def element_gene_table(elements: DataFrame, genes: DataFrame, genomes: DataFrame
     own = genes.where(F.col("recombinase").isNotNull()).join(sequenced.select("gene_id").distinct(), "gene_id", "left_semi")
     own = own.select("gene_id", "g_start", "g_end", "recombinase", F.col("parent").alias("mge_id"), F.col("doc_id").alias("ord"), "k")
     df = kept.join(own, "mge_id").where(contained_in())
-    return df.select("mge_id", "gca", F.col("start_pos").alias("mge_start"), F.col("end_pos").alias("mge_end"), F.col("gene_id").alias("recombinase_id"), F.col("g_start").alias("recombinase_start"), F.col("g_end").alias("recombinase_end"), F.col("recombinase").alias("recombinase_type"), (F.col("ord") * 3 + F.col("k")).alias("ord"))
+    attribute = lambda name: F.try_element_at(E.attr_map("attrs"), F.lit(name)).alias(name)
+    return df.select("mge_id", "gca", F.col("start_pos").alias("mge_start"), F.col("end_pos").alias("mge_end"), attribute("n_genes"), attribute("mgeR"), F.col("gene_id").alias("recombinase_id"), F.col("g_start").alias("recombinase_start"), F.col("g_end").alias("recombinase_end"), F.col("recombinase").alias("recombinase_type"), (F.col("ord") * 3 + F.col("k")).alias("ord"))
 
 
 def append_clusters(table: DataFrame, membership: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def append_duplicates(table: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def extract_flanks(elements: DataFrame, placement: DataFrame, genomes: DataFrame, contigs: DataFrame, signs: DataFrame, flank: int = 500, overlap: int = 30) -> DataFrame:
-    """Windows at both ends of each placed element, on the strand of its group, or why there are none."""
+    """Windows at both ends of each placed element and its own body, on the strand of its group, or why there are none."""
     seqs = contigs.join(elements.select("contig_id").distinct(), "contig_id", "left_semi").select("contig_id", "seq")
     df = elements.join(placement, "mge_id", "left").join(genomes.select("genome_key", F.lit(True).alias("has_genome")).distinct(), "genome_key", "left")
     df = df.join(seqs, "contig_id", "left").join(signs.select(F.col("member").alias("mge_id"), "sign"), "mge_id", "left")
@@ -80,8 +81,8 @@ def extract_flanks(elements: DataFrame, placement: DataFrame, genomes: DataFrame
     left, right = E.orient_flanks(E.slice0("seq", ls, le), E.slice0("seq", rs, re), F.coalesce("sign", F.lit("-")))
     df = df.withColumn("reason", reason)
     ok = F.col("reason").isNull()
-    out = df.withColumns({"left": F.when(ok, left), "right": F.when(ok, right), "short_left": ok & (le - ls < flank), "short_right": ok & (re - rs < flank)})
-    return out.select("mge_id", "rec_type", "reason", "left", "right", "short_left", "short_right")
+    out = df.withColumns({"left": F.when(ok, left), "right": F.when(ok, right), "short_left": ok & (le - ls < flank), "short_right": ok & (re - rs < flank), "body": F.when(ok, E.orient_body(E.interval_substring("seq", F.col("start_pos"), F.col("end_pos")), F.coalesce("sign", F.lit("-"))))})
+    return out.select("mge_id", "rec_type", "reason", "left", "right", "short_left", "short_right", "body")
 
 
 def append_flanks(table: DataFrame, flanks: DataFrame) -> DataFrame:

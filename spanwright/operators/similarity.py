@@ -1,4 +1,8 @@
-"""Similarity of genomes and genes by shared k-mers, clusters of similar genes, and identical sequences on either strand."""
+"""Similarity of genomes by shared k-mers, clusters of similar genes, and identical sequences on either strand.
+
+Genes are clustered as by Linclust (Steinegger and Söding, 2018): sequences that share a k-mer are
+compared with the longest of them only, so the work grows with the input and not with its square.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions import expr as E
-from spanwright.session import with_checkpoints
+from spanwright.operators.skew import even_join
+from spanwright.session import Tables, with_checkpoints
 
 #: Bases of a tile that k-mers are cut from at a time.
 TILE = 1000
@@ -64,22 +69,67 @@ def greedy_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         state = state.join(marks, "id", "left").select("id", F.coalesce("rep", "by").alias("rep")).checkpoint()
 
 
-def cluster_by_similarity(genes: DataFrame, identity: float = 85.0, coverage: float = 85.0, k: int = 15) -> DataFrame:
-    """``member, rep`` of genes (``id, seq``) similar enough in both directions."""
-    pairs = pairwise_similarity(genes.withColumn("block", F.lit("all")), "block", "id", k)
-    edges = pairs.where((F.col("ani") >= identity) & (F.col("af_ref") >= coverage) & (F.col("af_query") >= coverage)).select(F.col("ref").alias("a"), F.col("query").alias("b"))
-    return greedy_clusters(genes.select("id", F.length("seq").alias("size")), edges)
+def _chosen(genes: DataFrame, k: int, most: int) -> DataFrame:
+    """``id, size, kmer, at``: the ``most`` k-mers of each sequence whose hashes are least, with their first places."""
+    starts = F.sequence(F.lit(1), F.length("seq") - (k - 1))
+    each = F.transform(starts, lambda i: F.struct(F.xxhash64(F.substr(F.col("seq"), i, F.lit(k))).alias("h"), i.alias("at")))
+    first = F.array_sort(each)
+    df = genes.where(F.length("seq") >= k).select("id", F.length("seq").alias("size"), F.explode(F.slice(first, 1, most)).alias("x"))
+    return df.groupBy("id", "size", F.col("x.h").alias("kmer")).agg(F.min("x.at").alias("at"))
+
+
+def similar_genes(genes: DataFrame, identity: float, coverage: float, k: int, most: int) -> DataFrame:
+    """``a, b``: sequences (``id, seq``, all different) as similar as asked to the longest one that shares a k-mer.
+
+    The two are laid side by side at the shared k-mer, without gaps. Identity is the share of equal
+    bases where they overlap, coverage the overlap's share of the longer sequence, both in percent.
+    """
+    kept = Tables(genes.sparkSession)
+    kmers = kept.keep(_chosen(genes, k, most))
+    longest = kmers.groupBy("kmer").agg(F.max(F.struct("size", "id", "at")).alias("c"), F.count("*").alias("n")).where(F.col("n") > 1)
+    longest = kept.keep(longest)
+    met = even_join(kmers, longest.select("kmer", "c"), ["kmer"], counts=longest.select("kmer", "n")).where(F.col("id") != F.col("c.id"))
+    shift = F.col("c.at") - F.col("at")
+    overlap = F.least(F.col("c.size") - F.greatest(shift, F.lit(0)), F.col("size") - F.greatest(-shift, F.lit(0)))
+    met = met.where(overlap * 100 >= F.lit(coverage) * F.greatest("size", "c.size"))
+    pairs = kept.keep(met.select(F.col("c.id").alias("a"), F.col("id").alias("b"), shift.alias("shift"), overlap.alias("overlap")).distinct())
+    with_b = even_join(pairs, genes.select(F.col("id").alias("b"), F.col("seq").alias("seq_b")), ["b"])
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    both = even_join(with_b, genes.select(F.col("id").alias("a"), F.col("seq").alias("seq_a")), ["a"], counts=counts, total=pairs.count())
+    part = lambda seq, at: F.split(F.substr(F.col(seq), F.greatest(at, F.lit(0)) + 1, F.col("overlap")), "")
+    same = F.size(F.filter(F.zip_with(part("seq_a", F.col("shift")), part("seq_b", -F.col("shift")), lambda p, q: p == q), lambda e: e))
+    return both.where(same * 100 >= F.lit(identity) * F.col("overlap")).select("a", "b").distinct()
+
+
+def cluster_by_similarity(genes: DataFrame, identity: float = 85.0, coverage: float = 85.0, k: int = 15, most: int = 20) -> DataFrame:
+    """``member, rep`` of genes (``id, seq``) as similar as asked to their representative.
+
+    Equal sequences are one: the least id stands for them, so copies are together whatever their
+    length. Representatives are taken from the longest sequence on.
+    """
+    kept = Tables(genes.sparkSession)
+    named = kept.keep(genes.select("id", F.sha2(F.col("seq").cast("binary"), 256).alias("key"), F.length("seq").alias("size")))
+    copies = named.groupBy("key", "size").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    copies = kept.keep(copies)
+    once = kept.keep(genes.join(copies.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    clusters = greedy_clusters(copies.select("id", "size"), similar_genes(once, identity, coverage, k, most))
+    reps = kept.keep(copies.join(clusters.withColumnRenamed("member", "id"), "id").select("key", "size", "n", "rep"))
+    return even_join(named, reps.drop("n"), ["key", "size"], counts=reps.select("key", "size", "n")).select(F.col("id").alias("member"), "rep")
 
 
 def strand_aware_duplicates(seqs: DataFrame) -> DataFrame:
     """``group_no, member, sign, flip`` of sequences that are equal on one strand or the other.
 
     Groups of two or more; numbered by their first members' order. ``+`` means that a member is the
-    reverse complement of the first one. Keys are digests, and whole sequences are compared with them.
+    reverse complement of the first one. Sequences are compared by 256-bit digests of the lesser of
+    their two strands and by their lengths, so they themselves are read once and never moved.
     """
-    df = seqs.select("id", "ord", "seq", F.least("seq", E.revcomp("seq")).alias("form")).withColumn("key", F.sha2(F.col("form").cast("binary"), 256))
-    first = df.groupBy("key", "form").agg(F.min_by(F.struct("seq", "ord"), "ord").alias("x"), F.count("*").alias("n")).where(F.col("n") > 1)
-    named = first.select("key", F.col("x.seq").alias("first_seq"), F.col("x.ord").alias("first_ord"))
-    out = df.join(named, "key")
-    flip = F.col("seq") != F.col("first_seq")
+    other = E.revcomp("seq")
+    digest = F.sha2(F.least("seq", other).cast("binary"), 256)
+    kept = Tables(seqs.sparkSession)
+    df = kept.keep(seqs.select("id", "ord", digest.alias("key"), F.length("seq").alias("size"), (F.col("seq") <= other).alias("is_least")))
+    first = df.groupBy("key", "size").agg(F.min_by(F.struct("is_least", "ord"), "ord").alias("x"), F.count("*").alias("n")).where(F.col("n") > 1)
+    named = first.select("key", "size", F.col("x.is_least").alias("first_least"), F.col("x.ord").alias("first_ord"))
+    out = even_join(df, named, ["key", "size"])
+    flip = F.col("is_least") != F.col("first_least")
     return out.select(F.col("first_ord").alias("group_no"), F.col("id").alias("member"), F.when(flip, "+").otherwise("-").alias("sign"), flip.alias("flip"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanwright.operators.graph import connected_components
+from spanwright.operators.skew import even_join
+from spanwright.session import Tables
 
-#: Components of at least this many groups are placed one after the other; smaller ones by hash.
-LARGE, MOST_LARGE = 2, 100_000
+#: Components of one footprint up to this number are placed one by one; of more the bulk is computed.
+ONE_BY_ONE = 1000
 
 
 def species_components(rows: DataFrame) -> DataFrame:
@@ -35,55 +37,70 @@ def component_footprint(groups: DataFrame) -> DataFrame:
     return groups.groupingSets([["component", "rec_type"], ["component"]], "component", "rec_type").agg(F.count("*").alias("n"))
 
 
+def place(footprints: list[tuple[np.ndarray, int]], targets: np.ndarray) -> list[np.ndarray]:
+    """How many components of each footprint go to each bucket, placed in this order.
+
+    A footprint is counts in all and by type, with the number of components that have it. Each
+    component goes to the bucket whose fullest count, in all or of one of its types, stays lowest
+    against its target; earlier buckets win ties. Components of one footprint fill the buckets in
+    steps that grow, so the bulk of very many is found by the height they reach.
+    """
+    filled, out = np.zeros_like(targets), []
+    for add, m in footprints:
+        touched, counts = add > 0, np.zeros(len(targets), np.int64)
+        room = targets[:, touched]
+        height = lambda n: np.where(room > 0, (filled[:, touched] + n[:, None] * add[touched]) / np.where(room > 0, room, 1), np.inf).max(1)  # noqa: B023, E731
+        if m > ONE_BY_ONE:
+            low, high = 0.0, float(height(np.full(len(targets), float(m))).max())
+            for _ in range(100):
+                middle = (low + high) / 2
+                fit = np.floor(np.where(room > 0, (middle * room - filled[:, touched]) / add[touched], -np.inf).min(1)).clip(0, m)
+                low, high = (middle, high) if fit.sum() <= m - len(targets) else (low, middle)
+            fit = np.floor(np.where(room > 0, (low * room - filled[:, touched]) / add[touched], -np.inf).min(1)).clip(0, m)
+            counts = np.maximum(fit.astype(np.int64) - 1, 0)
+        for _ in range(m - int(counts.sum())):
+            counts[int(np.argmin(height(counts + 1.0)))] += 1
+        filled += counts[:, None] * add
+        out.append(counts)
+    return out
+
+
 def assign_buckets(footprint: DataFrame, names: list[str], shares: list[float], seed: int) -> DataFrame:
     """``component, bucket``: whole components dealt to buckets so that totals and types come near their shares.
 
-    The largest component is placed first, into the bucket whose fullest count, in all or of one of
-    the component's types, stays lowest against its target; earlier buckets win ties. Components of
-    fewer than LARGE groups, or more than MOST_LARGE of them in all, are dealt by a hash of their
-    name in proportion to the shares, so that no task holds an unbounded table.
+    Largest components are placed first, as ``place`` says; among equals in size those of one
+    footprint follow each other, and in it a digest of the component and the seed tells which goes
+    where. The driver holds a row for each different footprint, not for each component: small
+    components, of which there can be very many, have few different ones.
     """
-    totals = footprint.where(F.col("rec_type").isNull()).select("component", F.col("n").alias("total"))
-    mark = F.md5(F.concat(F.col("component").cast("string"), F.lit(f":{seed}")).cast("binary"))
-    cut = totals.groupBy("total").count().orderBy(F.desc("total")).limit(MOST_LARGE).collect()
-    least, held = LARGE, 0
-    for r in cut:  # sizes from the largest on, as long as their components are few enough
-        held += r["count"]
-        if held > MOST_LARGE:
-            least = max(least, r["total"] + 1)
-            break
-    large = totals.where(F.col("total") >= least)
+    kept = Tables(footprint.sparkSession)
     types = footprint.where(F.col("rec_type").isNotNull())
-    everything = {r["rec_type"]: r["n"] for r in types.groupBy("rec_type").agg(F.sum("n").alias("n")).collect()}
-    whole = sum(everything.values())
+    everything = {r["rec_type"]: r["n"] for r in types.groupBy("rec_type").agg(F.sum("n").alias("n")).collect()}  # a row for each type
+    # A component has as many entries as there are types
+    shape = F.array_sort(F.collect_list(F.struct("rec_type", "n")))
+    mark = F.md5(F.concat(F.col("component").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    shaped = types.groupBy("component").agg(F.sum("n").alias("total"), F.to_json(shape).alias("shape"), F.first(F.lit(1)).alias("one")).drop("one")
+    shaped = kept.keep(shaped.withColumn("mark", mark).withColumn("block", F.substring("mark", 1, 3)))
+    classes = shaped.groupBy("total", "shape").agg(F.count("*").alias("m")).orderBy(F.desc("total"), "shape").withColumn("entries", F.from_json("shape", "array<struct<rec_type: string, n: long>>")).collect()
     column = {t: i + 1 for i, t in enumerate(sorted(everything))}
-    target = np.array([[s * whole] + [s * everything[t] for t in column] for s in shares])
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["total", "mark"], ascending=[False, True])
-        filled, out = np.zeros_like(target), []
-        for component, part in rows.groupby("component", sort=False):
-            add = np.zeros(target.shape[1])
-            add[0] = part["total"].iloc[0]
-            for t, n in zip(part["rec_type"], part["n"], strict=True):
-                add[column[t]] += n
-            touched = add > 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                full = np.where(target > 0, (filled + add) / target, np.inf)[:, touched].max(1)
-            best = int(np.argmin(full))
-            filled[best] += add
-            out.append((component, names[best]))
-        return pd.DataFrame(out, columns=["component", "bucket"])
-
-    kind = dict(footprint.dtypes)["component"]
-    placed = types.join(large, "component").withColumns({"mark": mark, "one": F.lit("all")}).groupBy("one").applyInPandas(place, f"component {kind}, bucket string")
-    u = F.conv(F.substring(mark, 1, 8), 16, 10).cast("double") / float(2**32)
-    ends = np.cumsum(shares)
-    bucket = F.lit(names[-1])
-    for name, end in reversed(list(zip(names[:-1], ends[:-1], strict=True))):
-        bucket = F.when(u < float(end), F.lit(name)).otherwise(bucket)
-    small = totals.where(F.col("total") < least).select("component", bucket.alias("bucket"))
-    return placed.unionByName(small)
+    whole = sum(everything.values())
+    targets = np.array([[s * whole] + [s * everything[t] for t in column] for s in shares])
+    footprints = []
+    for r in classes:
+        add = np.zeros(targets.shape[1])
+        add[0] = r["total"]
+        for e in r["entries"]:
+            add[column[e["rec_type"]]] += e["n"]
+        footprints.append((add, r["m"]))
+    ends = [(r["shape"], np.cumsum(c).tolist()) for r, c in zip(classes, place(footprints, targets), strict=True)]
+    until = footprint.sparkSession.createDataFrame(ends, "shape string, ends array<long>")
+    # The place of a component in its footprint: blocks of marks are counted first, so none is ranked in one task
+    blocks = shaped.groupBy("shape", "block").agg(F.count("*").alias("n"))  # 4096 blocks of a footprint at most
+    before = blocks.select("shape", "block", (F.sum("n").over(W.partitionBy("shape").orderBy("block")) - F.col("n")).alias("before"))
+    ranked = shaped.withColumn("nth", F.row_number().over(W.partitionBy("shape", "block").orderBy("mark", "component"))).join(before, ["shape", "block"])
+    ranked = kept.keep(ranked.select("component", "shape", (F.col("nth") + F.col("before")).alias("nth")))
+    bucket = F.size(F.filter("ends", lambda e: e < F.col("nth")))
+    return even_join(ranked, until, ["shape"]).select("component", F.get(F.array(*map(F.lit, names)), bucket).alias("bucket"))
 
 
 def leakage_check(rows: DataFrame, by: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Sources and sinks: annotations, sequences, taxonomies, groups, manifests and tables as text files.
 
-Order is data in several of these files, so readers that need it return ``ord``: the place of the
-line in its file, from the text source's own row numbers per file where lines are numbered.
+Order is data in several of these files, so readers that need it return ``ord``: the file of a line,
+the byte at which its split of the file starts, and its number among the lines of the task. Lines
+compare by it as they stand, in files in the order of their paths.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """``ord, value`` of the lines of one file, numbered from 0 as they stand."""
-    schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("value", T.StringType())])
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))  # the only way to number lines in order
-    return spark.createDataFrame(rows, schema)
+    """``ord, value`` of the lines of text files; ``ord`` compares as the lines stand."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"))
+    return spark.read.text(path).select(at.alias("ord"), "value")
 
 
 def intervals(lines: DataFrame, kind: str | None = None) -> DataFrame:
@@ -91,11 +91,11 @@ def membership(lines: DataFrame) -> DataFrame:
 
 def _tokens(lines: DataFrame) -> DataFrame:
     """``group_no, pos, token``: non-blank lines are groups, numbered 1.. in file order."""
-    full = lines.where(F.trim("value") != "")
-    # Lines per block of ord, then their running sums: no window over all lines
-    block = full.withColumn("block", F.floor(F.col("ord") / 10000))
-    before = block.groupBy("block").count().withColumn("base", F.sum("count").over(W.orderBy("block")) - F.col("count")).select("block", "base")
-    placed = block.withColumn("i", F.row_number().over(W.partitionBy("block").orderBy("ord"))).join(F.broadcast(before), "block")
+    full = lines.where(F.trim("value") != "").select("ord.*", "value")
+    # Lines are numbered within a split of a file; splits, of which there are few, carry the sums of those before
+    splits = full.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = splits.select("file", "start", (F.sum("n").over(W.orderBy("file", "start")) - F.col("n")).alias("base"))
+    placed = full.withColumn("i", F.row_number().over(W.partitionBy("file", "start").orderBy("nth"))).join(before, ["file", "start"])
     return placed.select((F.col("base") + F.col("i")).cast("bigint").alias("group_no"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("pos", "token"))
 
 
@@ -150,12 +150,15 @@ def write_sequences(df: DataFrame, path: str, compression: str = "none") -> None
 def position_scores(rows: DataFrame, rec_types: DataFrame) -> DataFrame:
     """Keys of score files by their names: the longest known type, the side at the end, the rest is the id.
 
-    ``rows`` has ``name`` and further columns; ``rec_types`` is a short table of ``rec_type``.
+    ``rows`` has ``name`` and further columns; ``rec_types`` has ``rec_type``. Every beginning of a name
+    that ends before an underscore is looked up, so it is a join of equal names.
     """
     stem = F.regexp_replace("name", r"\.tsv$", "")
     df = rows.withColumn("stem", stem).withColumn("side", F.regexp_extract("stem", "_(left|right)$", 1)).where(F.col("side") != "")
     names = df.select("stem").distinct()
-    best = names.join(F.broadcast(rec_types), F.col("stem").startswith(F.concat(F.col("rec_type"), F.lit("_")))).groupBy("stem").agg(F.max_by("rec_type", F.length("rec_type")).alias("rec_type"))
+    parts = F.split("stem", "_")
+    begun = names.select("stem", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "_"))).alias("rec_type"))
+    best = begun.join(rec_types, "rec_type").groupBy("stem").agg(F.max_by("rec_type", F.length("rec_type")).alias("rec_type"))
     df = df.join(best, "stem")
     start = F.length("rec_type") + 2
     return df.withColumn("mge_id", F.substr("stem", start, F.length("stem") - F.length("side") - start)).drop("stem", "name")
