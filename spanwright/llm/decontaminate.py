@@ -137,8 +137,10 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     runs = _grams(doc_rows, *sorted(lengths)).select("doc_id", "key", "n_words", "words", F.explode_outer("v").alias("v")).where(F.col("v").isNotNull())
     runs = runs.withColumns(dict(zip(("g", "p"), _unpacked(F.col("v")), strict=True)))
     here = F.transform(F.slice("words", F.col("p") + 1, F.size("there")), lambda w: F.translate(w, UPPER, LOWER))
-    met = _joined(runs, one, "inner").where(here == F.col("there"))
-    out = out.unionByName(met.select("doc_id", "key", "n_words", F.col("p").alias("start"), (F.col("p") + F.size("there")).alias("stop"), "item_id", F.lit(False).alias("own")))
+    # As above: a filter on what the lambda finds would move into the join, and all rows would leave the code with their words
+    met = _joined(runs, one, "inner").withColumn("good", here == F.col("there"))
+    good = lambda c: F.when(F.col("good"), c)
+    out = out.unionByName(met.select("doc_id", "key", "n_words", good(F.col("p")).alias("start"), good(F.col("p") + F.size("there")).alias("stop"), good(F.col("item_id")).alias("item_id"), F.lit(False).alias("own")))
     return out
 
 
