@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: each stage works on all that its predecessor kept."""
+"""A training-data pipeline over ``documents``: each stage works on all that its predecessor kept.
+
+Each stage but the last returns the columns of its documents, whatever further ones there are and
+whatever their names. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,39 @@ from spanwright.llm.common import table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network does not reject; it learns from the labels of the given tables."""
+    """Documents that the toxicity network does not reject; it learns from the labels of the given tables.
+
+    Texts without words, null ones too, have the share of toxic labels as their score. Equal rows
+    have equal scores, so all of them stay or go.
+    """
     return toxicity.accepted(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the least id.
+
+    Texts without words, null ones too, are no duplicates of each other; of rows of one id and text
+    one stays.
+    """
     return minhash.deduplicated(docs)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of ten words with a benchmark item."""
+    """Documents that share no window of ten words with a benchmark item; null texts and repeated rows stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts masked."""
+    """All documents, personal data and secrets in their texts masked; null texts and repeated rows stay."""
     return pii.redact(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, and the digest of the text that they decode to."""
+    """Token ids of all documents, and the digest of the text that they decode to.
+
+    A row for each document: ``doc_id, ids, n_tokens, ids_sha256, decoded_sha256``, no other columns;
+    null texts have no tokens.
+    """
     return bpe.digests(bpe.encode_documents(docs), "ids")
 
 
