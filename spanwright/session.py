@@ -51,11 +51,12 @@ class Tables:
     """Intermediate tables, written as Parquet in the shared folder; they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.top = spark, scratch(spark)
+        self.spark, self.top = spark, ""
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
         """Write a table and read it again. If it has ``rows`` at most, few rows are written by few tasks."""
+        self.top = self.top or scratch(self.spark)
         path = f"{self.top}/{uuid.uuid4().hex}"
         (df if rows is None else df.coalesce(1 + rows // ROWS)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
