@@ -38,6 +38,7 @@ def fit_predict(rows: DataFrame, rounds: int = 5) -> DataFrame:
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # each round of boosting reads them
     fitting = rows.where(F.col("split").isin("train", "val")).withColumn("watch", F.col("split") == "val")
     model = GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=3, seed=7, validationIndicatorCol="watch").fit(fitting)
+    rows.unpersist()
     return model.transform(rows.where(F.col("split") == "test")).withColumn("prediction", F.round("prediction", 4))
 
 
