@@ -10,7 +10,7 @@ import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-KINDS = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+KINDS = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def connection(sf_dir: str = DATA) -> duckdb.DuckDBPyConnection:
