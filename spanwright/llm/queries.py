@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm import bpe, decontaminate, fingerprint, html, licences, minhash, pii, score, toxicity, twins, urls
+from spanwright.llm import bpe, decontaminate, divergence, fingerprint, html, licences, merkle, minhash, pii, score, shards, toxicity, twins, urls
 from spanwright.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assigned(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op 3 that SQL can express."""
     return op3_urls(spark, sf_dir).select("page_id", "host", "path", "rule")
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
+    "op11_manifest": op11_manifest,
+    "op12_shards": op12_shards,
+    "op13_divergence": op13_divergence,
     "url_rules": url_rules,
     "pii_base": pii_base,
 }
@@ -79,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_near_duplicates": twins.NEAR_DUPLICATES,
     "op9_decontamination": twins.DECONTAMINATION,
+    "op11_manifest": twins.MANIFEST,
+    "op13_divergence": twins.DIVERGENCE,
     "url_rules": twins.URL_RULES,
     "pii_base": twins.PII_BASE,
 }
