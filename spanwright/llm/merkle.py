@@ -4,7 +4,7 @@ Rows are leaves of a tree for each value of a column; the roots of these are the
 tree. Each level is built by grouping the one below, so only digests move. Built levels stand in a
 table of runs: a run is what one node was hashed from, and each run names the run that its node is in.
 A recursive query of Spark climbs these links from every leaf at once: a step joins each leaf's run,
-appends the digests of its other nodes to the leaf's proof and folds the leaf's own digest into the next.
+appends the digests of its other nodes to the leaf's proof, and folds the leaf's own digest into the next.
 
 High runs are on the way of very many leaves. A tree is therefore cut into blocks of neighbouring
 leaves, and runs above a block are repeated for it, so no key of the join has more leaves than a block.
@@ -31,16 +31,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Spark stops recursive queries at a depth and at a number of rows; a climb has all rows of the table.
 LIMITS = {"spark.sql.cteRecursionLevelLimit": "100", "spark.sql.cteRecursionRowLimit": "-1"}
 
+#: A row for each leaf and step: what the leaf's digest folds to so far, and the siblings that this step appends.
 CLIMB = """
 with recursive climb as (
-  select id, node, changed, tree0, block, up_tree, up_level, up_pos, slot, changed as folded, cast('' as binary) as proof, cast(null as binary) as subroot from {leaves}
+  select 0 as step, id, node, tree0, block, pos0, up_tree, up_level, up_pos, slot, changed as folded, cast(null as binary) as siblings, cast(null as binary) as subroot from {leaves}
   union all
-  select c.id, c.node, c.changed, c.tree0, c.block, r.up_tree, r.up_level, r.up_pos, r.slot,
+  select step+1, null, null, c.tree0, c.block, c.pos0, r.up_tree, r.up_level, r.up_pos, r.slot,
     unhex(sha2(cast(lower(concat(hex(substring(members, 1, 32*c.slot)), hex(folded), hex(substring(members, 32*c.slot+33)))) as binary), 256)),
-    concat(proof, substring(members, 1, 32*c.slot), substring(members, 32*c.slot+33)),
-    case when r.tree='' and r.level=1 then substring(members, 32*c.slot+1, 32) else subroot end
+    concat(substring(members, 1, 32*c.slot), substring(members, 32*c.slot+33)),
+    case when r.tree='' and r.level=1 then substring(members, 32*c.slot+1, 32) end
   from climb c join {runs} r on r.tree0=c.tree0 and r.block=c.block and r.tree=c.up_tree and r.level=c.up_level and r.pos=c.up_pos)
-select id, node, changed, folded, proof, subroot from climb where up_tree is null"""
+select max(id) as id, max(node) as node, max_by(folded, step) as folded, max(subroot) as subroot,
+  aggregate(array_sort(collect_list(case when step>0 then struct(step, siblings) end)), cast('' as binary), (proof, x) -> concat(proof, x.siblings)) as proof
+from climb group by tree0, pos0"""
 
 
 def digest(hashed: Column) -> Column:
@@ -141,7 +144,7 @@ def build(leaves: DataFrame, by: str, order: list[str]) -> Manifest:
         on = even_join(heads.withColumn("pos", F.floor(col("top_pos") / FAN**level)), own, ["pos"])
         up = _up(F.lit(""), col("n"), F.lit(level), col("pos"), none, None)
         runs.append(on.select("tree0", F.explode(F.sequence(F.lit(0), col("blocks") - 1)).alias("block"), F.lit("").alias("tree"), F.lit(level).alias("level"), "pos", "members", *up))
-    links = placed.select("id", "node", "changed", col("tree").alias("tree0"), "block", *_up(col("tree"), col("n"), F.lit(0), col("pos"), col("top_pos"), above))
+    links = placed.select("id", "node", "changed", col("tree").alias("tree0"), col("pos").alias("pos0"), "block", *_up(col("tree"), col("n"), F.lit(0), col("pos"), col("top_pos"), above))
     if not runs:
         return Manifest(links, None, root)
     joined = runs[0]
@@ -151,10 +154,13 @@ def build(leaves: DataFrame, by: str, order: list[str]) -> Manifest:
 
 
 def climbed(manifest: Manifest) -> DataFrame:
-    """``id, node, changed, folded, proof, subroot`` of every leaf: the digest that its ``changed`` one folds to, and its siblings' digests on the way."""
+    """``id, node, folded, proof, subroot`` of every leaf: the digest that its ``changed`` one folds to, and its siblings' digests on the way.
+
+    Steps of a leaf are rows of the recursion, put together at its end, so that a proof moves once.
+    """
     spark = manifest.leaves.sparkSession
     if manifest.runs is None:  # a single row is its own root
-        return manifest.leaves.select("id", "node", "changed", F.col("changed").alias("folded"), F.lit(b"").alias("proof"), F.lit(None).cast("binary").alias("subroot"))
+        return manifest.leaves.select("id", "node", F.col("changed").alias("folded"), F.lit(b"").alias("proof"), F.lit(None).cast("binary").alias("subroot"))
     for name, value in LIMITS.items():
         spark.conf.set(name, value)
     return spark.sql(CLIMB, leaves=manifest.leaves, runs=manifest.runs)
