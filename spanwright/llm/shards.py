@@ -1,15 +1,18 @@
 """Shards of equal row counts that keep linked documents together: balanced label propagation.
 
-Documents that share a key (here: equal texts) are linked. All start evenly dealt. In each round
-every group of linked documents counts its members by shard and asks those elsewhere to move to one
-shard; moves are granted in order of the cut links that they save, as far as shards have room or
-exchange rows. In the end documents without links fill the shards up to their exact quotas.
+Documents that share a key (here: equal texts) are linked. All start dealt by a hash. In each round
+every group of linked documents looks at how many members it has in which shard and asks those elsewhere
+to move to one shard; moves are granted in order of the cut links that they save, as far as shards
+have room or exchange rows. Members of a group are alike to these rules, so a group is one row
+with its members' number in each shard, however many they are. In the end documents without links
+fill the shards up to their exact quotas.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spanwright.operators.ranking import numbered
 from spanwright.operators.skew import even_join
@@ -50,79 +53,73 @@ def granted(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[in
     return out
 
 
-def targets(counts: DataFrame, room: list[int], shards: int, exchange: bool) -> DataFrame:
-    """``key, n, by, target, whole, there, tie, saved``: where the members of each split group should be.
+def asked(groups: DataFrame, room: list[int], exchange: bool) -> DataFrame:
+    """``key, shard, target, n, score``: members of split groups that ask to move, and the cut links that a move saves.
 
-    ``counts`` has ``key, shard, n``. If a shard has room for all members that are elsewhere, the group asks
-    for the one of these with the most members; else for the shard with the most members that has
-    any room, in an exchange for the one with the most whatever its room. Ties go by a hash of key and
-    shard. ``saved``: cut links that a move saves on average.
+    ``groups`` has ``key, size, by`` (members by shard). If a shard has room for all members that are
+    elsewhere, the group asks for the one of these with the most members; else members ask for the shard with
+    more of them than their own that has any room, in an exchange whatever its room. Ties go by a hash.
     """
-    per = counts.groupBy("key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("by"))
-    per = per.where(F.size("by") > 1)
-    left = _numbers(room)
+    left, size = _numbers(room), F.col("size")
     have = lambda s: F.coalesce(F.try_element_at("by", s), F.lit(0).cast("bigint"))
-    each = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct((F.lit(not exchange) & (F.col("n") - have(s) <= _at(left, s))).alias("whole"), have(s).alias("have"), F.xxhash64("key", s).alias("tie"), s.alias("s")))
-    open_ = lambda c: c["have"] > 0 if exchange else (_at(left, c["s"]) > 0) & (c["whole"] | (c["have"] > 0))
-    best = F.array_max(F.filter(each, open_))
-    per = per.withColumn("best", best).where(F.col("best").isNotNull())
+    fits = lambda s: F.lit(not exchange) & (size - have(s) <= _at(left, s)) & (_at(left, s) > 0)
+    each = F.transform(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.struct(fits(s).alias("fits"), have(s).alias("have"), F.xxhash64("key", s).alias("tie"), s.alias("s")))
+    best = F.array_max(F.filter(each, lambda c: (c["have"] > 0) & (F.lit(exchange) | (_at(left, c["s"]) > 0)) | c["fits"]))
+    per = groups.where(F.size("by") > 1).withColumn("best", best).where(F.col("best").isNotNull())
     squares = F.aggregate(F.map_values("by"), F.lit(0).cast("bigint"), lambda acc, v: acc + v * v)
-    saved = (F.col("n") * F.col("n") - squares) / (2 * (F.col("n") - F.col("best.have")))
-    return per.select("key", "n", "by", F.col("best.s").alias("target"), F.col("best.whole").alias("whole"), F.col("best.have").alias("there"), F.col("best.tie").alias("tie"), saved.alias("saved"))
+    saved = (size * size - squares) / (2 * (size - F.col("best.have")))
+    rows = per.select("key", "best", saved.alias("saved"), F.explode("by").alias("shard", "n")).where(F.col("shard") != F.col("best.s"))
+    there, tie = F.col("best.have"), F.col("best.tie")
+    more = (there > F.col("n")) | ((there == F.col("n")) & (tie > F.xxhash64("key", "shard")))
+    score = F.when(F.col("best.fits"), F.col("saved")).otherwise((there - F.col("n") + 1).cast("double"))
+    return rows.where(F.col("best.fits") | more).select("key", "shard", F.col("best.s").alias("target"), "n", score.alias("score"))
 
 
-def propagated(linked: DataFrame, most: list[int], kept: Tables) -> DataFrame:
-    """``linked`` (``row, key, shard``) with the shards that the rounds end with, which hold ``most`` rows each.
+def _by_key(cells: DataFrame, shards: int) -> DataFrame:
+    """``key, size, by`` of ``key, shard, n``, which may have several rows of a key and shard: a few dozen of a key at most."""
+    per = cells.groupBy("key").agg(F.collect_list(F.struct("shard", "n")).alias("x"), F.sum("n").alias("size"))
+    total = lambda s: F.aggregate(F.filter("x", lambda c: c["shard"] == s), F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
+    each = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(s.alias("s"), total(s).alias("n")))
+    return per.select("key", "size", F.map_from_entries(F.filter(each, lambda c: c["n"] > 0)).alias("by"))
 
-    Rounds of moves into free room and of exchanges alternate. A round takes a number for each pair of
-    shards to the driver. Groups that are whole are set aside. A key may hold any
-    part of the rows: its votes are added up before they are shuffled, and its rows are dealt to several tasks.
+
+def propagated(groups: DataFrame, most: list[int], kept: Tables) -> DataFrame:
+    """``groups`` (``key, size, by``, a kept table) after the rounds; shards hold ``most`` members, where they did at first.
+
+    A round takes a number for each pair of shards to the driver. Moves between two shards are ranked in one window, which
+    holds about one in shards * shards of the groups that ask.
     """
     shards = len(most)
-    state, whole = linked, []
-    columns = linked.columns
-    settled = [0] * shards
-    idle = 0
-    for turn in range(ROUNDS):
-        counts = kept.keep(state.groupBy("key", "shard").agg(F.count("*").alias("n")))
-        held = list(settled)
-        for shard, n in counts.groupBy("shard").agg(F.sum("n")).collect():
-            held[shard] += n
+    held = [0] * shards
+    for shard, n in groups.select(F.explode("by").alias("shard", "n")).groupBy("shard").agg(F.sum("n")).collect():
+        held[shard] = n
+    exchange, idle = False, 0
+    for _ in range(ROUNDS):
         room = [m - h for m, h in zip(most, held, strict=True)]
-        sizes = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("places"))
-        split = kept.keep(sizes.where(F.col("places") > 1).select("key", "n"))
-        wanted = kept.keep(targets(counts, room, shards, turn % 2 == 1))
-        # Whole groups have no more part in the rounds
-        marked = even_join(state, split.select("key", F.lit(True).alias("open")), ["key"], "left", counts=split)
-        marked = kept.keep(even_join(kept.keep(marked), wanted.drop("n"), ["key"], "left", counts=split))
-        done = kept.keep(marked.where(F.col("open").isNull()).select(*columns))
-        whole.append(done)
-        for shard, n in done.groupBy("shard").count().collect():
-            settled[shard] += n
-        # Of a group that fits nowhere, members move where more of them are
-        own = F.try_element_at("by", F.col("shard"))
-        more = (F.col("there") > own) | ((F.col("there") == own) & (F.col("tie") > F.xxhash64("key", "shard")))
-        moves = F.col("open") & F.col("target").isNotNull() & (F.col("target") != F.col("shard")) & (F.col("whole") | more)
-        moves = F.coalesce(moves, F.lit(False))
-        score = F.when(F.col("whole"), F.col("saved")).otherwise((F.col("there") - own + 1).cast("double"))
-        asked = kept.keep(marked.where(moves).select(*columns, "target", (-score).alias("score")))
-        grants = granted({(r.shard, r.target): r["count"] for r in asked.groupBy("shard", "target").count().collect()}, room)
-        stay = marked.where(F.col("open") & ~moves).select(*columns)
-        if any(grants.values()):
-            most_of = state.sparkSession.createDataFrame([(a, b, n) for (a, b), n in grants.items()], "shard int, target int, most bigint")
-            ranked = numbered(asked, ["shard", "target"], ["score", "key", "row"], "place", kept).join(F.broadcast(most_of), ["shard", "target"])  # a row for each pair of shards
-            moved = ranked.withColumn("shard", F.when(F.col("place") <= F.col("most"), F.col("target")).otherwise(F.col("shard")))
-            stay = stay.unionByName(moved.select(*columns))
-        else:
-            stay = stay.unionByName(asked.select(*columns))
-        state, idle = kept.keep(stay), 0 if any(grants.values()) else idle + 1
-        kept.drop(counts, split, marked, asked, wanted)
-        if idle == 2 or state.isEmpty():
+        asks = asked(groups, room, exchange)
+        wanted = {(r.shard, r.target): r.n for r in asks.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
+        grants = granted(wanted, room)
+        # An exchange follows where room grants little; when both grant nothing, all is done
+        some = sum(grants.values())
+        exchange = not exchange and (2 * some < sum(wanted.values()) or not some)
+        idle = 0 if some else idle + 1
+        if idle == 2:
             break
-    out = state
-    for w in whole:
-        out = out.unionByName(w)
-    return out
+        if not some:
+            continue
+        for (a, b), n in grants.items():
+            held[a] -= n
+            held[b] += n
+        limits = groups.sparkSession.createDataFrame([(a, b, n) for (a, b), n in grants.items()], "shard int, target int, most bigint")
+        before = F.coalesce(F.sum("n").over(W.partitionBy("shard", "target").orderBy(F.desc("score"), "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        moved = asks.withColumn("before", before).join(F.broadcast(limits), ["shard", "target"])  # a row for each pair of shards
+        moved = moved.withColumn("n", F.least("n", F.col("most") - F.col("before"))).where(F.col("n") > 0)
+        ends = F.explode(F.array(F.struct("shard", (-F.col("n")).alias("n")), F.struct(F.col("target").alias("shard"), "n"))).alias("x")
+        cells = groups.select("key", F.explode("by").alias("shard", "n")).unionByName(moved.select("key", ends).select("key", "x.shard", "x.n"))
+        after = kept.keep(_by_key(cells, shards))
+        kept.drop(groups)
+        groups = after
+    return groups
 
 
 def sharded(rows: DataFrame, key: str, order: list[str | Column], shards: int = SHARDS, kept: Tables | None = None) -> DataFrame:
@@ -133,24 +130,29 @@ def sharded(rows: DataFrame, key: str, order: list[str | Column], shards: int =
     """
     kept = kept or Tables(rows.sparkSession)
     columns = [c for c in rows.columns if c != key]
-    named = rows.withColumnRenamed(key, "key") if key != "key" else rows
-    placed = kept.keep(numbered(kept.keep(named), [], [F.xxhash64(*order), *order], "row", kept))
-    quota = quotas(placed.count(), shards)
-    start = F.pmod(F.col("row") - 1, F.lit(shards)).cast("int")
-    placed = placed.withColumn("shard", start)
-    counts = kept.keep(placed.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    both = kept.keep(even_join(placed, counts.withColumnRenamed("n", "linked"), ["key"], "left", counts=counts))
-    n_linked = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    named = kept.keep(rows.withColumnRenamed(key, "key") if key != "key" else rows)
+    quota = quotas(named.count(), shards)
+    start = F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")
+    counts = named.where(F.col("key").isNotNull()).groupBy("key", start.alias("shard")).agg(F.count("*").alias("n"))
+    groups = kept.keep(_by_key(counts, shards).where(F.col("size") > 1))
+    n_linked = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sizes = groups.select("key", F.col("size").alias("n"))
+    both = kept.keep(even_join(named, sizes.withColumnRenamed("n", "linked"), ["key"], "left", counts=sizes, total=named.count()))
     slack = SLACK if n_linked > (1 - SLACK) * sum(quota) else 0
-    linked = propagated(both.where(F.col("linked").isNotNull()), [q + int(q * slack) for q in quota], kept)
+    groups = propagated(groups, [q + int(q * slack) for q in quota], kept)
+    # Members are dealt to the shards of their group by their place in it
+    linked = kept.keep(numbered(both.where(F.col("linked").isNotNull()), ["key"], order, "place", kept))
+    linked = even_join(linked, groups.select("key", F.map_entries("by").alias("by")), ["key"], counts=groups.select("key", F.col("size").alias("n")), total=n_linked)
+    upto = F.aggregate("by", F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("shard")), lambda acc, c: F.struct((acc["sum"] + c["value"]).alias("sum"), F.when((acc["sum"] < F.col("place")), c["key"]).otherwise(acc["shard"]).alias("shard")))
+    linked = kept.keep(linked.withColumn("shard", upto["shard"]).withColumn("row", F.col("place")).drop("by", "place"))
     # What is beyond a quota goes from the largest groups
     linked = kept.keep(numbered(linked, ["shard"], ["linked", "key", "row"], "place", kept))
     held = [0] * shards
     for shard, n in linked.groupBy("shard").count().collect():
         held[shard] = min(n, quota[shard])
     stay = F.col("place") <= _at(_numbers(quota), F.col("shard"))
-    free = both.where(F.col("linked").isNull()).select(*columns, "row").unionByName(linked.where(~stay).select(*columns, "row"))
-    free = numbered(kept.keep(free), [], ["row"], "place", kept)
+    free = both.where(F.col("linked").isNull()).select("key", *columns).unionByName(linked.where(~stay).select("key", *columns))
+    free = numbered(free, [], [F.xxhash64(*order), *order], "place", kept)
     needed = [q - h for q, h in zip(quota, held, strict=True)]
     ends = [sum(needed[: s + 1]) for s in range(shards)]
     at = F.col("place") - 1
