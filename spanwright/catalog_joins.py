@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from spanwright.catalog import Inputs, query
 from spanwright.functions import expr as E
 from spanwright.operators import aggregates as A
+from spanwright.operators import consensus as C
 from spanwright.operators import graph as G
 from spanwright.operators import joins as J
 from spanwright.operators import similarity as K
 from spanwright.operators import windows as WI
+from spanwright.operators.stars import star_alignment
 from spanwright.sources import tables as S
 
 ISLANDS = "(select mge_id, regexp_matches(mge,'(^|,)is_tn') and mge_type='non-nested' as is_target from elements) i"
@@ -198,12 +200,22 @@ def _(x):
 SPECIES_N = "(select speci, count(*) as n from taxonomy group by speci)"
 
 
-@query("a5_genomes_per_species", f"""select max(n) as max_n, string_agg(speci,',' order by speci) filter (where n=(select max(n) from {SPECIES_N} a)) as max_species, min(n) as min_n,
-    string_agg(speci,',' order by speci) filter (where n=(select min(n) from {SPECIES_N} b)) as min_species, median(n)::double as median_n, round(coalesce(stddev_samp(n),0),9) as sd_n, count(*) as n_species from {SPECIES_N} s""")
+def tied(end: str) -> str:
+    """Twin of the first three species of an extreme, and how many more there are."""
+    ids = f"list(speci order by speci) filter (where n=(select {end}(n) from {SPECIES_N} a))"
+    return f"concat(array_to_string(({ids})[1:3],', '), case when len({ids})>3 then concat(' (+',(len({ids})-3)::string,' more)') else '' end)"
+
+
+@query("a5_genomes_per_species", f"""select max(n) as max_n, {tied("max")} as max_species, min(n) as min_n, {tied("min")} as min_species, median(n)::double as median_n, round(coalesce(stddev_samp(n),0),9) as sd_n, count(*) as n_species from {SPECIES_N} s""")
 def _(x):
     return A.genomes_per_species(x("taxonomy").groupBy("speci").agg(F.count("*").alias("n"))).withColumn("sd_n", F.round("sd_n", 9))
 
 
+@query("a5b_extreme_species", f"select 'max' as extreme, speci, n from {SPECIES_N} s where n=(select max(n) from {SPECIES_N} a) union all select 'min', speci, n from {SPECIES_N} s where n=(select min(n) from {SPECIES_N} a)")
+def _(x):
+    return A.extreme_species(x("taxonomy").groupBy("speci").agg(F.count("*").alias("n")))
+
+
 @query("a6_top_species", f"select speci, n from {SPECIES_N} s order by n desc, speci limit 10")
 def _(x):
     return A.top_species(x("taxonomy").groupBy("speci").agg(F.count("*").alias("n")), 10)
@@ -265,7 +277,7 @@ def _(x):
 
 @query("o2_top_k_with_rest", "select speci, concat(array_to_string(list_sort(list(gca))[1:3],', '), case when count(*)>3 then concat(' (+',(count(*)-3)::string,' more)') else '' end) as ids from taxonomy group by speci")
 def _(x):
-    return x("taxonomy").groupBy("speci").agg(WI.top_k_with_rest(F.collect_list("gca"), 3).alias("ids"))
+    return WI.top_k_with_rest(x("taxonomy"), "speci", "gca", 3)
 
 
 @query("o3_distinct_keys", "select distinct genome_key, split_part(genome_key,'.',1) as taxid from contigs")
@@ -317,6 +329,31 @@ def _(x):
     return K.strand_aware_duplicates(x("strands"))
 
 
-@query("k4_aligned_stacks", "select unit, side, count(*) as n, max(length(seq)) as width from stacks group by unit, side")
+COUNTED = ", ".join(f"sum(length(seq)-length(replace(seq,'{c}','')))::bigint as n_{c.lower()}" for c in "ACGT")
+
+
+def aligned(x: Inputs):
+    return x.keep("aligned", lambda: star_alignment(x.keep("stacks"), ["unit", "side"]))
+
+
+@query("k4_aligned_stacks", f"select unit, side, count(*) as n, {COUNTED}, true as one_width from stacks group by unit, side")
+def _(x):
+    bases = {f"n_{c.lower()}": F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(c), F.lit("")))) for c in "ACGT"}
+    one_width = F.min(F.length("seq")) == F.max(F.length("seq"))
+    return aligned(x).groupBy("unit", "side").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in bases.items()), one_width.alias("one_width"))
+
+
+@query("k4b_alignment_rows", "select unit, side, ord, seq from stacks")
+def _(x):
+    """Aligned rows without their gaps are the raw ones."""
+    return aligned(x).select("unit", "side", "ord", F.replace("seq", F.lit("-"), F.lit("")).alias("seq"))
+
+
+@query("k4c_alignment_profile")
+def _(x):
+    return C.column_profile(aligned(x), ["unit", "side"])
+
+
+@query("k4d_alignment_boundaries")
 def _(x):
-    return x("stacks").groupBy("unit", "side").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("width"))
+    return C.boundary_segment(C.segments_side_aware(aligned(x), ["unit", "side"], 0.5, 2), ["unit", "side"])

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions import expr as E
-from spanwright.operators.windows import first_row_per_key
+from spanwright.operators.ranking import percentiles
+from spanwright.operators.windows import first_row_per_key, top_k_with_rest
+from spanwright.session import Tables
 
 
 def stage_counters(df: DataFrame, reason: str = "reason") -> DataFrame:
@@ -37,12 +39,26 @@ def accessions_of_species(ids: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return acc.join(taxonomy, "gca").select("speci", "label", "gca")
 
 
-def genomes_per_species(counts: DataFrame) -> DataFrame:
-    """Extremes with their sorted species, median, sample deviation (0 of one) and number."""
-    ends = counts.agg(F.max("n").alias("hi"), F.min("n").alias("lo"))
-    df = counts.join(F.broadcast(ends))  # one row
-    names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") == F.col(c), F.col("speci")))), ",")
-    return df.agg(F.max("hi").alias("max_n"), names("hi").alias("max_species"), F.max("lo").alias("min_n"), names("lo").alias("min_species"), F.median("n").alias("median_n"), F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("sd_n"), F.count("*").alias("n_species"))
+def genomes_per_species(counts: DataFrame, listed: int = 3) -> DataFrame:
+    """Extremes with the first of their species, median, sample deviation (0 of one) and number of ``speci, n``.
+
+    ``extreme_species`` has all species of an extreme, as a row each; very many can share one.
+    """
+    kept = Tables(counts.sparkSession)
+    counts = kept.keep(counts)
+    tied = extreme_species(counts)
+    text = top_k_with_rest(tied, "extreme", "speci", listed)
+    names = text.agg(*(F.max(F.when(F.col("extreme") == e, F.col("ids"))).alias(f"{e}_species") for e in ("max", "min")))
+    middle = percentiles(counts, [], "n", [0.5], ["median_n"], kept).select("median_n")
+    df = counts.agg(F.max("n").alias("max_n"), F.min("n").alias("min_n"), F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("sd_n"), F.count("*").alias("n_species"))
+    return df.join(F.broadcast(names)).join(F.broadcast(middle)).select("max_n", "max_species", "min_n", "min_species", "median_n", "sd_n", "n_species")  # one row each
+
+
+def extreme_species(counts: DataFrame) -> DataFrame:
+    """``extreme, speci, n``: every species with the most (``max``) or the fewest (``min``) genomes."""
+    ends = counts.agg(F.max("n").alias("max"), F.min("n").alias("min"))
+    each = ends.select(F.explode(F.array(*(F.struct(F.lit(e).alias("extreme"), F.col(e).alias("n")) for e in ("max", "min")))).alias("x")).select("x.*")
+    return counts.join(F.broadcast(each), "n").select("extreme", "speci", "n")  # two rows
 
 
 def top_species(counts: DataFrame, k: int) -> DataFrame:
@@ -123,9 +139,8 @@ def cv_summary(folds: DataFrame) -> DataFrame:
 
 
 def prediction_quantiles(predictions: DataFrame) -> DataFrame:
-    q = F.percentile("prediction", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    df = predictions.groupBy("rec_type", "label").agg(F.count("*").alias("n"), q.alias("q"))
-    return df.select("rec_type", "label", "n", *(F.get("q", F.lit(i)).alias(f"q{25 * (i + 1)}") for i in range(3)))
+    """Quartiles of the predictions of each type and label; a group of any size is ranked by many tasks."""
+    return percentiles(predictions, ["rec_type", "label"], "prediction", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
 
 
 def accuracy_ranking(types: DataFrame, metrics: DataFrame) -> DataFrame:

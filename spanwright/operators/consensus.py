@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanwright.functions import expr as E
+from spanwright.operators.ranking import least_per_key, numbered
 from spanwright.session import Tables
 
 
@@ -56,11 +57,12 @@ def anchor_tally(verdicts: DataFrame, kind: str) -> DataFrame:
 
 
 def pool_stacks(flanks: DataFrame, level: str) -> DataFrame:
-    """Windows of duplicate groups, ordered within their group or within all groups of their cluster."""
+    """Windows of duplicate groups, ordered within their group or within all groups of their cluster; a cluster of any size is numbered in ranges."""
     df = flanks.where(F.col("singleton") == "no")
     unit = ["rec_type", "cluster_number", "side"] + (["group_dir"] if level == "group" else [])
-    order = W.partitionBy(*unit).orderBy("group_dir", "mge_id")
-    return df.select(*unit, "mge_id", "seq", *([] if level == "group" else ["group_dir"])).withColumn("ord", F.row_number().over(order).cast("bigint"))
+    kept = Tables(flanks.sparkSession)
+    df = kept.keep(df.select(*unit, "mge_id", "seq", *([] if level == "group" else ["group_dir"])))
+    return numbered(df, unit, ["group_dir", "mge_id"], "ord", kept)
 
 
 def column_profile(stacks: DataFrame, keys: list[str], trim: int = 0, reverse: bool = False) -> DataFrame:
@@ -247,8 +249,9 @@ def multi_segment_units(units: DataFrame, keys: list[str], sample: int = 5, seed
     """
     some = units.where(F.col("multi") == 1)
     mark = F.md5(F.concat_ws("#", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))).cast("binary"))
-    first = W.partitionBy("strategy").orderBy(mark, *keys)
-    return some.select("strategy", *keys, (F.row_number().over(first) <= sample).alias("in_sample"))
+    first = least_per_key(some.select("strategy", *keys), ["strategy"], [mark, *keys], sample)
+    # ``sample`` rows of each strategy, of which there are some dozen at most
+    return some.select("strategy", *keys).join(F.broadcast(first), ["strategy", *keys], "left").select("strategy", *keys, F.col("rank").isNotNull().alias("in_sample"))
 
 
 def strategy_outcome(units: DataFrame, cluster: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanwright.functions import expr as E
 from spanwright.operators.filters import contained_in
+from spanwright.operators.tiles import lengths, slices, tiled
+from spanwright.session import Tables
 
 
 def classify_genes(genes: DataFrame, islands: DataFrame) -> DataFrame:
@@ -19,15 +21,18 @@ def classify_genes(genes: DataFrame, islands: DataFrame) -> DataFrame:
 def extract_gene_sequences(genes: DataFrame, genomes: DataFrame, contigs: DataFrame) -> DataFrame:
     """The sequence of each gene, or why there is none: bad_coords, no_genome or no_contig.
 
-    Only contigs that genes name are kept before the join, and sequences are cut right after it.
+    Contigs are tiled, and a gene meets the tiles that it touches only; its contig's length is joined, not the contig.
+    Rows are numbered in a kept table, so repeated ids have a sequence each.
     """
-    need = genes.select("contig_id").distinct()
-    seqs = contigs.join(need, "contig_id", "left_semi").select("contig_id", "seq")
-    df = genes.join(genomes.select("genome_key", F.lit(True).alias("has_genome")).distinct(), "genome_key", "left").join(seqs, "contig_id", "left")
+    kept = Tables(genes.sparkSession)
+    sizes, tiles = kept.keep(lengths(contigs)), kept.keep(tiled(contigs))
+    df = genes.join(genomes.select("genome_key", F.lit(True).alias("has_genome")).distinct(), "genome_key", "left").join(sizes, "contig_id", "left")
     bad = (F.col("g_start") < 1) | (F.col("g_end") < F.col("g_start"))
-    reason = F.when(bad, "bad_coords").when(F.col("has_genome").isNull(), "no_genome").when(F.col("seq").isNull(), "no_contig")
-    df = df.withColumn("reason", reason)
-    return df.withColumn("gene_seq", F.when(F.col("reason").isNull(), E.interval_substring("seq", F.col("g_start"), F.col("g_end")))).drop("seq", "has_genome")
+    reason = F.when(bad, "bad_coords").when(F.col("has_genome").isNull(), "no_genome").when(F.col("size").isNull(), "no_contig")
+    df = kept.keep(df.withColumns({"reason": reason, "_row": F.monotonically_increasing_id()}))
+    good = df.where(F.col("reason").isNull())
+    cut = slices(good, tiles, {"gene_seq": (F.col("g_start") - 1, F.least(F.col("g_end"), F.col("size")))}, "_row", tables=kept)
+    return df.join(cut, "_row", "left").withColumn("gene_seq", F.when(F.col("reason").isNull(), F.coalesce("gene_seq", F.lit("")))).drop("size", "has_genome", "_row")
 
 
 def assign_species(genomes: DataFrame, accessions: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -70,19 +75,27 @@ def append_duplicates(table: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def extract_flanks(elements: DataFrame, placement: DataFrame, genomes: DataFrame, contigs: DataFrame, signs: DataFrame, flank: int = 500, overlap: int = 30) -> DataFrame:
-    """Windows at both ends of each placed element and its own body, on the strand of its group, or why there are none."""
-    seqs = contigs.join(elements.select("contig_id").distinct(), "contig_id", "left_semi").select("contig_id", "seq")
+    """Windows at both ends of each placed element and its own body, on the strand of its group, or why there are none.
+
+    Contigs are tiled: an element meets the tiles that its windows and body touch, and the length of its contig.
+    """
+    kept = Tables(elements.sparkSession)
+    sizes, tiles = kept.keep(lengths(contigs)), kept.keep(tiled(contigs))
     df = elements.join(placement, "mge_id", "left").join(genomes.select("genome_key", F.lit(True).alias("has_genome")).distinct(), "genome_key", "left")
-    df = df.join(seqs, "contig_id", "left").join(signs.select(F.col("member").alias("mge_id"), "sign"), "mge_id", "left")
-    length = F.length("seq")
-    bad = (F.col("start_pos") < 1) | (F.col("end_pos") > length)
-    reason = F.when(F.col("rec_type").isNull(), "no_placement").when(F.col("has_genome").isNull(), "no_genome").when(F.col("seq").isNull(), "no_contig").when(bad, "bad_coords")
-    ls, le, rs, re = E.flank_windows(F.col("start_pos"), F.col("end_pos"), length, flank, overlap)
-    left, right = E.orient_flanks(E.slice0("seq", ls, le), E.slice0("seq", rs, re), F.coalesce("sign", F.lit("-")))
-    df = df.withColumn("reason", reason)
-    ok = F.col("reason").isNull()
-    out = df.withColumns({"left": F.when(ok, left), "right": F.when(ok, right), "short_left": ok & (le - ls < flank), "short_right": ok & (re - rs < flank), "body": F.when(ok, E.orient_body(E.interval_substring("seq", F.col("start_pos"), F.col("end_pos")), F.coalesce("sign", F.lit("-"))))})
-    return out.select("mge_id", "rec_type", "reason", "left", "right", "short_left", "short_right", "body")
+    df = df.join(sizes, "contig_id", "left").join(signs.select(F.col("member").alias("mge_id"), "sign"), "mge_id", "left")
+    bad = (F.col("start_pos") < 1) | (F.col("end_pos") > F.col("size"))
+    reason = F.when(F.col("rec_type").isNull(), "no_placement").when(F.col("has_genome").isNull(), "no_genome").when(F.col("size").isNull(), "no_contig").when(bad, "bad_coords")
+    ls, le, rs, re = E.flank_windows(F.col("start_pos"), F.col("end_pos"), F.col("size"), flank, overlap)
+    df = df.select("mge_id", "contig_id", "rec_type", "sign", reason.alias("reason"), ls.alias("ls"), le.alias("le"), rs.alias("rs"), re.alias("re"), "start_pos", "end_pos", F.monotonically_increasing_id().alias("_row"))
+    df = kept.keep(df)
+    at = {"l": (F.col("ls"), F.col("le")), "r": (F.col("rs"), F.col("re")), "b": (F.col("start_pos") - 1, F.col("end_pos"))}
+    cut = slices(df.where(F.col("reason").isNull()), tiles, at, "_row", tables=kept)
+    df = df.join(cut, "_row", "left")
+    l, r, body = (F.coalesce(c, F.lit("")) for c in ("l", "r", "b"))
+    sign, ok = F.coalesce("sign", F.lit("-")), F.col("reason").isNull()
+    left, right = E.orient_flanks(l, r, sign)
+    short = lambda s, e: ok & (F.col(e) - F.col(s) < flank)
+    return df.select("mge_id", "rec_type", "reason", F.when(ok, left).alias("left"), F.when(ok, right).alias("right"), short("ls", "le").alias("short_left"), short("rs", "re").alias("short_right"), F.when(ok, E.orient_body(body, sign)).alias("body"))
 
 
 def append_flanks(table: DataFrame, flanks: DataFrame) -> DataFrame:

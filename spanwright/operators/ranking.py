@@ -59,3 +59,27 @@ def least_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     """
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, place).where(F.col(name) <= k)
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], names: Sequence[str], tables: Tables | None = None) -> DataFrame:
+    """``keys, n`` and the exact percentiles of each key's values, between two neighbours by their distance.
+
+    Values are numbered in ranges, and the two that a fraction lies between are picked by their numbers, so no task
+    holds a key's values. Null values don't count; a key without any has null percentiles and ``n`` 0.
+    """
+    tables = tables or Tables(df.sparkSession)
+    rows = tables.keep(df.select(*keys, F.col(value).alias("_value")))
+    placed = numbered(rows.where(F.col("_value").isNotNull()), keys, ["_value"], "_place", tables)
+    counts = tables.keep(rows.groupBy(*keys).agg(F.count("_value").alias("n")))
+    at = lambda f: (F.col("n") - 1) * F.lit(f)
+    asked = F.array(*(F.struct(F.lit(i).alias("_i"), at(f).alias("_at"), (x(at(f)) + 1).alias("_place"), F.lit(up).alias("_up")) for i, f in enumerate(fractions) for up, x in enumerate((F.floor, F.ceil))))
+    wanted = counts.where(F.col("n") > 0).select(*keys, F.explode(asked).alias("x")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "x.*")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), placed["_place"] == wanted["_place"])
+    met = placed.join(wanted, same)
+    far = F.col("_at") - F.floor("_at")
+    share = F.when(F.col("_up") == 1, far).otherwise(F.when(far == 0, 1.0).otherwise(1 - far))
+    found = met.groupBy(*keys).agg(*(F.sum(F.when(F.col("_i") == i, F.col("_value") * share)).alias(n) for i, n in enumerate(names)))
+    if not keys:
+        return counts.join(F.broadcast(found))  # one row each
+    alike = reduce(lambda a, b: a & b, (counts[k].eqNullSafe(found[k]) for k in keys))
+    return counts.join(found, alike, "left").select(*(counts[k] for k in keys), "n", *names)

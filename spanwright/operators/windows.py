@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanwright.operators.ranking import least_per_key, numbered
+from spanwright.session import Tables
+
 
 def cluster_number(table: DataFrame, kind: str = "recombinase_type", rep: str = "rep", ord: str = "ord") -> DataFrame:
     """``cluster_number``: representatives of a type, numbered by the first appearance of any member.
 
-    One row for each representative is ranked, not the table's rows.
+    One row for each representative is numbered, in ranges: a type of all representatives is numbered by all tasks.
     """
     firsts = table.where(F.col(rep).isNotNull()).groupBy(kind, rep).agg(F.min(ord).alias("first"))
-    numbers = firsts.select(kind, rep, F.row_number().over(W.partitionBy(kind).orderBy("first", rep)).cast("bigint").alias("cluster_number"))
+    kept = Tables(table.sparkSession)
+    numbers = numbered(kept.keep(firsts), [kind], ["first", rep], "cluster_number", kept).drop("first")
     return table.join(numbers, [kind, rep], "left")
 
 
@@ -47,16 +51,21 @@ def best_window(scores: DataFrame, keys: list[str], k: int = 15) -> DataFrame:
 def sample_per_key(df: DataFrame, key: str, id: str, n: int, seed: int) -> DataFrame:
     """n rows of each key in an order that the seed and the ids give."""
     mark = F.md5(F.concat(F.col(id).cast("string"), F.lit(f":{seed}")).cast("binary"))
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(mark, id))).where(F.col("rank") <= n).drop("rank")
+    return least_per_key(df, [key], [mark, id], n, "_rank").drop("_rank")
 
 
 def sample_headers(records: DataFrame, per_file: int = 2, total: int = 10) -> DataFrame:
     """The first headers of each file, and few in all."""
-    ranked = records.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy("ord"))).where(F.col("rank") <= per_file)
-    return ranked.orderBy("file", "rank").limit(total).select("file", "header")
+    return least_per_key(records, ["file"], ["ord"], per_file).orderBy("file", "rank").limit(total).select("file", "header")
+
 
+def top_k_with_rest(df: DataFrame, key: str, id: str, k: int) -> DataFrame:
+    """``key, ids``: the first k distinct ids of each key in their order, and how many more there are.
 
-def top_k_with_rest(ids: Column, k: int) -> Column:
-    """The first k of sorted ids, and how many more there are."""
-    ids = F.array_sort(ids)
-    return F.concat(F.array_join(F.slice(ids, 1, k), ", "), F.when(F.size(ids) > k, F.concat(F.lit(" (+"), (F.size(ids) - k).cast("string"), F.lit(" more)"))).otherwise(""))
+    k ids of a key and task are shuffled at most, so a key may have any number.
+    """
+    ids = df.select(key, id).distinct()
+    sizes = ids.groupBy(key).agg(F.count(id).alias("n"))
+    first = least_per_key(ids.where(F.col(id).isNotNull()), [key], [id], k).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(id)), ", ").alias("first"))
+    rest = F.when(F.col("n") > k, F.concat(F.lit(" (+"), (F.col("n") - k).cast("string"), F.lit(" more)"))).otherwise("")
+    return sizes.join(first, key, "left").select(key, F.concat(F.coalesce("first", F.lit("")), rest).alias("ids"))
