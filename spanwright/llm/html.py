@@ -4,14 +4,14 @@ A small tree builder adds the tags that pages leave out; visibility rules drop w
 a renderer emits all other text: blocks on lines of their own with space between, lists with marks
 and indents, table cells padded to aligned columns. Hidden is what the ``hidden`` attribute, inline
 styles and the rules of the page's own ``style`` elements hide, as far as their selectors are a name,
-a class, an id or a name with one of these.
+classes, ids or a name with some of these; of several fitting rules the weightiest counts.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -49,13 +49,21 @@ ENDS = {
 FENCE = frozenset("table td th caption".split())
 FENCES = {"table": frozenset(), "li": FENCE | {"ul", "ol", "menu", "dir"}} | dict.fromkeys(("tr", "tbody", "thead", "tfoot", "td", "th", "caption"), frozenset({"table"}))
 HEAD_ONLY = frozenset("base basefont bgsound link meta title style script noscript template".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-GONE = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
-SEEN = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
-RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-SELECTOR = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)?(?:([.#])([A-Za-z0-9_-]+))?")
+#: Blanks of HTML, and an attribute as its tokenizer reads it: quotes open a value only behind ``=``; elsewhere they are characters of names and values.
+WS = r"[ \t\n\r\f]"
+VALUE = rf"(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f\"'>][^ \t\n\r\f>]*+))"
+NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+ATTRIBUTE = re.compile(rf"({NAME})(?:{WS}*+={WS}*+{VALUE}?+)?+")
+ATTRIBUTES = re.sub(r"\((?=\[|" + re.escape(NAME) + r"\))", "(?:", rf"(?:[ \t\n\r\f/]++|{NAME}(?:{WS}*+={WS}*+{VALUE}?+)?+)*+")
+#: A comment (``<!-->`` and ``<!--->`` are whole ones), what is read as one, or a tag.
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:!|\?|/[^a-zA-Z>])[^>]*+(?:>|\Z)|</>|<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)({ATTRIBUTES})(?:>|\Z)", re.S)
+DISPLAY = re.compile(r"(?:^|[;{\s])display\s*:\s*([a-z-]+)([^;]*)", re.I)
+SEEN = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(hidden|collapse|visible)([^;]*)", re.I)
+SELECTOR = re.compile(r"([a-zA-Z][a-zA-Z0-9]*|\*)?((?:[.#][A-Za-z0-9_-]+)*)")
+PARTS = re.compile(r"([.#])([A-Za-z0-9_-]+)")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Rules of these blocks hold on a screen: ``@media`` without a condition but the kind of medium.
+SCREEN = re.compile(r"\s*(?:only\s+)?(?:all|screen)\s*", re.I)
 #: HTML's white space; other blanks, as the non-breaking one, are text.
 BLANK = " \t\n\r\f"
 BLANKS = re.compile(f"[{BLANK}]+")
@@ -87,52 +95,102 @@ class Node:
         return None
 
     def hidden(self, rules: Rules = ()) -> bool:
-        """Whether the element and all in it take no place."""
-        if self.tag in HIDDEN or (rules and self.ruled(rules, 0)):
+        """Whether the element and all in it take no place: by its style, else by the page's rules, else by its attributes."""
+        if self.tag in HIDDEN:
             return True
+        said = self.styled(DISPLAY) if self.attrs else None
+        if rules and (said is None or any(r.important for r in rules)):
+            said = self.ruled(rules, 0, said)
+        if said is not None:
+            return said == "none"
         if not self.attrs:
             return self.tag == "dialog"
-        if self.attribute("hidden") is not None or (self.tag == "dialog" and self.attribute("open") is None):
-            return True
-        return GONE.search(self.attribute("style") or "") is not None
+        return self.attribute("hidden") is not None or (self.tag == "dialog" and self.attribute("open") is None)
 
     def seen(self, rules: Rules, inherited: bool) -> bool:
         """Whether the element's own text is visible, given whether its parent's is."""
-        m = SEEN.search(self.attribute("style") or "") if self.attrs else None
-        if m:
-            return m[1].lower() == "visible"
-        found = self.ruled(rules, 1) if rules else None
-        return inherited if found is None else found == "visible"
-
-    def ruled(self, rules: Rules, which: int) -> str | None:
-        """What the last fitting rule says: 0 for display, 1 for visibility."""
-        out = None
-        for tag, mark, name, *said in rules:
-            if said[which] is None or (tag and tag != self.tag):
-                continue
-            if mark == "#" and self.attribute("id") != name:
+        said = self.styled(SEEN) if self.attrs else None
+        if rules and (said is None or any(r.important for r in rules)):
+            said = self.ruled(rules, 1, said)
+        return inherited if said is None else said == "visible"
+
+    def styled(self, what: re.Pattern) -> str | None:
+        """What the element's own style says last."""
+        found = [m[1].lower() for m in what.finditer(self.attribute("style") or "")]
+        return found[-1] if found else None
+
+    def ruled(self, rules: Rules, which: int, own: str | None) -> str | None:
+        """What the weightiest fitting rule says: 0 for display, 1 for visibility. The element's own style stands between plain and important ones."""
+        out, classes, id = own, None, None
+        for r in rules:
+            if r.says[which] is None or (r.tag and r.tag != self.tag) or (own is not None and not r.important):
                 continue
-            if mark == "." and name not in (self.attribute("class") or "").split():
-                continue
-            out = said[which]
+            if r.marks:
+                if classes is None:
+                    classes, id = (self.attribute("class") or "").split(), self.attribute("id")
+                if not all(name in classes if mark == "." else name == id for mark, name in r.marks):
+                    continue
+            out = r.says[which]
         return out
 
 
-#: Name, mark, class or id, and what is said of display and visibility.
-Rules = list[tuple[str, str, str, str | None, str | None]] | tuple[()]
+@dataclass(frozen=True)
+class Rule:
+    """A selector's name, classes and ids, and what it says of display and visibility."""
+
+    important: bool
+    weight: tuple[int, int, int]
+    tag: str
+    marks: tuple[tuple[str, str], ...]
+    says: tuple[str | None, str | None]
+
+
+Rules = list[Rule] | tuple[()]
 
 
 def style_rules(css: str) -> Rules:
-    """Rules that hide or show elements, of selectors that are simple."""
-    out = []
-    for m in RULE.finditer(COMMENT.sub(" ", css)):
-        gone, seen = GONE.search(m[2]), SEEN.search(m[2])
-        if gone or seen:
-            for selector in m[1].split(","):
-                found = SELECTOR.fullmatch(selector.strip())
-                if found and found[0]:
-                    out.append(((found[1] or "").lower(), found[2] or "", found[3] or "", "none" if gone else None, seen[1].lower() if seen else None))
-    return out
+    """Rules of simple selectors that hide or show elements on a screen, the weightiest last.
+
+    Blocks of other ``@`` rules than ``@media`` for all or for screens, and of media with conditions, are left out.
+    """
+    out: list[Rule] = []
+    css = COMMENT.sub(" ", css)
+    at, open_media = 0, 0
+    while at < len(css):
+        brace = css.find("{", at)
+        close = css.find("}", at)
+        if open_media and 0 <= close and (close < brace or brace < 0):
+            open_media, at = open_media - 1, close + 1
+            continue
+        if brace < 0:
+            break
+        head = css[at:brace].rpartition(";")[2].strip()
+        if head.startswith("@"):
+            name, _, query = head.partition(" ")
+            if name.lower() == "@media" and any(SCREEN.fullmatch(q) for q in query.split(",")):
+                open_media, at = open_media + 1, brace + 1
+                continue
+            depth, at = 1, brace + 1
+            while depth and at < len(css):  # to the end of the block
+                nearest = [i for i in (css.find("{", at), css.find("}", at)) if i >= 0]
+                if not nearest:
+                    return sorted(out, key=lambda r: (r.important, r.weight))
+                at = min(nearest) + 1
+                depth += 1 if css[at - 1] == "{" else -1
+            continue
+        end = close if close > brace else len(css)
+        body, at = css[brace + 1 : end], end + 1
+        for which, pattern in enumerate((DISPLAY, SEEN)):
+            for m in pattern.finditer(body):
+                says = (m[1].lower(), None) if which == 0 else (None, m[1].lower())
+                for selector in head.split(","):
+                    found = SELECTOR.fullmatch(selector.strip())
+                    if found and found[0]:
+                        marks = tuple(PARTS.findall(found[2]))
+                        tag = "" if found[1] in (None, "*") else found[1].lower()
+                        weight = (sum(k == "#" for k, _ in marks), sum(k == "." for k, _ in marks), int(tag != ""))
+                        out.append(Rule("!important" in m[2].replace(" ", "").lower(), weight, tag, marks, says))
+    return sorted(out, key=lambda r: (r.important, r.weight))
 
 
 def tree(page: str) -> tuple[Node, int, Rules]:
@@ -344,8 +402,8 @@ def _inside(node: Node, at: Place) -> list[str]:
     return lines
 
 
-def _span(cell: Node) -> int:
-    return max(1, min(number(cell.attribute("colspan"), 1), 1000)) if cell.attrs else 1
+def _span(cell: Node, name: str = "colspan") -> int:
+    return max(1, min(number(cell.attribute(name), 1), 1000)) if cell.attrs and cell.tag in ("td", "th") else 1
 
 
 def _stray(text: str, at: Place) -> list[str]:
@@ -357,6 +415,7 @@ def _stray(text: str, at: Place) -> list[str]:
 def _table(node: Node, at: Place) -> list[str]:
     """Lines of a table: captions and stray contents first, then rows with aligned cells."""
     before, rows = [], []
+    held: dict[int, int] = {}  # rows below that cells above take of a column
 
     def walk(part: Node, at: Place) -> None:
         for child in part.children:
@@ -367,36 +426,46 @@ def _table(node: Node, at: Place) -> list[str]:
                 continue
             here = replace(at, seen=child.seen(at.rules, at.seen))
             if child.tag in ("tbody", "thead", "tfoot"):
+                held.clear()  # cells end with their part of the table
                 walk(child, here)
+                held.clear()
             elif child.tag == "tr":
-                cells = []
+                cells, taken, column = [], {c for c, n in held.items() if n}, 0
+                for c in taken:
+                    held[c] -= 1
                 for cell in child.children:
                     if isinstance(cell, str):
                         before.extend(_stray(cell, here))
                     elif not cell.hidden(at.rules):
-                        cells.append((_inside(cell, replace(here, seen=cell.seen(at.rules, here.seen))), _span(cell) if cell.tag in ("td", "th") else 1))
+                        while column in taken:
+                            column += 1
+                        cells.append((_inside(cell, replace(here, seen=cell.seen(at.rules, here.seen))), column, _span(cell)))
+                        if (deep := _span(cell, "rowspan")) > 1:
+                            held.update((c, deep - 1) for c in range(column, column + _span(cell)))
+                        column += _span(cell)
                 rows.append(cells)
             else:
                 before.extend(_inside(child, here))
 
     walk(node, at)
-    widths: list[int] = []
+    widths: dict[int, int] = {}  # of columns with cells of their own; others take no place
     for cells in rows:
-        at = 0
-        for lines, span in cells:
-            widths += [0] * (at + span - len(widths))
+        for lines, column, span in cells:
             if span == 1:
-                widths[at] = max(widths[at], *map(len, lines), 0)
-            at += span
+                widths[column] = max(widths.get(column, 0), *map(len, lines), 0)
+    columns = sorted(widths)
+    starts = [0]
+    for c in columns:
+        starts.append(starts[-1] + widths[c] + 2)
     out = list(before)
     for cells in rows:
-        for i in range(max([len(lines) for lines, _ in cells], default=0)):
-            at, parts = 0, []
-            for lines, span in cells:
-                width = sum(widths[at : at + span]) + 2 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(width))
-                at += span
-            out.append("  ".join(parts).rstrip())
+        for i in range(max([len(lines) for lines, *_ in cells], default=0)):
+            line = ""
+            for lines, column, _ in cells:
+                if i < len(lines) and lines[i]:
+                    start = starts[bisect_left(columns, column)]
+                    line = (line.ljust(start) if len(line) + 2 <= start or not line else line + "  ") + lines[i]
+            out.append(line.rstrip())
     return out
 
 
