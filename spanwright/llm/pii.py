@@ -25,8 +25,8 @@ PATTERNS = {
     # country and check digits only; what may follow them is seen, not taken, as words or a number can stand behind
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    # a run of 20 to 200 key characters; its own form or the words near it make it a secret
-    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=-])",
+    # a run of 20 key characters or more behind its name, if there is any, and an equals sign; its own form or the words near it make it a secret
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 #: Score of a confirmed span without context, and words that raise it.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
@@ -43,7 +43,9 @@ CONTEXT = {
 REACH, BOOST, LEAST = 40, 0.3, 0.5
 ADDED = ("iban", "ssn", "secret")
 #: Beginnings of keys that well-known services hand out; such a key needs no context.
-ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,})$"
+ISSUED = r"(?:^|[^A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])"
+#: Words and numbers between separators, as in paths: such a run is no key.
+WORDS = r"^(?:(?:[A-Z]?[a-z]++[0-9]{0,4}|[A-Z]++[0-9]{0,4}|[0-9]++)(?:[/_+=-]++|$))++$"
 #: Different characters of a key, at least; it also has a digit and a letter.
 VARIED = 9
 BLOCK = 256
@@ -143,7 +145,7 @@ def _confirmed(kind: str, m: Column) -> Column:
     if kind == "ssn":
         return ~m.rlike("^(?:000|666|9)|-00-|-0000$")
     if kind == "secret":
-        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= VARIED)
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(WORDS) & (F.size(F.array_distinct(F.split(m, ""))) >= VARIED)
     return F.lit(True)
 
 
@@ -183,7 +185,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     empty result.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    has = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}"), "secret": F.col("text").rlike("[A-Za-z0-9+/_=-]{20}")}
+    has = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}"), "secret": F.col("text").rlike("[A-Za-z0-9+/_-]{20}")}
     digits = F.col("text").rlike(r"[0-9][0-9\x20.-][0-9.\x20-]")
     strings, ints = "array<string>", "array<int>"
     df = df.withColumn("digits", digits)
