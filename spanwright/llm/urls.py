@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanwright.llm.common import fold, row_key
-from spanwright.session import with_checkpoints
+from spanwright.operators.skew import even_join
+from spanwright.session import Tables, with_checkpoints
 
 ORDER = 4
 #: Chance of a character that was never seen.
@@ -27,7 +28,7 @@ FLOOR = 1 / 256
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Words of hosts, between dots and hyphens, that mark a URL as rejected where no labels are given.
 SEEDS = "casino|slots?|bets?|betting|poker|jackpot|pills?|viagra|cialis|adult|porn|sex|xxx|spam|warez|crack|torrent|ads?|track|tracker|clicks?|loans?|cheap"
-#: Runs of characters that the model keeps; each has ORDER + 1 characters at most, so the model is bounded in bytes.
+#: So many runs, each of ORDER + 1 characters, are broadcast; a larger model is joined by its runs. Scores are the same.
 MODEL_ROWS = 400_000
 #: Bins of scores for the threshold, a hundredth wide, to each side of 0.
 BINS = 500
@@ -74,14 +75,13 @@ def _grams(df: DataFrame) -> DataFrame:
 
 
 def model(labelled: DataFrame) -> DataFrame:
-    """``gram, ratio, least``: log ratio of the two models for the MODEL_ROWS most frequent runs.
+    """``gram, n, ratio``: occurrences and the log ratio of the two models for every run of ORDER + 1 characters.
 
     ``labelled`` has ``url`` and ``weight``: 1 for accepted URLs, -1 for rejected ones, 0 for those
-    that are not counted but whose runs must be known. ``least`` is the number of occurrences that
-    runs need, 1 if all are kept.
+    that are not counted but whose runs must be known.
     """
     counts = _grams(labelled).groupBy("gram").agg(F.count_if(F.col("weight") == 1).alias("a"), F.count_if(F.col("weight") == -1).alias("r"), F.count("*").alias("n")).checkpoint()
-    chance, levels = None, None
+    chance = None
     for k in range(1, ORDER + 2):
         grams = counts.groupBy(F.right("gram", F.lit(k)).alias("gram")).agg(*(F.sum(c).alias(c) for c in "arn"))
         grams = grams.withColumn("context", F.left("gram", F.lit(k - 1))).withColumn("shorter", F.right("gram", F.lit(k - 1)))
@@ -93,28 +93,18 @@ def model(labelled: DataFrame) -> DataFrame:
             grams = grams.join(chance.select(F.col("gram").alias("shorter"), "p_a", "p_r"), "shorter")
         p = lambda x: F.when(F.col(f"n_{x}") > 0, (F.col(x) + F.col(f"t_{x}") * F.col(f"p_{x}")) / (F.col(f"n_{x}") + F.col(f"t_{x}"))).otherwise(F.col(f"p_{x}"))
         chance = grams.select("gram", "n", p("a").alias("p_a"), p("r").alias("p_r")).checkpoint()
-        levels = chance if levels is None else levels.unionByName(chance)
-    # A run's end occurs as often as the run, so whatever is kept has all its ends kept
-    sizes = levels.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("size")).count().collect()  # a row for each power of 2
-    least, held = 62, 0
-    for size, rows in sorted(((r["size"], r["count"]) for r in sizes), reverse=True):
-        held += rows
-        if held > MODEL_ROWS:
-            break
-        least = size
-    return levels.where(F.col("n") >= 2**least).select("gram", (F.log("p_a") - F.log("p_r")).alias("ratio"), F.lit(2**least).alias("least"))
+    return chance.select("gram", "n", (F.log("p_a") - F.log("p_r")).alias("ratio"))
 
 
 def scores(pages: DataFrame, ratios: DataFrame) -> DataFrame:
     """``page_id, url, score`` of each row of ``page_id, url``: the mean log ratio of its characters."""
-    pruned = ratios.where(F.col("least") > 1).limit(1).count() > 0
     key = row_key(F.col("page_id"), F.col("url"))
     met = _grams(pages.select(key.alias("key"), "url")).drop("url")  # a row of a character carries no URL
-    for k in range(ORDER + 1, 0 if pruned else ORDER, -1):
-        known = ratios.where(F.length("gram") == k).select(F.col("gram").alias(f"gram_{k}"), F.col("ratio").alias(f"ratio_{k}"))
-        met = met.withColumn(f"gram_{k}", F.right("gram", F.lit(k))).join(F.broadcast(known), f"gram_{k}", "left").drop(f"gram_{k}")  # MODEL_ROWS at most in all
-    found = F.coalesce(*(F.col(f"ratio_{k}") for k in range(ORDER + 1, 0 if pruned else ORDER, -1)), F.lit(0.0))
-    per = met.groupBy("key").agg(F.avg(found).alias("score"))
+    if ratios.count() <= MODEL_ROWS:
+        met = met.join(F.broadcast(ratios.drop("n")), "gram")
+    else:
+        met = even_join(Tables(pages.sparkSession).keep(met), ratios.drop("n"), ["gram"], counts=ratios.select("gram", "n"))
+    per = met.groupBy("key").agg(F.avg("ratio").alias("score"))
     return pages.withColumn("key", key).join(per, "key").drop("key")
 
 
