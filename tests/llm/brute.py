@@ -72,3 +72,52 @@ def contamination(docs: list[tuple], items: list[tuple]) -> list[tuple]:
                     items_hit |= found
         out.append((doc_id, len(w), len(hit), len(items_hit), sha(",".join(sorted(items_hit))), bool(hit)))
     return out
+
+
+def without_tags(page):
+    """The text of a page without tags and comments, by the states of HTML's tokenizer."""
+    blank, out, i, n = " \t\n\r\f", [], 0, len(page)
+    letter = lambda k: k < n and page[k].isascii() and page[k].isalpha()
+    while i < n:
+        if page.startswith("<!--", i):
+            i += 4
+            if page.startswith(">", i) or page.startswith("->", i):
+                i = page.index(">", i) + 1
+                continue
+            ends = [(k, len(e)) for e in ("-->", "--!>") if (k := page.find(e, i)) >= 0]
+            i = sum(min(ends)) if ends else n
+        elif page[i] == "<" and i + 1 < n and (page[i + 1] in "!?" or (page[i + 1] == "/" and i + 2 < n and not letter(i + 2))):
+            k = page.find(">", i)
+            i = k + 1 if k >= 0 else n
+        elif page[i] == "<" and (letter(i + 1) or (page.startswith("</", i) and letter(i + 2))):
+            i, state = i + 1, "name"
+            while i < n:
+                c = page[i]
+                if state == "value start":
+                    if c in blank:
+                        i += 1
+                        continue
+                    state = {'"': '"', "'": "'"}.get(c, "before" if c == ">" else "unquoted")
+                    if state in ('"', "'", "unquoted"):
+                        i += 1
+                        continue
+                if state in ('"', "'"):
+                    state = "before" if c == state else state
+                elif c == ">":
+                    break
+                elif state == "unquoted":
+                    state = "before" if c in blank else state
+                elif state == "name":
+                    state = "before" if c in blank or (c == "/" and page[i - 1] != "<") else state
+                elif state == "attribute":
+                    state = "value start" if c == "=" else "after" if c in blank else "before" if c == "/" else state
+                elif state == "after":
+                    state = "value start" if c == "=" else state if c in blank else "before" if c == "/" else "attribute"
+                elif c not in blank + "/":
+                    state = "attribute"
+                i += 1
+            i += 1
+        else:
+            out.append(page[i])
+            i += 1
+    return "".join(out)
