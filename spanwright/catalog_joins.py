@@ -306,14 +306,23 @@ def _(x):
     return G.connected_components(x("edges")).groupBy("component").agg(F.min(F.col("id").cast("string")).alias("representative"))
 
 
-KMERS = """(select distinct speci, gca, least(kmer, reverse(translate(kmer,'ACGT','TGCA'))) as kmer from (select speci, c.gca, unnest(list_transform(range(1,length(seq)-13), lambda i: substring(seq,i,15))) as kmer from contigs c join taxonomy t on t.gca=c.gca where length(seq)>=15) z
-    where substring(md5(least(kmer, reverse(translate(kmer,'ACGT','TGCA')))),1,1)='0')"""
+KMERS = """(select speci, gca, least(kmer, reverse(translate(kmer,'ACGT','TGCA'))) as kmer, min(contig_id) as contig, min(pos) as pos, min((kmer<=reverse(translate(kmer,'ACGT','TGCA')))::int) as fwd from (select speci, c.gca, contig_id, unnest(range(1,length(seq)-13)) as pos, substring(seq,pos,15) as kmer
+    from contigs c join taxonomy t on t.gca=c.gca where length(seq)>=15) z where substring(md5(least(kmer, reverse(translate(kmer,'ACGT','TGCA')))),1,1)='0' group by 1,2,3 having count(*)=1)"""
 
 
-@query("k1_pairwise_similarity", f"""select a.gca as ref, b.gca as query, round(pow(greatest(count(*)::double/any_value(na.n),count(*)::double/any_value(nb.n)),1.0/15)*100,9) as ani, round(count(*)::double/any_value(na.n)*100,9) as af_ref, round(count(*)::double/any_value(nb.n)*100,9) as af_query
-    from {KMERS} a join {KMERS} b on a.speci=b.speci and a.kmer=b.kmer and a.gca<b.gca join (select gca, count(*) as n from {KMERS} q group by gca) na on na.gca=a.gca join (select gca, count(*) as n from {KMERS} q group by gca) nb on nb.gca=b.gca group by a.gca, b.gca""")
+def covered(own: str, start: str, end: str) -> str:
+    return f"""(select ref, query, sum(greatest(0,{end}-greatest({start}-1,coalesce(before,0)))) as covered from (select *, max({end}) over (partition by ref,query,{own} order by {start},{end} rows between unbounded preceding and 1 preceding) as before from chains) q group by 1,2)"""
+
+
+@query("k1_pairwise_similarity", f"""select * from (with km as materialized {KMERS}, met as (select a.gca as ref, b.gca as query, a.contig as ca, b.contig as cb, case when a.fwd=b.fwd then 1 else -1 end as turn, a.pos, case when a.fwd=b.fwd then b.pos else -b.pos end as y from km a join km b on a.speci=b.speci and a.kmer=b.kmer and a.gca<b.gca),
+    steps as (select *, case when y-lag(y) over w>0 and pos-lag(pos) over w<=500 and abs(pos-lag(pos) over w-(y-lag(y) over w))<=50 then 0 else 1 end as fresh from met window w as (partition by ref,query,ca,cb,turn order by pos)),
+    chained as (select *, sum(fresh) over (partition by ref,query,ca,cb,turn order by pos) as chain from steps),
+    chains as materialized (select ref, query, ca, cb, count(*) as n, min(pos) as a0, max(pos)+14 as a1, min(abs(y)) as b0, max(abs(y))+14 as b1 from chained group by ref,query,ca,cb,turn,chain having count(*)>=3),
+    sizes as (select c.gca, c.size, k.n from (select c.gca, sum(length(seq)) as size from contigs c join taxonomy t on t.gca=c.gca group by 1) c join (select gca, count(*) as n from km group by 1) k on k.gca=c.gca)
+    select t.ref, t.query, round(pow(least(1.0::double,greatest(anchors*sa.size::double/(a.covered*sa.n),anchors*sb.size::double/(b.covered*sb.n))),1.0/15)*100,9) as ani, round(100.0::double*a.covered/sa.size,9) as af_ref, round(100.0::double*b.covered/sb.size,9) as af_query
+    from (select ref, query, sum(n) as anchors from chains group by 1,2) t join {covered("ca", "a0", "a1")} a on a.ref=t.ref and a.query=t.query join {covered("cb", "b0", "b1")} b on b.ref=t.ref and b.query=t.query join sizes sa on sa.gca=t.ref join sizes sb on sb.gca=t.query)""")
 def _(x):
-    df = x("contigs").join(x("taxonomy").select("gca", "speci"), "gca").select("speci", F.col("gca").alias("genome"), "seq")
+    df = x("contigs").join(x("taxonomy").select("gca", "speci"), "gca").select("speci", F.col("gca").alias("genome"), "contig_id", "seq")
     out = K.pairwise_similarity(df)
     return out.select("ref", "query", *(F.round(c, 9).alias(c) for c in ("ani", "af_ref", "af_query")))
 

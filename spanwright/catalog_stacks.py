@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanwright.catalog import Inputs, query
+from spanwright.functions import expr as E
 from spanwright.operators import consensus as C
+from spanwright.operators import joins as J
+from spanwright.operators.motifs import motif_places
 
 UNIT = ["unit", "side"]
 #: Columns of the longest window and more.
@@ -266,3 +269,46 @@ def _(x):
 def _(x):
     df = C.length_stats(all_units(x)).join(F.broadcast(C.universe_totals(grouped(x), ["unit", "grp"], ["unit"])))  # one row
     return df.select("strategy", (F.col("n_consensuses") / F.col("n_clusters")).alias("per_cluster"), (F.col("n_consensuses") / F.col("n_groups")).alias("per_group"))
+
+
+#: Patterns of units: the table that gene types have.
+UNIT_PATTERNS = "(select distinct unit, unnest(case when length(unit)%2=0 then ['GG'] when right(unit,1)>'4' then ['GTAA','Gagg'] else ['GGnnnTG'] end) as pattern from stacks)"
+PLACES = f"""(select q.*, p.pattern, strand, start from (select unit, side, text from BOUNDARY b) q join {UNIT_PATTERNS} p using(unit) cross join (select unnest(range(0,20)) as start) s cross join (select unnest(['+','-']) as strand) t
+    where start+length(pattern)<=length(text) and regexp_full_match(case when strand='+' then substring(text,start+1,length(pattern)) else reverse(translate(substring(text,start+1,length(pattern)),'ACGT','TGCA')) end, regexp_replace(pattern,'[a-zN]','.','g')))"""
+BOUNDARY = f"(select unit, side, start, length, text, is_open from (select *, row_number() over (partition by unit,side order by is_open desc, case when side='left' then start else -start end desc) as r from {aware('0.5::double', '2')} s where length between 4 and 20) q where r=1)"
+PLACES = PLACES.replace("BOUNDARY", BOUNDARY)
+
+
+def unit_patterns(x: Inputs):
+    unit = F.col("unit")
+    listed = F.when(F.length(unit) % 2 == 0, F.array(F.lit("GG"))).when(F.right(unit, F.lit(1)) > "4", F.array(F.lit("GTAA"), F.lit("Gagg"))).otherwise(F.array(F.lit("GGnnnTG")))
+    return stacks(x).select("unit").distinct().select("unit", F.explode(listed).alias("pattern"))
+
+
+def boundaries(x: Inputs):
+    return x.keep("boundaries", lambda: C.boundary_segment(C.segments_side_aware(stacks(x), UNIT, 0.5, 2), UNIT))
+
+
+def boundary_places(x: Inputs):
+    named = boundaries(x).withColumn("id", F.concat_ws("#", "side", "unit"))
+    found = motif_places(named.select("id", "unit", "text"), unit_patterns(x), kind="unit", seq="text")
+    return found.join(named.select("id", "unit", "side", "text"), "id").select("unit", "side", "text", "pattern", "strand", "start")
+
+
+@query("p15b_motif_places", f"select * from {PLACES} p")
+def _(x):
+    return boundary_places(x)
+
+
+@query("j11b_labelled_rows", f"""select d.doc_id, d.unit, d.side, md5(d.seq) as flank, case when b.start is null then 0.3::double when m.unit is not null then 1.0::double else 0.7::double end as label,
+    case when b.start is null then 'no_segment_in_length_bucket' else concat(case when m.unit is not null then 'found_literature_match_' else 'found_no_literature_match_' end, case when is_open then 'trailing_at_boundary' else 'closed_segment' end) end as label_reason,
+    b.start as segment_start, b.length as segment_length, b.text as segment_sequence from stacks d left join {BOUNDARY} b on b.unit=d.unit and b.side=d.side left join (select distinct unit, side from {PLACES} p) m on m.unit=d.unit and m.side=d.side""")
+def _(x):
+    """Labels with their reasons and segments, for each member of a unit; patterns come from a table by type."""
+    hits = boundary_places(x).select("unit", "side").distinct().withColumn("hit", F.lit(True))
+    found, matched = F.col("start").isNotNull(), F.coalesce("hit", F.lit(False))
+    sides = stacks(x).select(*UNIT).distinct().join(boundaries(x), UNIT, "left").join(hits, UNIT, "left")
+    reason = E.label_reason(F.lit(True), F.lit(True), found, matched, F.coalesce("is_open", F.lit(False)))
+    labels = sides.select(F.col("unit").alias("rec_type"), F.lit(0).alias("cluster_number"), "side", E.soft_label(found, matched).alias("label"), reason.alias("label_reason"), F.col("start").alias("segment_start"), F.col("length").alias("segment_length"), F.col("text").alias("segment_sequence"))
+    members = stacks(x).select("doc_id", F.col("unit").alias("rec_type"), F.lit(0).alias("cluster_number"), "side", F.md5(F.col("seq").cast("binary")).alias("flank"))
+    return J.label_members(members, labels).withColumnRenamed("rec_type", "unit").drop("cluster_number")

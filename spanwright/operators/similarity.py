@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spanwright.functions import expr as E
 from spanwright.operators import alignment
@@ -21,35 +22,62 @@ from spanwright.session import Tables, with_checkpoints
 #: K-mers of a gene by which it meets others: at 85 % identity about one in eleven is intact in both, so
 #: a pair that meets by none of 60 is rare (measured in tests).
 SEEDS = 60
+#: Bases between anchors of a chain at most, how far they may differ in both genomes, and anchors of a chain at least.
+GAP, SLACK, LEAST_ANCHORS = 500, 50, 3
 #: Bases of a tile that k-mers are cut from at a time.
 TILE = 1000
 
 
 def sketch(seqs: DataFrame, keys: list[str], k: int = 15) -> DataFrame:
-    """Distinct canonical k-mers of ``seq`` whose digest begins with 0: one in sixteen (FracMinHash).
+    """``keys, kmer, pos, forward``: canonical k-mers of ``seq`` whose digest begins with 0, one in sixteen (FracMinHash), with their places.
 
     Long sequences are cut into overlapping tiles first, so no row holds all k-mers of a genome.
     """
-    tiles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq")), F.lit(TILE)), lambda i: F.substr(F.col("seq"), i, F.lit(TILE + k - 1)))
-    df = seqs.where(F.length("seq") >= k).select(*keys, F.explode(tiles).alias("tile")).where(F.length("tile") >= k)
-    kmers = F.transform(F.sequence(F.lit(1), F.length("tile") - (k - 1)), lambda i: F.substr(F.col("tile"), i, F.lit(k)))
-    df = df.select(*keys, F.explode(kmers).alias("kmer")).withColumn("kmer", F.least("kmer", E.revcomp("kmer")))
-    return df.where(F.md5(F.col("kmer").cast("binary")).startswith("0")).distinct()
+    tiles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq")), F.lit(TILE)), lambda i: F.struct(i.alias("at"), F.substr(F.col("seq"), i, F.lit(TILE + k - 1)).alias("bases")))
+    df = seqs.where(F.length("seq") >= k).select(*keys, F.explode(tiles).alias("tile")).where(F.length("tile.bases") >= k)
+    kmers = F.transform(F.sequence(F.lit(1), F.length("tile.bases") - (k - 1)), lambda i: F.substr(F.col("tile.bases"), i, F.lit(k)))
+    df = df.select(*keys, F.col("tile.at").alias("at"), F.posexplode(kmers).alias("i", "own")).withColumn("kmer", F.least("own", E.revcomp("own")))
+    return df.where(F.md5(F.col("kmer").cast("binary")).startswith("0")).select(*keys, "kmer", (F.col("at") + F.col("i")).cast("bigint").alias("pos"), (F.col("kmer") == F.col("own")).alias("forward"))
 
 
-def pairwise_similarity(genomes: DataFrame, block: str = "speci", id: str = "genome", k: int = 15) -> DataFrame:
+def _covered(chains: DataFrame, own: str, start: str, end: str) -> DataFrame:
+    """``ref, query, covered``: bases in any of a pair's chains, along the contigs of one of the two."""
+    w = W.partitionBy("ref", "query", own).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.max(end).over(w), F.lit(0))
+    fresh = F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start) - 1, before))
+    return chains.withColumn("fresh", fresh).groupBy("ref", "query").agg(F.sum("fresh").alias("covered"))
+
+
+def pairwise_similarity(genomes: DataFrame, block: str = "speci", id: str = "genome", contig: str = "contig_id", k: int = 15) -> DataFrame:
     """Similarities of genomes within a block, never across: ``ref, query, ani, af_ref, af_query``.
 
-    Shared fractions of sketches both ways; identity is the k-th root of the larger one.
+    Anchors are sketch k-mers that occur once in both genomes. Along a contig of the first, anchors on one contig and
+    strand of the second are chained while both places go on by about as much (GAP, SLACK). Chains of
+    LEAST_ANCHORS or more cover bases: their share of each genome is its aligned fraction. Identity is the
+    k-th root of the share of the covered bases' sketch that is anchors. A k-mer of many genomes is dealt to several tasks.
     """
-    df = sketch(genomes.select(F.col(block).alias("block"), F.col(id).alias("id"), "seq").where(F.col("block").isNotNull()), ["block", "id"], k)
-    sizes = df.groupBy("block", "id").agg(F.count("*").alias("n"))
-    a, b = df.alias("a"), df.alias("b")
-    shared = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.kmer") == F.col("b.kmer")) & (F.col("a.id") < F.col("b.id")))
-    shared = shared.groupBy(F.col("a.block").alias("block"), F.col("a.id").alias("ref"), F.col("b.id").alias("query")).agg(F.count("*").alias("shared"))
-    s = shared.join(sizes.select("block", F.col("id").alias("ref"), F.col("n").alias("n_ref")), ["block", "ref"]).join(sizes.select("block", F.col("id").alias("query"), F.col("n").alias("n_query")), ["block", "query"])
-    c = lambda n: F.col("shared") / F.col(n)
-    return s.select("ref", "query", (F.pow(F.greatest(c("n_ref"), c("n_query")), F.lit(1.0 / k)) * 100).alias("ani"), (c("n_ref") * 100).alias("af_ref"), (c("n_query") * 100).alias("af_query"))
+    kept = Tables(genomes.sparkSession)
+    rows = genomes.select(F.col(block).alias("block"), F.col(id).alias("id"), F.col(contig).alias("contig"), "seq").where(F.col("block").isNotNull())
+    sizes = rows.groupBy("block", "id").agg(F.sum(F.length("seq")).alias("size"))
+    once = sketch(rows, ["block", "id", "contig"], k).groupBy("block", "id", "kmer").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("contig", "pos", "forward"))).where(F.col("n") == 1).drop("n")
+    once = kept.keep(once)
+    sizes = kept.keep(sizes.join(once.groupBy("block", "id").agg(F.count("*").alias("n")), ["block", "id"]))
+    names = {"id": "query", "contig": "contig_b", "pos": "pos_b", "forward": "forward_b"}
+    met = even_join(once, once.select("block", "kmer", *(F.col(a).alias(b) for a, b in names.items())), ["block", "kmer"]).where(F.col("id") < F.col("query"))
+    turn = F.when(F.col("forward") == F.col("forward_b"), 1).otherwise(-1)
+    met = met.select(F.col("id").alias("ref"), "query", F.col("contig").alias("contig_a"), "contig_b", turn.alias("turn"), "pos", (turn * F.col("pos_b")).alias("y"))
+    line = W.partitionBy("ref", "query", "contig_a", "contig_b", "turn").orderBy("pos")
+    dx, dy = (F.col(c) - F.lag(c).over(line) for c in ("pos", "y"))
+    goes_on = F.coalesce((dy > 0) & (dx <= GAP) & (F.abs(dx - dy) <= SLACK), F.lit(False))
+    met = met.withColumn("fresh", (~goes_on).cast("int")).withColumn("chain", F.sum("fresh").over(line))
+    ends = [F.count("*").alias("n"), F.min("pos").alias("a0"), (F.max("pos") + k - 1).alias("a1"), F.min(F.abs("y")).alias("b0"), (F.max(F.abs("y")) + k - 1).alias("b1")]
+    chains = kept.keep(met.groupBy("ref", "query", "contig_a", "contig_b", "turn", "chain").agg(*ends).where(F.col("n") >= LEAST_ANCHORS))
+    total = chains.groupBy("ref", "query").agg(F.sum("n").alias("anchors"))
+    s = total.join(_covered(chains, "contig_a", "a0", "a1").withColumnRenamed("covered", "cover_a"), ["ref", "query"]).join(_covered(chains, "contig_b", "b0", "b1").withColumnRenamed("covered", "cover_b"), ["ref", "query"])
+    s = s.join(sizes.select(F.col("id").alias("ref"), F.col("size").alias("size_a"), F.col("n").alias("n_a")), "ref").join(sizes.select(F.col("id").alias("query"), F.col("size").alias("size_b"), F.col("n").alias("n_b")), "query")
+    share = lambda x: F.col("anchors") * F.col(f"size_{x}") / (F.col(f"cover_{x}") * F.col(f"n_{x}"))
+    ani = F.pow(F.least(F.lit(1.0), F.greatest(share("a"), share("b"))), F.lit(1.0 / k)) * 100
+    return s.select("ref", "query", ani.alias("ani"), (100.0 * F.col("cover_a") / F.col("size_a")).alias("af_ref"), (100.0 * F.col("cover_b") / F.col("size_b")).alias("af_query"))
 
 
 def greedy_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Alignments beside plain dynamic programming, gene clusters at low identity, star alignments, ranks and percentiles."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanwright.operators import alignment, ranking, similarity, tiles
+from spanwright.operators import alignment, motifs, ranking, similarity, tiles
 from spanwright.operators.stars import star_alignment
 
 
@@ -128,3 +129,32 @@ def test_slices_of_tiles(spark):
     got = {r.id: r.w for r in tiles.slices(df, tiles.tiled(contigs), {"w": (F.col("s"), F.col("e"))}, "id").collect()}
     for i, c, s, e in rows:
         assert (got.get(i) or "") == seq.get(c, "")[max(0, s) : max(0, e)]
+
+
+def test_aligned_fractions_of_planted_mosaics(spark):
+    """Blocks of one genome in another, turned round and shuffled on two contigs; fractions within two points."""
+    rng = random.Random(7)
+    base = lambda n: "".join(rng.choices("ACGT", k=n))
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    blocks = [base(6000) for _ in range(4)]
+    rows = [("s", "a", "a1", blocks[0] + base(6000) + blocks[1]), ("s", "a", "a2", blocks[2] + blocks[3]), ("s", "b", "b1", turned(blocks[2]) + base(3000) + mutated(rng, blocks[0], 0.97, 5)), ("s", "b", "b2", mutated(rng, blocks[3], 0.99)), ("t", "c", "c1", blocks[0]), ("s", "d", "d1", "ACG"), (None, "e", "e1", blocks[0])]
+    got = similarity.pairwise_similarity(spark.createDataFrame(rows, "speci string, genome string, contig_id string, seq string")).collect()
+    assert [(r.ref, r.query) for r in got] == [("a", "b")]
+    assert abs(got[0].af_ref - 100 * 18 / 30) < 2 and abs(got[0].af_query - 100 * 18 / 21) < 2
+    assert 97.5 < got[0].ani < 99.8
+
+
+def test_motif_places_equal_regular_expressions(spark):
+    rng = random.Random(9)
+    listed = [(k, p) for k, patterns in motifs.END_PATTERNS.items() for p in patterns]
+    kinds = [*motifs.END_PATTERNS, "none", None]
+    rows = [(i, rng.choice(kinds), "".join(rng.choices("ACGTNacgt", k=rng.randint(0, 90)))) for i in range(300)] + [(300, "DDE_Tnp_ISL3", None), (301, "DDE_Tnp_ISL3", "GGGé")]
+    got = motifs.motif_places(spark.createDataFrame(rows, "id int, rec_type string, seq string"), spark.createDataFrame(listed, "rec_type string, pattern string"))
+    want = set()
+    for i, kind, seq in rows:
+        for own, p in listed:
+            if own == kind and seq:
+                up, rx = seq.upper(), re.compile("(?=" + "".join(c if c.isupper() and c != "N" else "." for c in p) + ")")
+                want |= {(i, p, "+", m.start()) for m in rx.finditer(up)}
+                want |= {(i, p, "-", len(up) - m.start() - len(p)) for m in rx.finditer(up[::-1].translate(str.maketrans("ACGTN", "TGCAN")))}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
