@@ -653,7 +653,7 @@ def test_edge_rows_each_give_a_row(spark, monkeypatch, name):
     ids = sorted((r[0] for r in got), key=str)
     assert ids == sorted((i for i, _ in EDGE), key=str)
     same = [tuple(r) for r in got if r[0] == 1]
-    if name != "near_duplicates":  # one row of a group stays
+    if name not in ("near_duplicates", "fingerprints"):  # one row of a group stays; the documents behind repeated rows differ
         assert repr(same[0]) == repr(same[1])
     assert ON_DOCUMENTS[name](df.where("false")).collect() == []
 
