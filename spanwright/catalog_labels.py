@@ -10,7 +10,7 @@ from spanwright.operators import aggregates as A
 from spanwright.operators import joins as J
 from spanwright.operators import split as S
 from spanwright.operators import windows as WI
-from spanwright.plans import ml
+from spanwright.plans import filters, ml
 
 SPECIES = "(select l.*, coalesce(t.speci, '__unresolved_gca__:' || l.gca) as species from label_rows l left join taxonomy t on t.gca=l.gca)"
 SPECIES_COMPONENTS = f"""(with recursive s as (select distinct group_no, species from {SPECIES} q), e as (select distinct a.species as a, b.species as b from s a join s b on a.group_no=b.group_no),
@@ -206,6 +206,29 @@ def _(x):
     return ml.fit_predict(features(x)).select("doc_id", "label", "prediction")
 
 
+def filtered(x: Inputs):
+    """Windows of the labelled rows, kept as each step reads them, and the model that is fitted on them."""
+    rows = split_rows(x).select("doc_id", "rec_type", "side", "label", "split").join(x("contigs").select("doc_id", "seq"), "doc_id")
+    kept = x.keep("filter_windows", lambda: filters.windows(rows).drop("seq"))
+    return kept, filters.fit(kept)
+
+
+@query("m2b_filter_predictions")
+def _(x):
+    rows, model = filtered(x)
+    return filters.predict(rows.where(F.col("split") == "test").select("doc_id", "label", "window", "type_slot", "side_slot"), model).select("doc_id", "label", "prediction")
+
+
+@query("m2c_attributed_windows")
+def _(x):
+    """The 15 bases of each tested window that add most to its prediction."""
+    rows, model = filtered(x)
+    rows = rows.where(F.col("split") == "test").select("doc_id", "side", "window", "type_slot", "side_slot")
+    scores = filters.attributions(rows, model, ["doc_id", "side"]).select("doc_id", "side", "position", F.round(E.score_magnitude(*map(F.col, "ACGT")) * 1000000).cast("bigint").alias("magnitude"))
+    best = WI.best_window(scores, ["doc_id", "side"], 15)
+    return best.join(rows, ["doc_id", "side"]).select("doc_id", "side", "start", "total", F.substr("window", F.col("start").cast("int") + 1, F.lit(15)).alias("bases"))
+
+
 @query("m3_fold_rotation", "select doc_id, run, case when doc_id%5=run then 'test' when doc_id%5=(run+1)%5 then 'val' else 'train' end as role from label_rows cross join (select unnest(range(5)) as run) r")
 def _(x):
     return ml.fold_rotation(x("label_rows").withColumn("fold", F.col("doc_id") % 5)).select("doc_id", "run", "role")
