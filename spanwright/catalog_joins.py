@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanwright.catalog import Inputs, query
 from spanwright.functions import expr as E
 from spanwright.operators import aggregates as A
+from spanwright.operators import chain as CH
 from spanwright.operators import consensus as C
 from spanwright.operators import graph as G
 from spanwright.operators import joins as J
@@ -146,6 +147,18 @@ def _(x):
     return J.append_consensus(d, results(x)).select("recombinase_id", "side", "consensus_method", "consensus_length", "consensus_sequence")
 
 
+@query("j10b_final_table", f"""select c.recombinase_id, s.side, c.cluster_number, c.speci, c.duplicate_group_number, c.singleton, z.n as duplicate_group_size, md5(case when s.side='left' then o.l else o.r end) as flank,
+    case when c.singleton='no' then b.consensus_source end as consensus_method, case when c.singleton='no' then b.consensus_length end as consensus_length, case when c.singleton='no' then b.consensus_sequence end as consensus_sequence
+    from {TABLE_C} c cross join (select unnest(['left','right']) as side) s left join {ORIENTED} o on o.mge_id=c.mge_id
+    left join (select duplicate_group_number, count(distinct mge_id) as n from {TABLE_C} t group by 1) z on z.duplicate_group_number=c.duplicate_group_number
+    left join (select * from {RESULTS} r qualify row_number() over (partition by rec_type,cluster_number,side order by consensus_source desc)=1) b on b.rec_type=c.recombinase_type and b.cluster_number=c.cluster_number and b.side=s.side""")
+def _(x):
+    """Tables a to e as one job, with one shuffle of each input by element."""
+    df = CH.final_table(table_b(x), x("duplicates"), flanks(x), results(x), kept=x.tables)
+    shown = ["recombinase_id", "side", "cluster_number", "speci", "duplicate_group_number", "singleton", "duplicate_group_size", "consensus_method", "consensus_length", "consensus_sequence"]
+    return df.select(*shown, F.md5(F.col("flank_sequence").cast("binary")).alias("flank"))
+
+
 @query("j12_pending_keys", "select distinct genome_key from contigs where genome_key not in (select genome_key from (select genome_key, arg_max(status,ord) as status from manifest group by genome_key) m where status in ('downloaded','skipped_exists'))")
 def _(x):
     return J.pending_keys(x("contigs"), S.last_status(x("manifest")))

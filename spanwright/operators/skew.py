@@ -11,6 +11,20 @@ SHARE, LEAST = 2000, 100
 FEW = 1000
 
 
+def frequent_keys(left: DataFrame, keys: list[str], counts: DataFrame | None = None, total: int | None = None) -> DataFrame | None:
+    """``keys, _parts`` of the keys that hold more than one in SHARE of the rows, or None: fewer than SHARE of them."""
+    total = left.count() if total is None else total
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    least = max(LEAST, total // SHARE)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    frequent = counts.where((F.col("n") > least) & known).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts")).collect()
+    if not frequent:
+        return None
+    return left.sparkSession.createDataFrame(frequent, counts.select(*keys, F.lit(1).alias("_parts")).schema)
+
+
 def even_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """``left`` joined with ``right`` by equal ``keys``, which no task gets too many rows of.
 
@@ -23,16 +37,10 @@ def even_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     total = left.count() if total is None else total
     if total <= FEW:
         return left.join(right, keys, how)
-    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
-    least = max(LEAST, total // SHARE)
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    frequent = counts.where((F.col("n") > least) & known).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts")).collect()
-    if not frequent:
+    hot = frequent_keys(left, keys, counts, total)
+    if hot is None:
         return left.join(right, keys, how)
-    schema = counts.select(*keys, F.lit(1).alias("_parts")).schema
-    hot = F.broadcast(left.sparkSession.createDataFrame(frequent, schema))
+    hot = F.broadcast(hot)
     part = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int"), F.lit(0))
     dealt = left.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
     repeated = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")

@@ -63,8 +63,21 @@ class Tables:
         self.paths[id(out)] = path
         return out
 
+    def bucketed(self, df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+        """Write a table in hash buckets of ``keys``: tables of as many buckets are joined by these without a shuffle."""
+        self.top = self.top or scratch(self.spark)
+        name = f"bucketed_{uuid.uuid4().hex}"
+        path = f"{self.top}/{name}"
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.paths[id(out)] = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete kept tables that no result reads any more."""
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
+            at = self.paths.pop(id(df))
+            if at.split("/")[-1].startswith("bucketed_"):
+                self.spark.sql(f"drop table if exists {at.split('/')[-1]}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
