@@ -9,7 +9,8 @@ counts also give a base score: add-one word frequencies. The end of a text is a
 often as there are training texts.
 
 Frequent words, a bounded number chosen by their counts, go to the tasks; all other words are joined
-with their counts and probabilities by a shuffle.
+with their counts and probabilities by a shuffle. Words over SHORT bytes go by digests of 128 bits, so
+a frequent one is sent as any other, and none that is left has more than one in FREQUENT / 2 of the tokens.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from spanwright.llm.common import fold, small_batches
 from spanwright.llm.lattice import SPACE, Lattice
 from spanwright.session import with_checkpoints
 
-#: Words whose counts are sent to all tasks, at most, and bytes of each, at most.
+#: Words whose counts are sent to all tasks, at most, and bytes of each, at most: longer ones go by digests.
 FREQUENT, SHORT = 200_000, 64
 #: Distinct words that a task gathers before it hands on their counts, and words weighed at a time.
 GATHERED, TOGETHER = 200_000, 20_000
+#: Bytes of words that are gathered at most, beside the text or the batch at hand.
+GATHERED_BYTES, TOGETHER_BYTES = 32_000_000, 8_000_000
 #: Expected counts are rounded to thousandths word by word, so that sums depend on no order and no batch.
 SCALE = 1000
 #: Weight of the vocabulary's own scores against the corpus, in pieces.
@@ -75,6 +78,11 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def named(words: list[bytes]) -> list[bytes]:
+    """Words as they are joined: longer ones than SHORT bytes as a line break, which no word has, and a digest."""
+    return [w if len(w) <= SHORT else b"\n" + xxhash.xxh3_128_digest(w) for w in words]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word binary, n_all, n``: how often each word occurs in all texts and in those with ``train``.
 
@@ -83,6 +91,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+        long = 0  # bytes of long words
 
         def rows() -> pa.RecordBatch:
             words = list({**both[0], **both[1]})
@@ -93,10 +102,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = both[bool(train)]
-                own.update(tokens(text))
+                words = tokens(text)
+                own.update(words)
                 own[END] += 1
-                if len(own) >= GATHERED:
+                long += sum([len(w) for w in words if len(w) > SHORT])
+                if len(own) >= GATHERED or long >= GATHERED_BYTES:
                     yield rows()
+                    long = 0
                     both[0].clear()
                     both[1].clear()
         yield rows()
@@ -109,7 +121,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= TOGETHER:
+        if sum(b.num_rows for b in held) >= TOGETHER or sum(b.nbytes for b in held) >= TOGETHER_BYTES:
             yield pa.Table.from_batches(held)
             held = []
     if held:
@@ -135,20 +147,20 @@ def expected_counts(counts: DataFrame, pieces: list[str], logp: np.ndarray) -> D
 
 
 def weighted(counts: DataFrame, pieces: list[str], logp: np.ndarray) -> DataFrame:
-    """``word, n, weight``: the count and the log10 probability of each distinct word."""
+    """``word, n_all, n, weight``: the counts and the log10 probability of each distinct word, named as it is joined."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(pieces)
         for t in _gathered(batches):
             weights = model.likelihood(_stretches(t["word"]), logp) / math.log(10)
-            yield from t.select(["word", "n_all", "n"]).append_column("weight", pa.array(weights)).to_batches()
+            words = pa.array(named(t["word"].to_pylist()), pa.binary())
+            yield from t.select(["n_all", "n"]).add_column(0, "word", words).append_column("weight", pa.array(weights)).to_batches()
 
     return counts.where(F.col("word") != F.lit(END)).select("word", "n_all", "n").mapInArrow(work, "word binary, n_all long, n long, weight double")
 
 
 def _frequent(counts: DataFrame) -> tuple[int, pa.Table]:
-    """The least count of which at most FREQUENT short words have as much, and those words: bounded in bytes too."""
-    counts = counts.where(F.octet_length("word") <= SHORT)
+    """The least count of which at most FREQUENT words have as much, and those words: bounded in bytes, as names are."""
     sizes = counts.groupBy(F.floor(F.log2(F.col("n_all").cast("double"))).cast("int").alias("size")).count().collect()  # a row for each power of 2
     least, held = 62, 0  # no word is as frequent
     for r in sorted(sizes, key=lambda r: -r["size"]):
@@ -195,7 +207,7 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = xxhash.xxh3_128_digest(f"{doc_id}:{text}".encode("utf-8", "replace"))
-                words = tokens(text)
+                words = named(tokens(text))
                 values = [*map(values_of, words)]
                 rare = Counter([w for w, x in zip(words, values, strict=True) if x is None])
                 logs, weights, known = zip(*x, strict=True) if (x := [x for x in values if x is not None]) else ((), (), ())
@@ -205,7 +217,7 @@ def scored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    rare = table.where((F.col("n_all") < least) | (F.octet_length("word") > SHORT))
+    rare = table.where(F.col("n_all") < least)
     schema = "key binary, doc_id long, n_tokens long, known long, logs double, score double, word binary, tf long"
     joined = docs.mapInArrow(work, schema).join(rare.drop("n_all"), "word", "left")
     # Equal rows meet under one key, each with all its words

@@ -465,6 +465,27 @@ def test_base_scores_equal_plain_counts(docs, plain, monkeypatch):
     assert all(r[6] < 0 for r in got) and len(ends) == 1 and max(r[6] for r in got) == ends.pop()
 
 
+def test_long_words_are_sent_or_joined_by_their_digests(spark, monkeypatch):
+    """A line of dashes in every text is a frequent word as any other; rare long words meet their own counts only."""
+    monkeypatch.setattr(score, "FREQUENT", 8)
+    line, rare = "-" * 80, [("x" * 100 + str(i % 25)) for i in range(60)]
+    rows = [(i, f"the {line} of {rare[i]} {line}{'' if i % 2 else chr(10) + 'y' * 65}") for i in range(60)]
+    sent = []
+    frequent = score._frequent
+    monkeypatch.setattr(score, "_frequent", lambda counts: sent.append(frequent(counts)) or sent[0])
+    got = {r["doc_id"]: r for r in score.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert score.named([line.encode()])[0] in sent[0][1]["word"].to_pylist() and sent[0][1].num_rows <= 8
+    cut = lambda t: [*t.split(), None]
+    c = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in cut(t))
+    for i, t in rows:
+        want = sum(math.log10((c[w] + 1) / (c.total() + len(c) + 1)) for w in cut(t))
+        assert got[i]["base_score"] == pytest.approx(want) and got[i]["n_known"] == sum(c[w] > 0 for w in cut(t)) and got[i]["n_tokens"] == len(cut(t))
+    alike = {}  # the model's score hangs on the words alone
+    for i, t in rows:
+        alike.setdefault(t, set()).add(round(got[i]["score"], 9))
+    assert all(len(x) == 1 for x in alike.values())
+
+
 def test_scores_are_those_of_all_segmentations(spark, monkeypatch):
     pieces = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "bb", "▁ab", *(f"<0x{i:02X}>" for i in range(256))]
     weight = np.array([1.0, 5, 4, 4, 3, 3, 2, 2, 1] + [0.1] * 256)
