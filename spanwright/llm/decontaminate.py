@@ -23,8 +23,8 @@ WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Bits for a word's position in its text, more than any text has words.
 POSITION = 30
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Fingerprints of the benchmark up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Fingerprints of the benchmark up to this number and these bytes of words are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 100_000_000
 
 
 def words(text: Column) -> Column:
@@ -73,7 +73,8 @@ def _around(reach: int, length: int) -> Column:
 
 def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Join by ``g``; the benchmark's side is broadcast only if it is small, else frequent runs are dealt to several tasks."""
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    n, size = right.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("there", " "))), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), "g", how)
     kept = Tables(left.sparkSession)
     counts = kept.keep(left.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 1))

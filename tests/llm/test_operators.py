@@ -465,6 +465,20 @@ def test_base_scores_equal_plain_counts(docs, plain, monkeypatch):
     assert all(r[6] < 0 for r in got) and len(ends) == 1 and max(r[6] for r in got) == ends.pop()
 
 
+def test_large_benchmarks_are_joined_by_a_shuffle(spark, monkeypatch):
+    """Beyond the broadcast's rows or bytes the results are the same, a run in most documents included."""
+    shared = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} {shared} c{i} " + " ".join(f"d{i}x{k}" for k in range(30))) for i in range(1500)], "doc_id long, text string")
+    items = spark.createDataFrame([("one", shared), ("two", f"{shared} tail"), ("few", "c7 d7x0"), ("none", "z " * 12)], "item_id string, text string")
+    found = lambda: sorted(map(tuple, decontaminate.digests(decontaminate.contamination(docs, items)).collect()))
+    want = found()
+    assert len(want) == 1500 and all(r[2] == 14 + 2 * (r[0] == 7) and r[3] == 2 + (r[0] == 7) for r in want)
+    for limit in ("BROADCAST_ROWS", "BROADCAST_BYTES"):
+        with monkeypatch.context() as patch:
+            patch.setattr(decontaminate, limit, 0)
+            assert found() == want
+
+
 def test_long_words_are_sent_or_joined_by_their_digests(spark, monkeypatch):
     """A line of dashes in every text is a frequent word as any other; rare long words meet their own counts only."""
     monkeypatch.setattr(score, "FREQUENT", 8)
