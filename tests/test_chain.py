@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwright.operators import chain, joins, skew
+from spanwright.session import Tables
 
 COLUMNS = ["recombinase_id", "side", "duplicate_group_number", "duplicate_group_size", "singleton", "flank_sequence", "consensus_method", "consensus_start", "consensus_length", "consensus_sequence"]
 
@@ -50,3 +51,11 @@ def test_empty_tables(tables):
     assert chain.final_table(*none, buckets=2).count() == 0
     got = chain.final_table(tables[0], *none[1:], buckets=2)
     assert got.count() == 1800 and got.where("flank_sequence is not null or consensus_method is not null or singleton = 'no'").count() == 0
+
+
+def test_dropped_buckets_leave_no_table(spark):
+    kept, before = Tables(spark), len(spark.catalog.listTables())
+    df = kept.bucketed(spark.range(10), ["id"], 2)
+    assert df.count() == 10 and len(spark.catalog.listTables()) == before + 1
+    kept.drop(df)
+    assert len(spark.catalog.listTables()) == before and not kept.paths
