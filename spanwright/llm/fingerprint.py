@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,8 +27,8 @@ LEAST, NORMAL, MOST = 16, 48, 192
 STRICT, LOOSE = 7, 4
 #: Texts of about this many bytes are hashed together.
 BLOCK_BYTES = 1_000_000
-#: Bytes of a range of documents, about; fine quantiles for each range that cuts are chosen from.
-PART_BYTES, FINE = 32_000_000, 8
+#: Bytes of a range of documents, about; ranges, at most, that bytes ask for; sampled ids for each of them.
+PART_BYTES, RANGES, SAMPLED = 32_000_000, 50_000, 20
 
 
 def _gear() -> np.ndarray:
@@ -120,11 +120,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(work, "doc_id long, fingerprint string")
 
 
-def _dealt(spark: SparkSession, parts: int) -> list[int]:
-    """A number for each of ``parts`` partitions that a hash exchange of so many deals there."""
-    ids = spark.range(40 * parts + 400)
-    found = ids.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("id")).collect()
-    return [r["id"] for r in sorted(found, key=lambda r: r["part"])]
+def _cuts(rows: DataFrame, total: int, parts: int) -> np.ndarray:
+    """Ids, ascending, that cut ``rows`` (``doc_id, text``, no null ids) into ``parts`` ranges of about equal bytes.
+
+    From a sample by bytes: a row is drawn once for each so many of its bytes, the rest by a hash, so
+    about SAMPLED ids a range reach the driver, whatever the rows. They decide nothing but where ranges end.
+    """
+    step = max(1.0, total / (SAMPLED * parts))
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = F.floor((F.octet_length("text") + 1) / F.lit(step) + chance).alias("n")
+    found = rows.select("doc_id", drawn).where(F.col("n") > 0).groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
+    ids, n = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "n"))
+    order = np.argsort(ids)
+    if not len(order):
+        return np.array([], np.int64)
+    ends = np.cumsum(n[order])
+    at = np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts)
+    return np.unique(ids[order][at])
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -133,34 +145,20 @@ def in_order(docs: DataFrame) -> DataFrame:
     Returns ``doc_id, text, range, guest``, a partition for each range and sorted within; ``guest``
     marks the row that is there only as a neighbour. After the last range comes the first document
     again. Rows of equal ids are ordered by their texts; null ids come last, in an order of hashes
-    and then of texts, and are spread over ranges by the hash. Texts are shuffled once.
+    and then of texts, and are spread over ranges by the hash. Texts are shuffled once, to the
+    partition of their range's number.
 
-    Ranges hold about PART_BYTES. Their cuts are chosen from fine quantiles of the ids and the bytes
-    between these; there are as many ranges as shuffle partitions at least.
+    There is a range for each PART_BYTES, at least as many as shuffle partitions and at most RANGES,
+    beyond which ranges get longer: a range is read as a stream, so its bytes do not have to fit in memory.
     """
     spark = docs.sparkSession
-    size = F.octet_length("text").cast("long")
     null = F.col("doc_id").isNull()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / (FINE * parts) for i in range(1, FINE * parts)]
-    total, nulls, found = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(null, size + 1)), F.lit(0)), F.percentile_approx("doc_id", shares, 10 * FINE * parts)).first()
-    parts = max(parts, -(-total // PART_BYTES))
-    fine = np.array(sorted(set(found or [])), np.int64)
-
-    @F.pandas_udf("long")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(fine) - np.searchsorted(fine, ids.to_numpy(np.int64)))
-
-    # Bytes between fine cuts, a row for each; neighbours are put together up to a range's share
-    sizes = {r[0]: r[1] for r in docs.where(~null).groupBy(place("doc_id").alias("at")).agg(F.sum(size + 1)).collect()}
-    share, held, cuts = max(1, (total - nulls) // parts), 0, []
-    for at in range(len(fine), 0, -1):  # from the least id on; fine[k] is the greatest id below the k-th cut
-        held += sizes.get(at, 0)
-        if held >= share:
-            cuts.append(int(fine[len(fine) - at]))
-            held = 0
-    cuts = np.array(cuts, np.int64)
-    ranges = len(cuts) + 1 + max(1, -(-nulls * parts // max(1, total)))  # the last ones hold null ids
+    size = F.octet_length("text").cast("long") + 1
+    total, nulls = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(null, size)), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(RANGES, -(-total // PART_BYTES)))
+    known_parts = max(1, round(parts * (total - nulls) / max(1, total)))
+    cuts = _cuts(docs.where(~null), total - nulls, known_parts)
+    ranges = len(cuts) + 1 + max(1, parts - known_parts)  # the last ones hold null ids
 
     @F.pandas_udf("long")
     def range_of(ids: pd.Series, mark: pd.Series) -> pd.Series:
@@ -180,8 +178,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     first = (F.col("range") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("mark") == F.col("head_mark"))
     guests = rows.join(F.broadcast(heads), first).groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("mark").alias("mark")).withColumnRenamed("to", "range")
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests.select("doc_id", "text", "mark", "range", F.lit(True).alias("guest")))
-    keys = F.get(F.array(*(F.lit(k).cast("long") for k in _dealt(spark, ranges))), F.col("range").cast("int"))
-    both = both.withColumn("to", keys).repartition(ranges, "to")
+    both = both.repartitionById(ranges, F.col("range").cast("int"))
     return both.sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "mark", "text")
 
 

@@ -191,6 +191,28 @@ def test_fingerprints_of_null_and_repeated_ids(spark):
     assert by_text(tuple(r)[:3] for r in fingerprint.with_edits(df).collect()) == by_text(want)
 
 
+def test_ranges_of_documents_are_even_by_bytes(spark, monkeypatch):
+    """Many ranges, some documents a hundred times as long as others and ids in clumps: no row is lost and no range is long."""
+    monkeypatch.setattr(fingerprint, "PART_BYTES", 40_000)
+    rng = random.Random(4)
+    ids = rng.sample(range(2_000), 1_500) + rng.sample(range(10**12, 10**12 + 10**9), 500)
+    rows = [(i, chr(97 + i % 26) * (4_000 if i % 40 == 0 else rng.randrange(800))) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    total = sum(len(t) + 1 for _, t in rows)
+    got = fingerprint.in_order(df).collect()
+    assert by_text((r["doc_id"], r["text"]) for r in got if not r["guest"]) == by_text(rows)
+    held, ends = {}, {}
+    for r in got:
+        held[r["range"]] = held.get(r["range"], 0) + (not r["guest"]) * (len(r["text"]) + 1)
+        ends.setdefault(r["range"], []).append((r["doc_id"], r["guest"]))
+    assert len(held) > total / 40_000 * 0.8 and max(held.values()) < 3 * 40_000
+    order = sorted(ids, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    for rows_of in ends.values():  # each range: ids one after the other, closed by the one guest that follows
+        assert [g for _, g in rows_of] == [False] * (len(rows_of) - 1) + [True]
+        assert all(after[a] == b for (a, _), (b, _) in zip(rows_of, rows_of[1:], strict=False))
+
+
 def test_chunks_survive_a_shift():
     rng = random.Random(1)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(800)).encode()
