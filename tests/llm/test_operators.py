@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import brute
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import xxhash
@@ -424,6 +425,74 @@ LICENCES = {
 }
 
 
+DECLARED = [
+    ("License: MIT", "mit"),
+    ('license = "MIT"', "mit"),
+    ("Licensed under GPLv3", "gpl"),
+    ("This software is BSD licensed", "bsd"),
+    ("Creative Commons Attribution 4.0", "cc-by"),
+    ("CC0 1.0 Universal", "public-domain"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("This project uses the zlib license", "zlib"),
+    ("The Unlicense", "public-domain"),
+    ("WTFPL", "wtfpl"),
+    ("Boost Software License - Version 1.0", "boost"),
+    ("published under the terms of the EUPL", "eupl"),
+    ("You should have received a copy of the GNU Lesser General Public License along with this library", "lgpl"),
+    ("MIT/Apache-2.0 dual license", "apache-2.0,mit"),
+    ("Dual licensed under the MIT License and the Apache License 2.0", "apache-2.0,mit"),
+    ("licensed under either of Apache License, Version 2.0 or MIT license at your option", "apache-2.0,mit"),
+    ("We do not use the MIT License here", ""),
+    ("The MIT License Plate Office", ""),
+    ("I studied license law at MIT", ""),
+    ("We chose something other than the Apache License", ""),
+    ("nothing here is licensed under GPLv3", ""),
+    ("the boost software was fast", ""),
+    ("Their driving license: none", ""),
+    ("", ""),
+    (None, ""),
+]
+
+
+def test_licence_lines_and_a_plain_version(spark, docs):
+    """Short, dual, denied and merely named licences; the same by dot products and sets, window by window."""
+    texts = [t for t, _ in DECLARED] + ["\n\n".join(t for t, _ in DECLARED[:4]), "word " * 70 + "Licensed under GPLv3 " + "other " * 50]
+    features, model, least = licences.fit(docs.selectExpr("cast(doc_id as string) as key", "text"))
+    lines = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
+    weights, bias, names = model.coefficientMatrix.toArray(), model.interceptVector.toArray(), sorted(licences.TEMPLATES)
+    place = {t: i for i, t in enumerate(features.vocabulary)}
+
+    def grams(words):
+        return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+    def split(text):
+        return regex.findall(r"[\p{L}\p{N}]+", text.lower())
+
+    forms = {f: [set(grams(split(t))) for t in ts] for f, ts in licences.declarations().items()}
+    want = set()
+    for k, text in enumerate(texts):
+        for n, part in enumerate(regex.split(r"\n[ \t\r]*\n", text or "")):
+            w = split(part)
+            for at in range(0, max(0, len(w) - 1 - (licences.WINDOW - licences.STRIDE)) + 1 if w else 0, licences.STRIDE):
+                found = set(grams(w[at : at + licences.WINDOW]))
+                x = np.zeros(len(place))
+                x[[place[g] for g in found if g in place]] = 1
+                z = weights @ x + bias
+                chances = 1 / (1 + np.exp(z[0] - z[1:]))
+                top = names[np.argmax(z[1:])]
+                for family, chance in zip(names, chances, strict=True):
+                    like = max(len(found & form) / len(form) for form in forms[family])
+                    if chance >= least and like >= (licences.CONFIRMED if family == top else 1):
+                        want.add((str(k), n, at, family))
+    got = licences.found_by(features, model, least, lines).collect()
+    assert {(r["key"], r["n"], r["at"], r["family"]) for r in got} == want
+    per = {}
+    for r in got:
+        per.setdefault(r["key"], set()).add(r["family"])
+    assert [(t, ",".join(sorted(per.get(str(i), ())))) for i, (t, _) in enumerate(DECLARED)] == DECLARED
+    assert per[str(len(DECLARED))] == {"mit", "gpl", "bsd"} and per[str(len(DECLARED) + 1)] == {"gpl"}
+
+
 def test_licences_are_found_and_mere_words_are_not(spark, docs):
     """The documents' own licence lines are found by their wording; lines without any are not."""
     extra = [(9000 + i, t) for i, t in enumerate(LICENCES)]
