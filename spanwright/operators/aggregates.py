@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions import expr as E
-from spanwright.operators.ranking import percentiles
-from spanwright.operators.windows import first_row_per_key, top_k_with_rest
+from spanwright.operators.ranking import ROW_BITS, in_ranges, percentiles
+from spanwright.operators.windows import first_row_per_key
 from spanwright.session import Tables
 
 
@@ -39,16 +39,18 @@ def accessions_of_species(ids: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return acc.join(taxonomy, "gca").select("speci", "label", "gca")
 
 
-def genomes_per_species(counts: DataFrame, listed: int = 3) -> DataFrame:
-    """Extremes with the first of their species, median, sample deviation (0 of one) and number of ``speci, n``.
+def genomes_per_species(counts: DataFrame) -> DataFrame:
+    """Extremes with all their species sorted, median, sample deviation (0 of one) and number of ``speci, n``.
 
-    ``extreme_species`` has all species of an extreme, as a row each; very many can share one.
+    Very many species can share an extreme: each range of them becomes a text, and the last task joins
+    a text from each range. ``extreme_species`` has them as a row each.
     """
     kept = Tables(counts.sparkSession)
     counts = kept.keep(counts)
-    tied = extreme_species(counts)
-    text = top_k_with_rest(tied, "extreme", "speci", listed)
-    names = text.agg(*(F.max(F.when(F.col("extreme") == e, F.col("ids"))).alias(f"{e}_species") for e in ("max", "min")))
+    tied = in_ranges(extreme_species(counts).where(F.col("speci").isNotNull()), ["extreme", "speci"], "at", kept)
+    texts = tied.groupBy("extreme", F.shiftrightunsigned("at", ROW_BITS).alias("range")).agg(F.array_join(F.array_sort(F.collect_list("speci")), ",").alias("ids"))
+    joined = texts.groupBy("extreme").agg(F.array_join(F.array_sort(F.collect_list(F.struct("range", "ids")))["ids"], ",").alias("ids"))
+    names = joined.agg(*(F.max(F.when(F.col("extreme") == e, F.col("ids"))).alias(f"{e}_species") for e in ("max", "min")))
     middle = percentiles(counts, [], "n", [0.5], ["median_n"], kept).select("median_n")
     df = counts.agg(F.max("n").alias("max_n"), F.min("n").alias("min_n"), F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("sd_n"), F.count("*").alias("n_species"))
     return df.join(F.broadcast(names)).join(F.broadcast(middle)).select("max_n", "max_species", "min_n", "min_species", "median_n", "sd_n", "n_species")  # one row each
