@@ -307,9 +307,12 @@ def _chances(model: LogisticRegressionModel, features: CountVectorizerModel, row
     Families do not compete for chances, so a window can have several.
     """
     p = model.transform(features.transform(rows)).withColumn("p", vector_to_array("probability"))
-    unknown = F.get("p", F.lit(0))
-    own = F.slice("p", 2, len(TEMPLATES))
-    return p.withColumn("chances", F.transform(own, lambda x: x / (x + unknown))).withColumn("top", F.array_position(own, F.array_max(own))).drop("p")
+    # Bound as x, p is computed once for a window, also where the planner puts the expression into filters; named
+    # inside the inner function it would be computed for each family
+    named = lambda f: F.get(F.transform(F.array("p"), f), F.lit(0))
+    own = lambda x: F.slice(x, 2, len(TEMPLATES))
+    chances = named(lambda x: F.transform(own(x), lambda y: y / (y + F.get(x, F.lit(0)))))
+    return p.withColumn("chances", chances).withColumn("top", named(lambda x: F.array_position(own(x), F.array_max(own(x))))).drop("p")
 
 
 def fit(docs: DataFrame) -> tuple[CountVectorizerModel, LogisticRegressionModel, float]:

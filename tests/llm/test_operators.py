@@ -493,6 +493,21 @@ def test_licence_lines_and_a_plain_version(spark, docs):
     assert per[str(len(DECLARED))] == {"mit", "gpl", "bsd"} and per[str(len(DECLARED) + 1)] == {"gpl"}
 
 
+def test_the_licence_classifier_runs_once_for_a_window(spark, docs):
+    """No function over families holds the classifier, which would then run for each family of a window."""
+    corpus = docs.selectExpr("cast(doc_id as string) as key", "text")
+    plan = licences.found_by(*licences.fit(corpus), corpus)._jdf.queryExecution().optimizedPlan().toString()
+    bodies = plan.split("lambdafunction(")[1:]
+    assert "UDF(" in plan and bodies
+    for body in bodies:
+        depth = 1
+        for end, c in enumerate(body):
+            depth += (c == "(") - (c == ")")
+            if not depth:
+                break
+        assert "UDF(" not in body[:end]
+
+
 def test_licences_are_found_and_mere_words_are_not(spark, docs):
     """The documents' own licence lines are found by their wording; lines without any are not."""
     extra = [(9000 + i, t) for i, t in enumerate(LICENCES)]
