@@ -5,13 +5,14 @@ looked up by hashes. Two gated recurrent layers read a window of words forwards
 attention weighs their states; a logistic unit scores the window. All overlapping windows of a
 text are scored, its score is that of its worst window, calibrated on documents kept apart.
 
-The network is fitted on the driver on a bounded, balanced sample of labelled documents, with a
-fixed number of steps. Scoring runs in tasks over whole texts; the inputs' share in the gates is
+The network is fitted by a task on a bounded, balanced sample of labelled documents, with a fixed
+number of steps; the driver holds its weights, no texts. Scoring runs in tasks over whole texts; the inputs' share in the gates is
 computed once per distinct word.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -189,12 +190,13 @@ def _laid_out(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, mask
 
 
-def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Network:
+def fit(texts: list[str], labels: list[int], share: float, seed: int = 7, steps: int | None = None) -> Network:
     """Fit the network: a text's logit is that of its highest window.
 
     ``share`` is the share of label 1 among all labelled rows, to which scores are calibrated. Without
     texts of both labels the network stays unfitted and scores are the share.
     """
+    steps = steps or STEPS
     net = Network.fresh(seed)
     net.share = share
     g = np.random.default_rng(seed)
@@ -216,7 +218,7 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Net
     params = net.weights()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     table_second = np.zeros(SLOTS, np.float32)
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         chosen = [k[g.integers(len(k))] for k in groups for _ in range(DOCUMENTS // 2)]
         lists, owner = [], []
         for n, i in enumerate(chosen):
@@ -253,7 +255,7 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Net
             np.add.at(per_word, where.ravel(), d_x[d].reshape(-1, 3 * STATE))
             grads[d] = v.T @ per_word
             d_v += per_word @ net.gates[d].T
-        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
+        rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, (p, q) in enumerate(zip(params, grads, strict=True)):
             first[k] = 0.9 * first[k] + 0.1 * q
             second[k] = 0.99 * second[k] + 0.01 * q * q
@@ -352,8 +354,8 @@ def _logits(net: Network, x: list[np.ndarray], ids: np.ndarray, mask: np.ndarray
     return np.einsum("tb,tbk->bk", w, s) @ net.out + net.shift
 
 
-def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[list[str], list[int], float]:
-    """A bounded sample of labelled training texts: SAMPLE of each label at most, in an order given by hashes.
+def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[DataFrame, float]:
+    """A bounded sample of labelled training texts (``doc_id, toxic, text``), SAMPLE of each label at most, in an order given by hashes; the share of label 1 in all rows.
 
     A document with several labels is toxic if one of them says so; rows without id or label are left out.
     """
@@ -364,8 +366,25 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[l
     parts = [known.where(F.col("toxic") == k).orderBy(mark, "doc_id").limit(SAMPLE) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # bounded: 2 SAMPLE rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= LONGEST)
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [r["text"] for r in rows], [r["toxic"] for r in rows], toxic / n if n else 0.0
+    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), toxic / n if n else 0.0
+
+
+def fitted(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> Network:
+    """The network, fitted by one task, which holds the bounded sample."""
+    rows, share = sample(docs, labels, folds, held)
+    steps = STEPS
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        net = pickle.dumps(fit(texts, marks, share, steps=steps))
+        yield pa.RecordBatch.from_arrays([pa.array([net], pa.binary())], names=["net"])
+
+    ordered = rows.repartition(1).sortWithinPartitions("doc_id").select(F.col("text").cast("string"), "toxic")
+    found = ordered.mapInArrow(work, "net binary").collect()  # a row; none if the planner sees that there is no text
+    return pickle.loads(found[0]["net"]) if found else fit([], [], share)
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
@@ -378,7 +397,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
     without usable labels every score is the share of label 1, 0 if there are none.
     """
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, folds, held)))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds, held))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
@@ -396,7 +415,7 @@ def accepted(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFra
     The network learns from texts of ``labelled`` that ``labels`` marks.
     """
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(labelled, labels, 5, 0)))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(labelled, labels, 5, 0))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

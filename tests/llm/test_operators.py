@@ -738,6 +738,25 @@ def test_training_reads_late_windows_of_long_toxic_texts(monkeypatch):
     assert got[0] > 0.5 > got[1] and got[2] > 0.5 > got[3]
 
 
+def test_the_network_is_fitted_by_a_task(spark, monkeypatch):
+    """The driver fits nothing; scores are those of the network that the sample gives in the order of its ids."""
+    monkeypatch.setattr(toxicity, "STEPS", 5)
+    rows = [(i, f"word{i % 7} other{i % 5} " + ("awful" if i % 3 == 0 else "fine"), int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    real, calls = toxicity.fit, []
+    net = real([t for _, t, _ in known], [y for _, _, y in known], sum(y for _, _, y in known) / len(known))
+
+    def counted(*args, **named):
+        calls.append(args)
+        return real(*args, **named)
+
+    monkeypatch.setattr(toxicity, "fit", counted)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(df, df.select("doc_id", "toxic")).collect()}
+    assert not calls
+    assert [got[i] for i, _, _ in rows] == pytest.approx(toxicity.scores(net, [t for _, t, _ in rows]), abs=1e-5)
+
+
 def test_without_labels_nothing_is_toxic(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.scored(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), none).first()["predicted"] == 0
