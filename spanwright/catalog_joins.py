@@ -330,7 +330,7 @@ def covered(own: str, start: str, end: str) -> str:
     select t.ref, t.query, round(pow(least(1.0::double,greatest(anchors*sa.size::double/(a.covered*sa.n),anchors*sb.size::double/(b.covered*sb.n))),1.0/15)*100,9) as ani, round(100.0::double*a.covered/sa.size,9) as af_ref, round(100.0::double*b.covered/sb.size,9) as af_query
     from (select ref, query, sum(n) as anchors from chains group by 1,2) t join {covered("ca", "a0", "a1")} a on a.ref=t.ref and a.query=t.query join {covered("cb", "b0", "b1")} b on b.ref=t.ref and b.query=t.query join sizes sa on sa.gca=t.ref join sizes sb on sb.gca=t.query)""")
 def _(x):
-    df = x("contigs").join(x("taxonomy").select("gca", "speci"), "gca").select("speci", F.col("gca").alias("genome"), "contig_id", "seq")
+    df = x.keep("contigs").join(x("taxonomy").select("gca", "speci"), "gca").select("speci", F.col("gca").alias("genome"), "contig_id", "seq")
     out = K.pairwise_similarity(df)
     return out.select("ref", "query", *(F.round(c, 9).alias(c) for c in ("ani", "af_ref", "af_query")))
 

@@ -15,29 +15,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanwright.functions import expr as E
-from spanwright.operators import alignment
+from spanwright.operators import alignment, kmers
 from spanwright.operators.skew import even_join
-from spanwright.session import Tables, with_checkpoints
+from spanwright.session import Tables, small_batches, with_checkpoints
 
 #: K-mers of a gene by which it meets others: at 85 % identity about one in eleven is intact in both, so
 #: a pair that meets by none of 60 is rare (measured in tests).
 SEEDS = 60
 #: Bases between anchors of a chain at most, how far they may differ in both genomes, and anchors of a chain at least.
 GAP, SLACK, LEAST_ANCHORS = 500, 50, 3
-#: Bases of a tile that k-mers are cut from at a time.
-TILE = 1000
 
 
 def sketch(seqs: DataFrame, keys: list[str], k: int = 15) -> DataFrame:
     """``keys, kmer, pos, forward``: canonical k-mers of ``seq`` whose digest begins with 0, one in sixteen (FracMinHash), with their places.
 
-    Long sequences are cut into overlapping tiles first, so no row holds all k-mers of a genome.
+    Made in tasks by arrays, as digests of all k-mers by column expressions take fifty times as long.
     """
-    tiles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq")), F.lit(TILE)), lambda i: F.struct(i.alias("at"), F.substr(F.col("seq"), i, F.lit(TILE + k - 1)).alias("bases")))
-    df = seqs.where(F.length("seq") >= k).select(*keys, F.explode(tiles).alias("tile")).where(F.length("tile.bases") >= k)
-    kmers = F.transform(F.sequence(F.lit(1), F.length("tile.bases") - (k - 1)), lambda i: F.substr(F.col("tile.bases"), i, F.lit(k)))
-    df = df.select(*keys, F.col("tile.at").alias("at"), F.posexplode(kmers).alias("i", "own")).withColumn("kmer", F.least("own", E.revcomp("own")))
-    return df.where(F.md5(F.col("kmer").cast("binary")).startswith("0")).select(*keys, "kmer", (F.col("at") + F.col("i")).cast("bigint").alias("pos"), (F.col("kmer") == F.col("own")).alias("forward"))
+    small_batches(seqs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, pos, texts, forward in kmers.sketched(batch.column("seq").to_pylist(), k):
+                row = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in keys), pa.array(texts, pa.string()), pa.array(pos, pa.int64()), pa.array(forward)], [*keys, "kmer", "pos", "forward"])
+
+    types = dict(seqs.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", kmer string, pos long, forward boolean"
+    return seqs.where(F.length("seq") >= k).select(*keys, "seq").mapInArrow(work, schema)
 
 
 def _covered(chains: DataFrame, own: str, start: str, end: str) -> DataFrame:
@@ -138,10 +142,10 @@ def similar_genes(genes: DataFrame, identity: float, coverage: float, k: int, mo
     percent. A pair with several seeds has its best alignment.
     """
     kept = Tables(genes.sparkSession)
-    kmers = kept.keep(_chosen(genes, k, most))
-    longest = kmers.groupBy("kmer").agg(F.max(F.struct("size", "id", "at")).alias("c"), F.count("*").alias("n")).where(F.col("n") > 1)
+    seeds = kept.keep(_chosen(genes, k, most))
+    longest = seeds.groupBy("kmer").agg(F.max(F.struct("size", "id", "at")).alias("c"), F.count("*").alias("n")).where(F.col("n") > 1)
     longest = kept.keep(longest)
-    met = even_join(kmers, longest.select("kmer", "c"), ["kmer"], counts=longest.select("kmer", "n")).where(F.col("id") != F.col("c.id"))
+    met = even_join(seeds, longest.select("kmer", "c"), ["kmer"], counts=longest.select("kmer", "n")).where(F.col("id") != F.col("c.id"))
     shift = F.col("c.at") - F.col("at")
     overlap = F.least(F.col("c.size") - F.greatest(shift, F.lit(0)), F.col("size") - F.greatest(-shift, F.lit(0)))
     met = met.where((overlap + alignment.BAND) * 100 >= F.lit(coverage) * F.greatest("size", "c.size"))
