@@ -337,6 +337,7 @@ def _(x):
 
 @query("k2_cluster_by_similarity")
 def _(x):
+    x.keep("contigs")
     return K.cluster_by_similarity(x("strands").select("id", "seq"))
 
 

@@ -7,6 +7,7 @@ compared with the longest of them only, so the work grows with the input and not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 from spanwright.functions import expr as E
 from spanwright.operators import alignment, kmers
 from spanwright.operators.skew import even_join
-from spanwright.session import Tables, small_batches, with_checkpoints
+from spanwright.session import Tables, small_batches
 
 #: K-mers of a gene by which it meets others: at 85 % identity about one in eleven is intact in both, so
 #: a pair that meets by none of 60 is rare (measured in tests).
@@ -90,46 +91,74 @@ def greedy_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     ``vertices`` has ``id, size``; ``edges`` ``a, b``. In each round every open vertex that comes
     before all its open neighbours becomes a representative and takes its open neighbours; several do
     so at once, with the same result as one by one if a member goes to its first representative.
+    A round reads the links between open vertices only; a vertex without any is its own representative.
     """
-    with_checkpoints(vertices.sparkSession)
+    kept = Tables(vertices.sparkSession)
     order = lambda p: F.struct((-F.col(f"{p}size")).alias("s"), F.col(f"{p}id").alias("id"))
     both = edges.select("a", "b").union(edges.select("b", "a")).where(F.col("a") != F.col("b")).distinct()
     ranked = vertices.select("id", order("").alias("rank"))
-    links = both.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("rank_a")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rank_b")), "b").checkpoint()
-    state = vertices.select("id", F.lit(None).cast(dict(vertices.dtypes)["id"]).alias("rep")).checkpoint()
-    while True:
-        still = state.where(F.col("rep").isNull()).select("id")
-        if still.isEmpty():
-            return state.select(F.col("id").alias("member"), "rep")
-        among = links.join(still.withColumnRenamed("id", "a"), "a", "left_semi").join(still.withColumnRenamed("id", "b"), "b", "left_semi")
-        beaten = among.where(F.col("rank_b") < F.col("rank_a")).select(F.col("a").alias("id")).distinct()
-        reps = still.join(beaten, "id", "left_anti")
-        taken = among.join(reps.withColumnRenamed("id", "b"), "b", "left_semi").groupBy(F.col("a").alias("id")).agg(F.min_by("b", "rank_b").alias("by"))
-        marks = reps.select("id", F.col("id").alias("by")).unionByName(taken.join(reps, "id", "left_anti"))
-        state = state.join(marks, "id", "left").select("id", F.coalesce("rep", "by").alias("rep")).checkpoint()
+    links = both.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("rank_a")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rank_b")), "b")
+    links, done = kept.keep(links), []
+    while not links.isEmpty():
+        reps = links.groupBy(F.col("a").alias("id")).agg(F.count_if(F.col("rank_b") < F.col("rank_a")).alias("before")).where(F.col("before") == 0).select("id")
+        reps = kept.keep(reps)
+        taken = links.join(reps.withColumnRenamed("id", "b"), "b", "left_semi").groupBy(F.col("a").alias("id")).agg(F.min_by("b", "rank_b").alias("by"))
+        done.append(kept.keep(reps.select("id", F.col("id").alias("by")).unionByName(taken)))
+        marked = done[-1].select("id")
+        left = kept.keep(links.join(marked.withColumnRenamed("id", "a"), "a", "left_anti").join(marked.withColumnRenamed("id", "b"), "b", "left_anti"))
+        kept.drop(links, reps)
+        links = left
+    none = vertices.select("id", F.col("id").alias("by")).limit(0)
+    marks = reduce(DataFrame.unionByName, done, none)
+    return vertices.select("id").join(marks, "id", "left").select(F.col("id").alias("member"), F.coalesce("by", "id").alias("rep"))
 
 
 def _chosen(genes: DataFrame, k: int, most: int) -> DataFrame:
     """``id, size, kmer, at``: the ``most`` k-mers of each sequence whose hashes are least, with their first places."""
-    starts = F.sequence(F.lit(1), F.length("seq") - (k - 1))
-    each = F.transform(starts, lambda i: F.struct(F.xxhash64(F.substr(F.col("seq"), i, F.lit(k))).alias("h"), i.alias("at")))
-    first = F.array_sort(each)
-    df = genes.where(F.length("seq") >= k).select("id", F.length("seq").alias("size"), F.explode(F.slice(first, 1, most)).alias("x"))
-    return df.groupBy("id", "size", F.col("x.h").alias("kmer")).agg(F.min("x.at").alias("at"))
+    small_batches(genes.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = batch.column("seq").to_pylist()
+            found = kmers.least_hashes(seqs, k, most)
+            n = [len(h) for h, _ in found]
+            size = pa.array(np.repeat([len(s) for s in seqs], n), pa.int32())
+            h, at = (pa.array(np.concatenate([x[i] for x in found]), t) for i, t in ((0, pa.int64()), (1, pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.repeat(np.arange(len(n)), n))), size, h, at], ["id", "size", "kmer", "at"])
+
+    return genes.where(F.length("seq") >= k).select("id", "seq").mapInArrow(work, f"id {dict(genes.dtypes)['id']}, size int, kmer long, at int")
 
 
 def _verified(identity: float, coverage: float):
-    """Pairs (``a, b, seq_a, seq_b, shift``) whose best alignment along the seed's diagonal is as similar as asked."""
+    """Pairs (``a, b, seq_a, seq_b, shift``) whose best alignment along the seed's diagonal is as similar as asked.
+
+    Pairs that have no such alignment are left out first; the others are aligned many at a time.
+    """
+
+    def agreed(pairs: list[tuple]) -> pa.RecordBatch:
+        first, second, a, b, diagonal = zip(*pairs, strict=True)
+        found = alignment.overlaps(a, b, diagonal)
+        columns, least = np.maximum(found["columns"], 1), coverage - 1e-9
+        same = 100 * found["matches"] / columns
+        cover = 100 * np.minimum(found["span_a"] / np.maximum([len(x) for x in a], 1), found["span_b"] / np.maximum([len(x) for x in b], 1))
+        keep = pa.array((same >= identity - 1e-9) & (cover >= least) & (found["columns"] > 0))
+        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(same), pa.array(cover)], ["a", "b", "identity", "coverage"]).filter(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, held = [], 0
         for batch in batches:
             a, b = ([s.encode() for s in batch.column(n).to_pylist()] for n in ("seq_a", "seq_b"))
-            found = alignment.overlaps(a, b, -batch.column("shift").to_numpy())
-            columns, least = np.maximum(found["columns"], 1), coverage - 1e-9
-            same = 100 * found["matches"] / columns
-            cover = 100 * np.minimum(found["span_a"] / np.maximum([len(x) for x in a], 1), found["span_b"] / np.maximum([len(x) for x in b], 1))
-            keep = pa.array((same >= identity - 1e-9) & (cover >= least) & (found["columns"] > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same), pa.array(cover)], ["a", "b", "identity", "coverage"]).filter(keep)
+            diagonal = -batch.column("shift").to_numpy()
+            names = (batch.column(n).to_pylist() for n in "ab")
+            for can, *pair in zip(alignment.may_agree(a, b, diagonal, identity, coverage), *names, a, b, diagonal, strict=True):
+                if can:
+                    pairs.append(pair)
+                    held += len(pair[2]) + len(pair[3])
+                    if held >= alignment.GATHERED:
+                        yield agreed(pairs)
+                        pairs, held = [], 0
+        if pairs:
+            yield agreed(pairs)
 
     return run
 
@@ -157,7 +186,7 @@ def similar_genes(genes: DataFrame, identity: float, coverage: float, k: int, mo
     both = even_join(with_b, genes.select(F.col("id").alias("a"), F.col("seq").alias("seq_a")), ["a"], counts=counts, total=pairs.count())
     id_type = dict(genes.dtypes)["id"]
     good = both.select("a", "b", "seq_a", "seq_b", "shift").mapInArrow(_verified(identity, coverage), f"a {id_type}, b {id_type}, identity double, coverage double")
-    return good.groupBy("a", "b").agg(F.max(F.struct("identity", "coverage")).alias("x")).select("a", "b", "x.*")
+    return kept.keep(good.groupBy("a", "b").agg(F.max(F.struct("identity", "coverage")).alias("x")).select("a", "b", "x.*"))
 
 
 def cluster_by_similarity(genes: DataFrame, identity: float = 85.0, coverage: float = 85.0, k: int = 15, most: int = SEEDS) -> DataFrame:
