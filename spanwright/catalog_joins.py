@@ -13,7 +13,7 @@ from spanwright.operators import graph as G
 from spanwright.operators import joins as J
 from spanwright.operators import similarity as K
 from spanwright.operators import windows as WI
-from spanwright.operators.stars import star_alignment
+from spanwright.operators.stars import aligned_counts, star_alignment
 from spanwright.sources import tables as S
 
 ISLANDS = "(select mge_id, regexp_matches(mge,'(^|,)is_tn') and mge_type='non-nested' as is_target from elements) i"
@@ -351,7 +351,7 @@ COUNTED = ", ".join(f"sum(length(seq)-length(replace(seq,'{c}','')))::bigint as
 
 
 def aligned(x: Inputs):
-    return x.keep("aligned", lambda: star_alignment(x.keep("stacks"), ["unit", "side"]))
+    return star_alignment(x("stacks"), ["unit", "side"])
 
 
 @query("k4_aligned_stacks", f"select unit, side, count(*) as n, {COUNTED}, true as one_width from stacks group by unit, side")
@@ -369,9 +369,15 @@ def _(x):
 
 @query("k4c_alignment_profile")
 def _(x):
-    return C.column_profile(aligned(x), ["unit", "side"])
+    return C.majority(aligned_counts(x("stacks"), ["unit", "side"]), ["unit", "side"])
 
 
 @query("k4d_alignment_boundaries")
 def _(x):
-    return C.boundary_segment(C.segments_side_aware(aligned(x), ["unit", "side"], 0.5, 2), ["unit", "side"])
+    keys = ["unit", "side"]
+    counts = x.keep("aligned_counts", lambda: aligned_counts(x("stacks"), keys))
+    right = counts.where(F.col("side") == "right")
+    sizes = right.groupBy(*keys).agg((F.max("col") + 1).alias("size"))
+    back = right.join(sizes, keys).withColumn("col", F.col("size") - 1 - F.col("col"))
+    segments = C.segments_of_sides(C.majority(counts.where(F.col("side") == "left"), keys), C.majority(back, keys), sizes, keys, 0.5, 2)
+    return C.boundary_segment(segments, keys)

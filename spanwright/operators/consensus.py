@@ -74,7 +74,11 @@ def column_profile(stacks: DataFrame, keys: list[str], trim: int = 0, reverse: b
     """
     seq = F.reverse("seq") if reverse else F.col("seq")
     df = stacks.where(F.length("seq") > trim).select(*keys, "ord", F.posexplode(F.split(F.substr(seq, F.lit(trim + 1)), "")).alias("col", "base"))
-    counts = df.where(F.col("base") != "").groupBy(*keys, "col", "base").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return majority(df.where(F.col("base") != "").groupBy(*keys, "col", "base").agg(F.count("*").alias("n"), F.min("ord").alias("first")), keys)
+
+
+def majority(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """A profile from ``col, base, n, first``: how many sequences have a character in a column, and the first of these."""
     per = counts.groupBy(*keys, "col").agg(F.sum("n").alias("tot"), F.max(F.struct("n", (-F.col("first")).alias("early"), "base")).alias("x"))
     return per.select(*keys, F.col("col").cast("bigint").alias("col"), F.col("x.n").alias("n"), F.col("tot"), (F.col("x.n") / F.col("tot")).alias("ident"), F.col("x.base").alias("base"))
 
@@ -141,12 +145,17 @@ def segments(profile: DataFrame, keys: list[str]) -> DataFrame:
 
 def segments_side_aware(stacks: DataFrame, keys: list[str], threshold: float, run: int, trim: int = 0) -> DataFrame:
     """Segments of left stacks read forwards and of right stacks read backwards, in the stacks' own columns."""
-    params = lambda p: p.withColumns({"threshold": F.lit(threshold), "run": F.lit(run)})
-    left = segments(params(column_profile(stacks.where(F.col("side") == "left"), keys, trim)), keys)
+    left = column_profile(stacks.where(F.col("side") == "left"), keys, trim)
     right_rows = stacks.where(F.col("side") == "right")
-    right = segments(params(column_profile(right_rows, keys, trim, reverse=True)), keys)
-    size = right_rows.groupBy(*keys).agg(F.max(F.length("seq")).alias("size"))
-    right = right.join(size, keys).withColumn("start", F.col("size") - (F.col("start") + trim) - F.col("length")).withColumn("text", F.reverse("text")).drop("size")
+    right = column_profile(right_rows, keys, trim, reverse=True)
+    return segments_of_sides(left, right, right_rows.groupBy(*keys).agg(F.max(F.length("seq")).alias("size")), keys, threshold, run, trim)
+
+
+def segments_of_sides(left: DataFrame, right: DataFrame, sizes: DataFrame, keys: list[str], threshold: float, run: int, trim: int = 0) -> DataFrame:
+    """Segments from profiles of both sides, the right one read backwards from the ends that ``sizes`` has (``size``)."""
+    params = lambda p: p.withColumns({"threshold": F.lit(threshold), "run": F.lit(run)})
+    left, right = segments(params(left), keys), segments(params(right), keys)
+    right = right.join(sizes, keys).withColumn("start", F.col("size") - (F.col("start") + trim) - F.col("length")).withColumn("text", F.reverse("text")).drop("size")
     return left.withColumn("start", F.col("start") + trim).unionByName(right)
 
 
