@@ -193,7 +193,7 @@ def _(x):
 def features(x: Inputs):
     rows = split_rows(x).select("doc_id", "rec_type", "side", "label", "split")
     seqs = x("contigs").select("doc_id", "seq")
-    return ml.boundary_features(rows.join(seqs, "doc_id").checkpoint())
+    return ml.boundary_features(rows.join(seqs, "doc_id"))
 
 
 @query("m1_boundary_features")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions import expr as E
+from spanwright.session import Tables
 
 
 def boundary_features(rows: DataFrame, k: int = 4, slots: int = 256, length: int = 500) -> DataFrame:
@@ -17,8 +17,10 @@ def boundary_features(rows: DataFrame, k: int = 4, slots: int = 256, length: int
 
     ``rows`` has ``rec_type, side, seq`` with whole sequences: they are oriented first and then cut
     to ``length`` bases from the boundary, as the reference does. Short windows have no k-mers.
+    Only the windows are kept as a table, and of what features are made of nothing stays in the result.
     """
-    df = rows.withColumn("oriented", F.left(E.model_orientation("seq", "side"), F.lit(length)))
+    names = [c for c in rows.columns if c != "seq"]
+    df = Tables(rows.sparkSession).keep(rows.select(*names, F.left(E.model_orientation("seq", "side"), F.lit(length)).alias("oriented")))
     places = F.when(F.length("oriented") >= k, F.sequence(F.lit(1), F.length("oriented") - (k - 1))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("kmers", F.transform(places, lambda i: F.concat_ws(":", (i / 5).cast("int").cast("string"), F.substr(F.col("oriented"), i, F.lit(k)))))
     stages = [
@@ -27,7 +29,7 @@ def boundary_features(rows: DataFrame, k: int = 4, slots: int = 256, length: int
         OneHotEncoder(inputCols=["type_no", "side_no"], outputCols=["type_hot", "side_hot"]),
         VectorAssembler(inputCols=["kmer_counts", "type_hot", "side_hot"], outputCol="features"),
     ]
-    return Pipeline(stages=stages).fit(df).transform(df)
+    return Pipeline(stages=stages).fit(df).transform(df).select(*names, "features")
 
 
 def fit_predict(rows: DataFrame, rounds: int = 5) -> DataFrame:
@@ -35,10 +37,9 @@ def fit_predict(rows: DataFrame, rounds: int = 5) -> DataFrame:
 
     ``rows`` has ``features, label, split``.
     """
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # each round of boosting reads them
+    rows = Tables(rows.sparkSession).keep(rows)  # read several times, and too large for memory
     fitting = rows.where(F.col("split").isin("train", "val")).withColumn("watch", F.col("split") == "val")
-    model = GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=3, seed=7, validationIndicatorCol="watch").fit(fitting)
-    rows.unpersist()
+    model = GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=3, seed=7, validationIndicatorCol="watch").fit(fitting.select("features", "label", "watch"))
     return model.transform(rows.where(F.col("split") == "test")).withColumn("prediction", F.round("prediction", 4))
 
 

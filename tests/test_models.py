@@ -18,3 +18,11 @@ def test_models_get_whole_sequences(spark, monkeypatch):
     got = {r["doc_id"]: r["seq"] for r in catalog_labels.features(x).select("doc_id", "seq").collect()}
     whole = {r["doc_id"]: r["seq"] for r in x("contigs").collect()}
     assert got and max(map(len, got.values())) > 500 and all(whole[i] == seq for i, seq in got.items())
+
+
+def test_features_come_without_what_they_are_made_of(spark):
+    """Sequences, their k-mers and counts of these beside the features were over ten times as large as these when rows were held in memory."""
+    df = spark.createDataFrame([(i, "t", "left", "ACGTTGCAAC" * (40 + i), i / 20, ("train", "val", "test")[i % 3]) for i in range(20)], "doc_id long, rec_type string, side string, seq string, label double, split string")
+    got = ml.boundary_features(df)
+    assert got.columns == ["doc_id", "rec_type", "side", "label", "split", "features"]
+    assert {r["doc_id"] for r in ml.fit_predict(got).collect()} == {i for i in range(20) if i % 3 == 2}
